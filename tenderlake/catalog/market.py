@@ -452,14 +452,17 @@ def _(s, d):
 # --- risk -------------------------------------------------------------------
 
 
+def _priced(s, d):
+    return risk.priced_bids(star.evaluation_methods(s, d), _bids(s, d))
+
+
 @query(
     "risk_pairs",
     """SELECT x || ' · ' || y AS name, close AS close_bid_count, met AS meet_count, close_low AS lowest_price_close_count,
     round(close * 100.0 / met, 1) AS close_share_pct FROM repeated ORDER BY close DESC, met DESC, name LIMIT 15""",
 )
 def risk_pairs(s, d):
-    rows, bids = _rows(s, d), _bids(s, d)
-    return risk.repeated_pairs(risk.priced_bids(rows, bids))
+    return risk.repeated_pairs(_priced(s, d))
 
 
 @query(
@@ -468,11 +471,11 @@ def risk_pairs(s, d):
     round(close * 100.0 / met, 1) AS close_share_pct FROM repeated""",
 )
 def _(s, d):
-    return risk.repeated_pairs(risk.priced_bids(_rows(s, d), _bids(s, d)), None)
+    return risk.repeated_pairs(_priced(s, d), None)
 
 
 def _flagged(s, d):
-    return risk.risk_rows(_rows(s, d), _bids(s, d))
+    return risk.risk_rows(_rows(s, d), _priced(s, d))
 
 
 @query(

@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..functions.cleaning import pct
 from ..operators.facts import AWARD, COUNT, ESTIMATE, WINNER, amount, has_winner, total
 from ..operators.ranking import top
+from ..session import written
 
 CLOSE = "0.03"
 MIN_CLOSE = 3
@@ -20,9 +21,13 @@ _BAND = math.log(1.0301)
 
 
 def priced_bids(rows: DataFrame, bids: DataFrame) -> DataFrame:
-    """Priced bids of named bidders with their row's evaluation method."""
+    """Priced bids of named bidders with their row's evaluation method.
+
+    Written once, since the pair screen reads them several times, each time
+    with other columns.
+    """
     lowest = F.coalesce(F.col("evaluation_method") == "lowest_price", F.lit(False))
-    return (
+    return written(
         bids.where((F.col("norm_name") != fixed.NO_PARTY) & F.col("price").isNotNull())
         .join(rows.select("procurement_id", lowest.alias("lowest")), "procurement_id")
         .select("procurement_id", "pos", "norm_name", "price", "lowest")
@@ -92,24 +97,23 @@ def close_pair_counts(priced: DataFrame, min_close: int = MIN_CLOSE, crowded: in
     Ordinary procurements give their close pairs directly. Crowded ones are not
     expanded: pairs already met are looked up in them, and only bidders seen
     often enough in crowded procurements are paired there at all. A bidder too
-    rare to reach ``min_close`` is dropped first unless its procurement repeats
-    a name, where one listing can meet several times.
+    rare to reach ``min_close`` stays only where its procurement repeats a
+    name, since there one listing can meet several times.
     """
-    sizes = priced.groupBy("procurement_id").agg(
-        F.count(F.lit(1)).alias("size"), (F.count(F.lit(1)) > F.countDistinct("norm_name")).alias("repeats")
-    )
-    seen = priced.groupBy("norm_name").agg(F.count(F.lit(1)).alias("seen"))
-    known = priced.join(sizes, "procurement_id").join(seen, "norm_name")
-    able = known.where((F.col("seen") >= min_close) | F.col("repeats")).drop("seen")
-
-    ordinary = _near_pairs(able.where(F.col("size") <= crowded))
-    light = _counted(ordinary)
+    sizes = priced.groupBy("procurement_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > crowded)
+    crowd = sizes.select("procurement_id")
+    if crowd.isEmpty():
+        return _counted(_near_pairs(priced)).where(F.col("close") >= min_close)
+    light = _counted(_near_pairs(priced.join(crowd, "procurement_id", "left_anti")))
 
-    packed = able.where(F.col("size") > crowded)
+    packed = priced.join(crowd, "procurement_id", "left_semi")
     looked_up = _meetings(light, packed).where(_is_close(F.col("v1"), F.col("v2"))).select("a", "b", "lowest")
 
-    often = packed.groupBy("norm_name").agg(F.count(F.lit(1)).alias("packed_seen"))
-    regulars = packed.join(often, "norm_name").where((F.col("packed_seen") >= min_close) | F.col("repeats"))
+    per_name = packed.groupBy("procurement_id", "norm_name").agg(F.count(F.lit(1)).alias("n"))
+    repeats = per_name.groupBy("procurement_id").agg((F.max("n") > 1).alias("repeats"))
+    often = per_name.groupBy("norm_name").agg(F.sum("n").alias("seen"))
+    regular = (F.col("seen") >= min_close) | F.col("repeats")
+    regulars = packed.join(repeats, "procurement_id").join(often, "norm_name").where(regular)
     unmet = _near_pairs(regulars, SALTS).join(light.select("a", "b"), ["a", "b"], "left_anti")
 
     everything = light.unionByName(_counted(looked_up.unionByName(unmet)))
@@ -122,7 +126,7 @@ def close_pair_counts(priced: DataFrame, min_close: int = MIN_CLOSE, crowded: in
 
 def repeated_pairs(priced: DataFrame, k: int | None = 15, min_close: int = MIN_CLOSE, crowded: int = CROWDED) -> DataFrame:
     """Bidder pairs close at least three times, with all their meetings."""
-    close = close_pair_counts(priced, min_close, crowded)
+    close = written(close_pair_counts(priced, min_close, crowded))
     met = _meetings(close, priced).groupBy("a", "b").agg(F.count(F.lit(1)).alias("meet_count"))
     shown = close.join(met, ["a", "b"]).select(
         F.concat_ws(" · ", "a", "b").alias("name"),
@@ -134,10 +138,9 @@ def repeated_pairs(priced: DataFrame, k: int | None = 15, min_close: int = MIN_C
     return top(shown, k, F.desc("close_bid_count"), F.desc("meet_count"), F.asc("name"))
 
 
-def risk_rows(rows: DataFrame, bids: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """Rows with their risk flags."""
-    priced = priced_bids(rows, bids)
-    paired = _meetings(close_pair_counts(priced, crowded=crowded), priced).select("procurement_id").distinct()
+def risk_rows(rows: DataFrame, priced: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """Rows with their risk flags; ``priced`` comes from ``priced_bids``."""
+    paired = _meetings(written(close_pair_counts(priced, crowded=crowded)), priced).select("procurement_id").distinct()
     award, guess, bidders = F.col(AWARD), F.col(ESTIMATE), F.col(COUNT)
     usable = F.coalesce((award != 0) & (guess != 0), F.lit(False))
     flags = {

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,26 +25,41 @@ def build_session(app: str = "tenderlake", master: str | None = None, shuffle_pa
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = builder.master(master).config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage.
+_LOCAL_FOLDER: list[str] = []
 
-    The folder is the one the session names in ``spark.checkpoint.dir``. Only a
-    local session that names none gets a temporary folder; a cluster session
-    without one is an error, since executors could not read a machine-local path.
+
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for tables that several steps read: the session's ``spark.checkpoint.dir``.
+
+    Only a local session that names none gets a temporary folder, removed at
+    exit; a cluster session without one is an error, since executors could not
+    read a machine-local path.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+    if not _LOCAL_FOLDER:
+        _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="tenderlake-"))
+        atexit.register(shutil.rmtree, _LOCAL_FOLDER[0], ignore_errors=True)
+    return _LOCAL_FOLDER[0]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared folder and go on from the written table.
+
+    For frames that later steps read several times with different columns (which
+    defeats exchange reuse) and for the state of iterations: the lineage ends at
+    files that survive a lost executor.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix=f"tenderlake-ckpt-{os.getpid()}-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -13,8 +13,15 @@ from ..functions.cleaning import MONEY
 from ..functions.names import party_name
 
 
+_SCHEMAS: dict[str, object] = {}
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+    """One given table; its schema is read from the footer once per path."""
+    path = f"{root}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def _line_value() -> Column:
@@ -138,6 +145,15 @@ def market_rows(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def evaluation_methods(spark: SparkSession, root: str) -> DataFrame:
+    """Procurement and evaluation method alone, for jobs that need no other row column."""
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    return table(spark, root, "orders").select(
+        F.col("o_orderkey").cast("string").alias("procurement_id"),
+        F.when(urgent, "lowest_price").otherwise("best_value").alias("evaluation_method"),
+    )
+
+
 TOWNS = (
     "Rīga", "Jūrmala, LV-2015", "Cēsu novads, Cēsis", "Liepāja", "Jelgava", "Daugavpils", "Latvija", "Balvu novads",
     "Brīvības iela 1, Salaspils", "-",
