@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-_MODULES = ("market",)
+_MODULES = ("market", "relational", "ingest")
 
 
 def _load() -> None:

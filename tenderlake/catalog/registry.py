@@ -110,7 +110,7 @@ PARTS = {
         name AS winner_name, '4' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS winner_reg_number,
         CASE WHEN l_suppkey % 17 <> 0 THEN CAST(sum(value) AS DOUBLE) END AS contract_value_eur,
         CAST(min(value) AS DOUBLE) AS contract_value_original_eur,
-        strftime(max(l_shipdate), CASE WHEN l_suppkey % 2 = 0 THEN '%Y-%m-%d' ELSE '%d.%m.%Y' END) AS contract_signed_date,
+        CASE WHEN l_suppkey % 2 = 0 THEN strftime(max(l_shipdate), '%Y-%m-%d') ELSE strftime(max(l_shipdate), '%d.%m.%Y') END AS contract_signed_date,
         max(CAST(l_shipdate AS DATE)) AS signed, CAST(year(max(l_shipdate)) AS INTEGER) AS source_year
         FROM lines JOIN sup ON l_suppkey = s_suppkey WHERE l_returnflag = 'A' GROUP BY l_orderkey, l_suppkey, name""",
     "par": """SELECT CAST(l_orderkey AS VARCHAR) AS procurement_id, name AS participant_name,

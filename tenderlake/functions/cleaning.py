@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,34 +29,29 @@ def none_if_blank(c: Column) -> Column:
     return F.nullif(c, F.lit(""))
 
 
-def _inside(c: Column, opening: str, closing: str) -> Column:
-    wrapped = c.startswith(opening) & c.endswith(closing) & (F.length(c) >= 2)
-    body = F.substr(c, F.lit(3), F.greatest(F.length(c) - 3, F.lit(0)))
-    return F.when(wrapped, body)
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once and use it several times, which keeps plans small."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def unwrap_loose(c: Column) -> Column:
     """``="123"`` to ``123``; only the opening mark is needed; null becomes empty."""
-    opened = F.regexp_replace(F.substr(c, F.lit(3)), r'"+$', "")
-    return F.coalesce(F.when(c.startswith('="'), opened).otherwise(c), F.lit(""))
+    return F.coalesce(F.regexp_replace(c, r'(?s)^="(.*?)"*$', "$1"), F.lit(""))
 
 
 def unwrap_strict(c: Column) -> Column:
     """Trim, unwrap only a complete ``="..."`` and turn blanks into null."""
-    t = strip(c)
-    return none_if_blank(F.coalesce(_inside(t, '="', '"'), t))
+    return none_if_blank(F.regexp_replace(strip(c), r'(?s)^="(?:(.*)")?$', "$1"))
 
 
 def clean_cell(c: Column) -> Column:
     """Trim and unwrap ``="..."`` or ``='...'``."""
-    t = strip(c)
-    return F.coalesce(_inside(t, '="', '"'), _inside(t, "='", "'"), t)
+    return F.regexp_replace(strip(c), r"""(?s)^=(?:(["'])(.*)\1|["'])$""", "$2")
 
 
 def plain_float(c: Column) -> Column:
     """Text that is a plain decimal number, else null (never ``1d`` or ``NaN``)."""
-    t = strip(c)
-    return F.when(t.rlike(NUMBER), t.try_cast("double"))
+    return F.regexp_extract(strip(c), NUMBER, 0).try_cast("double")
 
 
 def comma_float(c: Column) -> Column:
@@ -72,8 +69,7 @@ def cell_float(c: Column) -> Column:
 
 def whole_number(c: Column) -> Column:
     """Integer text only: ``3.7`` is null."""
-    t = strip(c)
-    return F.when(t.rlike(r"^[+-]?\d+$"), t.try_cast("int"))
+    return F.regexp_extract(strip(c), r"^[+-]?\d+$", 0).try_cast("int")
 
 
 def truncated_int(c: Column) -> Column:
@@ -89,8 +85,9 @@ def portal_flag(c: Column) -> Column:
 
 def loose_flag(c: Column) -> Column:
     """Yes-words true, no-words false, anything else null."""
-    t = F.lower(squeeze(c))
-    return F.when(t.isin("1", "true", "yes", "jā"), True).when(t.isin("0", "false", "no", "nē"), False)
+    words = {**dict.fromkeys(("1", "true", "yes", "jā"), True), **dict.fromkeys(("0", "false", "no", "nē"), False)}
+    table = F.create_map(*[F.lit(x) for pair in words.items() for x in pair])
+    return F.try_element_at(table, F.lower(squeeze(c)))
 
 
 def pct(part: Column, whole: Column) -> Column:
@@ -105,7 +102,7 @@ def mean(total: Column, count: Column, digits: int = 2) -> Column:
 def reg_number(c: Column) -> Column:
     """Eleven digits after dropping a country prefix and blanks, else null."""
     bare = F.regexp_replace(F.regexp_replace(strip(c), r"^(?i:lv)", ""), SPACE, "")
-    return F.when(bare.rlike(r"^\d{11}$"), bare)
+    return none_if_blank(F.regexp_extract(bare, r"^\d{11}$", 0))
 
 
 def cpv_code(c: Column) -> Column:
@@ -118,7 +115,7 @@ def year_in_name(c: Column) -> Column:
 
 def money_text(c: Column) -> Column:
     """Two-decimal text; text that is no number is kept as canonical text."""
-    number = F.when(strip(c).rlike(NUMBER), strip(c).try_cast("decimal(38,2)")).cast("string")
+    number = F.regexp_extract(strip(c), NUMBER, 0).try_cast("decimal(38,2)").cast("string")
     return F.coalesce(number, plain_text(c))
 
 
@@ -170,16 +167,19 @@ def size_band(c: Column) -> Column:
 
 def procurement_url(url: Column, procurement_id: Column) -> Column:
     """Absolute portal address; built from the id when no address is given."""
-    given = strip(F.coalesce(clean_cell(url), F.lit("")))
     pid = none_if_blank(clean_cell(procurement_id))
-    absolute = (
-        F.when(given == "", F.concat(F.lit(fixed.PORTAL_PROCUREMENT), pid))
-        .when(given.startswith("/"), F.concat(F.lit(fixed.PORTAL_ROOT), given))
-        .when(given.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), given)
-        .otherwise(F.concat(F.lit("https://"), F.regexp_replace(given, "^/+", "")))
-    )
     bare = fixed.PORTAL_BARE_HOST.replace(".", r"\.")
-    return F.regexp_replace(absolute, rf"^(?i:([a-z]+))://{bare}(?=[/?#]|$)", f"$1://{fixed.PORTAL_HOST}")
+
+    def absolute(given: Column) -> Column:
+        return (
+            F.when(given == "", F.concat(F.lit(fixed.PORTAL_PROCUREMENT), pid))
+            .when(given.startswith("/"), F.concat(F.lit(fixed.PORTAL_ROOT), given))
+            .when(given.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), given)
+            .otherwise(F.concat(F.lit("https://"), F.regexp_replace(given, "^/+", "")))
+        )
+
+    whole = let(strip(F.coalesce(clean_cell(url), F.lit(""))), absolute)
+    return F.regexp_replace(whole, rf"^(?i:([a-z]+))://{bare}(?=[/?#]|$)", f"$1://{fixed.PORTAL_HOST}")
 
 
 def record_key(procurement_id: Column, url: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 from itertools import chain
 from operator import or_
@@ -10,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
-from .cleaning import SPACE, none_if_blank, strip
+from .cleaning import let, none_if_blank, strip
 from .names import folded_lower
 
 
@@ -24,7 +25,8 @@ def any_of(conditions: list[Column]) -> Column:
 
 
 def contains_any(c: Column, words) -> Column:
-    return any_of([F.contains(c, F.lit(w)) for w in words])
+    """Whether any of the plain words occurs in the text."""
+    return c.rlike("|".join(re.escape(w) for w in words))
 
 
 def cpv_label(prefix: Column, labels: dict[str, str] = fixed.CPV_LABELS) -> Column:
@@ -34,7 +36,7 @@ def cpv_label(prefix: Column, labels: dict[str, str] = fixed.CPV_LABELS) -> Colu
 def cpv_category(c: Column, labels: dict[str, str] = fixed.CPV_LABELS) -> Column:
     """Label of the two-digit division; ``unknown`` for a missing code."""
     prefix = F.substring(F.regexp_replace(strip(c), '^[="]+', ""), 1, 2)
-    return F.when(c.isNull() | (c == ""), fixed.NO_CATEGORY).otherwise(cpv_label(prefix, labels))
+    return F.when(c.isNull() | (c == ""), fixed.NO_CATEGORY).otherwise(let(prefix, lambda p: cpv_label(p, labels)))
 
 
 def location_bucket(c: Column) -> Column:
@@ -48,19 +50,22 @@ def location_bucket(c: Column) -> Column:
         lower = F.lower(part)
         return ~(lower.startswith("lv") | contains_any(lower, fixed.STREET_MARKS))
 
-    first_town = F.try_element_at(F.filter(parts, is_town), F.lit(1))
-    known = F.coalesce(first_town, F.try_element_at(parts, F.lit(1)), F.lit(fixed.NO_LOCATION))
-    return F.when(F.coalesce(strip(c), F.lit("")).isin("", "-"), fixed.NO_LOCATION).otherwise(known)
+    def choose(found: Column) -> Column:
+        return F.coalesce(F.get(F.filter(found, is_town), F.lit(0)), F.get(found, F.lit(0)), F.lit(fixed.NO_LOCATION))
+
+    return F.when(F.coalesce(strip(c), F.lit("")).isin("", "-"), fixed.NO_LOCATION).otherwise(let(parts, choose))
 
 
 def planning_region(location: Column) -> Column:
     """Region of the first keyword list met in the location bucket."""
-    bucket = location_bucket(location)
-    lower = F.lower(bucket)
-    region = F.when(bucket == fixed.COUNTRY, fixed.WHOLE_COUNTRY)
-    for name, words in fixed.REGION_KEYWORDS.items():
-        region = region.when(contains_any(lower, words), name)
-    return region.otherwise(fixed.NO_REGION)
+
+    def choose(bucket: Column) -> Column:
+        region = F.when(bucket == fixed.COUNTRY, fixed.WHOLE_COUNTRY)
+        for name, words in fixed.REGION_KEYWORDS.items():
+            region = region.when(contains_any(F.lower(bucket), words), name)
+        return region.otherwise(fixed.NO_REGION)
+
+    return let(location_bucket(location), choose)
 
 
 def category(*candidates: Column) -> Column:
@@ -78,9 +83,8 @@ def finished_status(c: Column) -> Column:
 
 def enum_value(c: Column, allowed: tuple[str, ...], synonyms: dict[str, str]) -> Column:
     """Allowed word, else its synonym, else ``unknown``."""
-    text = F.lower(strip(c))
-    direct = F.when(text.isin(*allowed), text)
-    return F.coalesce(direct, F.try_element_at(lookup(synonyms), text), F.lit("unknown"))
+    table = {**synonyms, **{word: word for word in allowed}}
+    return F.coalesce(F.try_element_at(lookup(table), F.lower(strip(c))), F.lit("unknown"))
 
 
 def domain(c: Column) -> Column:
@@ -105,18 +109,24 @@ def final_label(c: Column) -> Column:
 
 def message_language(text: Column) -> Column:
     """``lv`` or ``en`` by letters, then hint words; null when undecided."""
-    lower = F.lower(strip(text))
-    tokens = F.regexp_extract_all(lower, F.lit(rf"([a-z{fixed.LATVIAN_LETTERS}]+)"))
+    def decide(t: Column) -> Column:
+        english, latvian = t["english"], t["latvian"]
+        return (
+            F.when(t["lower"].rlike(f"[{fixed.LATVIAN_LETTERS}]"), "lv")
+            .when((english >= 2) & (english > latvian), "en")
+            .when((latvian >= 1) & (latvian > english), "lv")
+        )
+
+    def count(t: Column) -> Column:
+        def hits(words: tuple[str, ...]) -> Column:
+            return F.size(F.filter(t["tokens"], lambda x: x.isin(*words)))
+
+        return F.struct(t["lower"].alias("lower"), hits(fixed.ENGLISH_HINTS).alias("english"), hits(fixed.LATVIAN_HINTS).alias("latvian"))
 
-    def hits(words: tuple[str, ...]) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.isin(*words)))
+    def cut(lower: Column) -> Column:
+        return F.struct(lower.alias("lower"), F.regexp_extract_all(lower, F.lit(rf"([a-z{fixed.LATVIAN_LETTERS}]+)")).alias("tokens"))
 
-    english, latvian = hits(fixed.ENGLISH_HINTS), hits(fixed.LATVIAN_HINTS)
-    return (
-        F.when(lower.rlike(f"[{fixed.LATVIAN_LETTERS}]"), "lv")
-        .when((english >= 2) & (english > latvian), "en")
-        .when((latvian >= 1) & (latvian > english), "lv")
-    )
+    return let(let(let(F.lower(strip(text)), cut), count), decide)
 
 
 def lot_count_in_text(text: Column) -> Column:
@@ -129,15 +139,16 @@ def lot_count_in_text(text: Column) -> Column:
 
 def first_json_object(text: Column) -> Column:
     """JSON object text inside a model answer: fences dropped, else the outermost braces."""
-    bare = strip(text)
-    bare = F.when(
-        bare.startswith("```"),
-        F.regexp_replace(F.regexp_replace(bare, rf"^```[a-zA-Z0-9_-]*{SPACE[:-1]}*", ""), rf"{SPACE[:-1]}*```$", ""),
-    ).otherwise(bare)
-
-    def as_object(candidate: Column) -> Column:
-        return F.when(F.schema_of_variant(F.try_parse_json(candidate)).startswith("OBJECT"), candidate)
-
-    whole = F.try_parse_json(bare)
-    inner = none_if_blank(F.regexp_extract(bare, r"(?s)(\{.*\})", 1))
-    return F.when(whole.isNull(), as_object(inner)).otherwise(as_object(bare))
+    ws = r"[\s\p{Z}]*"
+
+    def unfence(t: Column) -> Column:
+        return F.regexp_replace(F.regexp_replace(t, rf"^```[a-zA-Z0-9_-]*{ws}", ""), rf"{ws}```$", "")
+
+    def as_object(t: Column) -> Column:
+        return F.when(F.schema_of_variant(F.try_parse_json(t)).startswith("OBJECT"), t)
+
+    def choose(t: Column) -> Column:
+        inner = none_if_blank(F.regexp_extract(t, r"(?s)(\{.*\})", 1))
+        return F.when(F.try_parse_json(t).isNull(), as_object(inner)).otherwise(as_object(t))
+
+    return let(let(strip(text), lambda t: F.when(t.startswith("```"), unfence(t)).otherwise(t)), choose)

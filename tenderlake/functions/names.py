@@ -88,12 +88,10 @@ def display_name(c: Column) -> Column:
 
 
 def without_noise(c: Column) -> Column:
-    """Text before a trailing registration mark or an eleven-digit run."""
-    cut = F.lit(None).cast("string")
-    for mark in (r"\(?rg\b", r"\(?reģ", r"\d{11}"):
-        pattern = rf"(?i)^(.*?)[\s\p{{Z}}]*{mark}"
-        cut = F.coalesce(cut, F.when(c.rlike(pattern), strip(F.regexp_extract(c, pattern, 1))))
-    return F.coalesce(cut, c)
+    """Text before a trailing registration mark or, failing that, an eleven-digit run."""
+    marks = (r"\(?rg\b", r"\(?reģ", r"\d{11}")
+    cuts = "|".join(rf"(.*?)[\s\p{{Z}}]*{m}.*" for m in marks)
+    return strip(F.regexp_replace(c, rf"(?is)^(?:{cuts})$", "$1$2$3"))
 
 
 def match_key(c: Column) -> Column:

@@ -254,7 +254,7 @@ def read_landing(spark: SparkSession, root: str, name: str, first_year: int, las
         reader = reader.option("header", True)
     if not dataset.yearly:
         return reader.format(fmt).load(f"{root}/{name}").withColumn("source_year", F.lit(0))
-    schema = raw_schema(dataset).add("source_year", "int")
+    schema = raw_schema(dataset).add("source_year", T.IntegerType())
     reader = spark.read.schema(schema)
     if fmt == "csv":
         reader = reader.option("header", True)
