@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-_MODULES = ("market", "relational", "ingest")
+_MODULES = ("market", "relational", "ingest", "cleaning", "merges")
 
 
 def _load() -> None:
