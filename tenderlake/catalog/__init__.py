@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-_MODULES = ("market", "relational", "ingest", "cleaning", "merges")
+_MODULES = ("market", "relational", "ingest", "cleaning", "merges", "names", "texts")
 
 
 def _load() -> None:

@@ -129,7 +129,7 @@ def _(s, d):
 @query(
     "match_key",
     """WITH n AS (SELECT c_custkey, c_custkey % 5 AS i, c_name AS n, lower(replace(c_name, '#', ' ')) AS k FROM customer)
-    SELECT c_custkey, CASE i WHEN 3 THEN 'jasa eka ' || k WHEN 4 THEN '' ELSE k END AS key,
+    SELECT c_custkey, CASE i WHEN 3 THEN 'jasa eka ' || k WHEN 4 THEN 'eur' ELSE k END AS key,
     CASE i WHEN 0 THEN 'SIA ' || n WHEN 1 THEN n WHEN 2 THEN n || ',' WHEN 3 THEN 'Jāšā Ēka ' || n ELSE 'EUR' END AS trimmed,
     CASE i WHEN 0 THEN lower(n) WHEN 1 THEN lower(n) || ' (reg. nr. 40003356530)' WHEN 2 THEN lower(n) || ', 40003356530 x'
       WHEN 3 THEN 'jasa eka ' || lower(n) ELSE 'eur' END AS core, i <> 4 AS plausible FROM n""",
@@ -142,9 +142,8 @@ def _(s, d):
     )
     x = F.col("raw")
     staged = star.table(s, d, "customer").select("c_custkey", raw.alias("raw"))
-    key = F.when(F.col("c_custkey") % 5 == 4, "").otherwise(names.match_key(x))
     return staged.select(
-        "c_custkey", key.alias("key"), names.without_noise(x).alias("trimmed"), names.name_core(x).alias("core"), names.plausible(x).alias("plausible")
+        "c_custkey", names.match_key(x).alias("key"), names.without_noise(x).alias("trimmed"), names.name_core(x).alias("core"), names.plausible(x).alias("plausible")
     )
 
 

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import fixed
 from .cleaning import SPACE, none_if_blank, squeeze, strip, unify_quotes
@@ -35,7 +36,7 @@ def fold(c: Column) -> Column:
     return F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{Mn}+", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fold_any_script(text: pd.Series) -> pd.Series:
     """Full compatibility fold for text outside the Latin blocks."""
     return text.map(
@@ -91,7 +92,7 @@ def without_noise(c: Column) -> Column:
     """Text before a trailing registration mark or, failing that, an eleven-digit run."""
     marks = (r"\(?rg\b", r"\(?reģ", r"\d{11}")
     cuts = "|".join(rf"(.*?)[\s\p{{Z}}]*{m}.*" for m in marks)
-    return strip(F.regexp_replace(c, rf"(?is)^(?:{cuts})$", "$1$2$3"))
+    return strip(F.regexp_replace(c, rf"(?isU)^(?:{cuts})$", "$1$2$3"))
 
 
 def match_key(c: Column) -> Column:

@@ -89,8 +89,8 @@ def project_class(projects: DataFrame) -> DataFrame:
     number = F.coalesce("procurement_identification_number", F.lit(""))
     name = F.coalesce("procurement_name", F.lit(""))
     cpv = F.coalesce("cpv_main", F.lit(""))
-    short = folded_lower(F.concat_ws(" ", name, number))
-    full = folded_lower(F.concat_ws(" ", name, cpv, number))
+    folded = {"_short": folded_lower(F.concat_ws(" ", name, number)), "_full": folded_lower(F.concat_ws(" ", name, cpv, number))}
+    short, full = F.col("_short"), F.col("_full")
     code = cpv_code(F.col("cpv_main"))
     head = F.coalesce(F.substring(code, 1, 4), F.lit(""))
 
@@ -103,7 +103,7 @@ def project_class(projects: DataFrame) -> DataFrame:
         "_renov": hits(short, fixed.RENOVATION_WORDS),
         "_new": hits(short, fixed.NEW_BUILD_WORDS),
     }
-    marked = projects.withColumns(found)
+    marked = projects.withColumns(folded).withColumns(found)
 
     def some(x: str) -> Column:
         return F.size(x) > 0
@@ -126,7 +126,7 @@ def project_class(projects: DataFrame) -> DataFrame:
         reason("renov_kw", "_renov"), reason("new_kw", "_new"),
     )
     out = marked.withColumns({"project_class": label, "class_reason": F.when(reasons == "", "no-strong-signals").otherwise(reasons)})
-    return out.drop(*found)
+    return out.drop(*found, *folded)
 
 
 # --- outcomes -----------------------------------------------------------------
@@ -196,11 +196,12 @@ def outcomes(parsed: DataFrame) -> DataFrame:
 # --- lot sections ---------------------------------------------------------------
 
 
-def lot_sections(texts: DataFrame, text: str = "text", lot_count: str | None = None) -> DataFrame:
+def lot_sections(texts: DataFrame, text: str = "text", lot_count: str | None = None, section_chars: int | None = None) -> DataFrame:
     """Rows ``(…, pos, lot_number, text_section)`` of the lots a text is divided in.
 
     The first heading pattern that splits the text is used. A text that names a
-    lot count but shows no headings gives empty placeholder lots.
+    lot count but shows no headings gives empty placeholder lots. Sections are
+    whole unless ``section_chars`` shortens them.
     """
     t = F.col(text)
 
@@ -210,7 +211,7 @@ def lot_sections(texts: DataFrame, text: str = "text", lot_count: str | None = N
         bodies = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
         return F.transform(
             F.arrays_zip(numbers.alias("n"), bodies.alias("b")),
-            lambda z: F.struct(z["n"].try_cast("int").alias("lot_number"), F.substring(z["b"], 1, fixed.LOT_SECTION_CHARS).alias("text_section")),
+            lambda z: F.struct(z["n"].try_cast("int").alias("lot_number"), (F.substring(z["b"], 1, section_chars) if section_chars else z["b"]).alias("text_section")),
         )
 
     found = F.coalesce(*[F.when(F.size(F.regexp_extract_all(t, F.lit(p))) > 0, cut(p)) for p in fixed.LOT_HEADINGS])

@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import json
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import fixed
 from ..functions.cleaning import none_if_blank, strip
 from ..functions.labels import contains_any
 from ..functions.names import folded_lower
 
+# Task helpers travel with the job, so workers need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def page_facts(pages: DataFrame, html: str = "html") -> DataFrame:
     """Captcha and publication flags and the request token of each page."""
@@ -42,7 +48,7 @@ def _array_text(page: str, variable: str) -> list[str]:
 def embedded_items(html: Column, variable: str) -> Column:
     """Array of JSON object texts that a page assigns to a script variable."""
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf(T.ArrayType(T.StringType()))
     def read(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [] if t is None else _array_text(t, variable))
 
@@ -58,6 +64,10 @@ def documents(pages: DataFrame, variable: str, html: str = "html", out: str = "d
     return pages.withColumn(out, parsed)
 
 
+def _prefixed(texts: Column, prefix: str) -> Column:
+    return F.transform(texts, lambda t: F.concat(F.lit(prefix), t))
+
+
 def matched_titles(pages: DataFrame, html: str = "html", historical: bool = True, patterns: tuple[str, ...] = fixed.DESIGN_TITLE_PATTERNS) -> DataFrame:
     """Design-document titles per page, marked with the section they stand in."""
     any_pattern = "|".join(patterns)
@@ -69,7 +79,7 @@ def matched_titles(pages: DataFrame, html: str = "html", historical: bool = True
         pages = documents(pages, variable, html, f"_{section}")
         titles = F.transform(F.col(f"_{section}"), lambda d: strip(F.coalesce(d["Title"], F.lit(""))))
         hits = F.filter(titles, lambda t: (t != "") & folded_lower(t).rlike(any_pattern))
-        lists.append(F.transform(hits, lambda t, s=section: F.concat(F.lit(f"{s}:"), t)))
+        lists.append(_prefixed(hits, f"{section}:"))
     found = F.concat(*lists)
     out = pages.withColumns({"matched_document_titles": found, "matched_document_count": F.size(found)})
     return out.drop(*[f"_{s}" for s in sections])
