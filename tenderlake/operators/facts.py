@@ -122,7 +122,9 @@ def portal_rows(announcements: DataFrame, results: DataFrame, participants: Data
 
 def bids_from_json(rows: DataFrame) -> DataFrame:
     """Bids of the participant lists held as JSON text, parsed once."""
-    listed = rows.select("procurement_id", F.posexplode(jsonlists.participants(F.col("procurement_participants_json"))).alias("pos", "p"))
+    # Outer, since an inner explode would parse every list once more to drop the empty ones.
+    parsed = jsonlists.participants(F.col("procurement_participants_json"))
+    listed = rows.select("procurement_id", F.posexplode_outer(parsed).alias("pos", "p")).where(F.col("pos").isNotNull())
     return listed.select(
         "procurement_id",
         F.col("pos").cast("long").alias("pos"),

@@ -220,7 +220,8 @@ def lot_sections(texts: DataFrame, text: str = "text", lot_count: str | None = N
         blank = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(i.alias("lot_number"), F.lit("").alias("text_section")))
         found = F.coalesce(found, F.when(n > 1, blank))
     others = [x for x in texts.columns if x != text]
-    return texts.select(*others, F.posexplode(found).alias("pos", "s")).select(*others, "pos", "s.lot_number", "s.text_section")
+    cut_up = texts.select(*others, F.posexplode_outer(found).alias("pos", "s")).where(F.col("pos").isNotNull())
+    return cut_up.select(*others, "pos", "s.lot_number", "s.text_section")
 
 
 def assign_lots(participants: DataFrame, sections: DataFrame, key: str) -> DataFrame:
