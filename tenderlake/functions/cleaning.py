@@ -49,18 +49,22 @@ def clean_cell(c: Column) -> Column:
     return F.regexp_replace(strip(c), r"""(?s)^=(?:(["'])(.*)\1|["'])$""", "$2")
 
 
+def _number(bare: Column) -> Column:
+    return F.regexp_extract(bare, NUMBER, 0).try_cast("double")
+
+
 def plain_float(c: Column) -> Column:
     """Text that is a plain decimal number, else null (never ``1d`` or ``NaN``)."""
-    return F.regexp_extract(strip(c), NUMBER, 0).try_cast("double")
+    return _number(strip(c))
 
 
 def comma_float(c: Column) -> Column:
-    return plain_float(F.replace(c, F.lit(","), F.lit(".")))
+    return _number(strip(F.replace(c, F.lit(","), F.lit("."))))
 
 
 def spaced_float(c: Column) -> Column:
     """Blanks dropped and decimal comma accepted: ``12 000,50``."""
-    return comma_float(F.replace(strip(c), F.lit(" "), F.lit("")))
+    return _number(strip(F.translate(c, ", ", ".")))
 
 
 def cell_float(c: Column) -> Column:

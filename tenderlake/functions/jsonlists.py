@@ -24,13 +24,17 @@ def list_length(json_text: Column) -> Column:
     return F.json_array_length(json_text)
 
 
+_PARTICIPANT = "name string, registration_no string, reg_no string, suggested_price_eur string"
+
+
 def participants(json_text: Column) -> Column:
     """Participant structs ``(name, reg, price)`` of a JSON list, in list order."""
-    return F.transform(
-        object_items(json_text),
-        lambda x: F.struct(
-            F.get_json_object(x, "$.name").alias("name"),
-            F.coalesce(F.get_json_object(x, "$.registration_no"), F.get_json_object(x, "$.reg_no")).alias("reg"),
-            plain_float(F.get_json_object(x, "$.suggested_price_eur")).try_cast(MONEY).alias("price"),
-        ),
-    )
+
+    def shape(p: Column) -> Column:
+        return F.struct(
+            p["name"].alias("name"),
+            F.coalesce(p["registration_no"], p["reg_no"]).alias("reg"),
+            plain_float(p["suggested_price_eur"]).try_cast(MONEY).alias("price"),
+        )
+
+    return F.transform(F.transform(object_items(json_text), lambda x: F.from_json(x, _PARTICIPANT)), shape)

@@ -78,10 +78,15 @@ def simple_party_name(c: Column) -> Column:
     return F.coalesce(none_if_blank(text), F.lit(fixed.NO_PARTY))
 
 
-def compared_party_name(c: Column) -> Column:
-    """Comparison name: as the fallback, also without apostrophes; blank is null."""
+def party_text(c: Column) -> Column:
+    """Comparison form of a name: as the fallback, also without apostrophes."""
     text = _drop_simple_tokens(F.upper(squeeze(unify_quotes(c))))
-    return none_if_blank(squeeze(F.translate(text, ".,\"'", "  ")))
+    return squeeze(F.translate(text, ".,\"'", "  "))
+
+
+def compared_party_name(c: Column) -> Column:
+    """Comparison name; blank is null."""
+    return none_if_blank(party_text(c))
 
 
 def display_name(c: Column) -> Column:

@@ -7,28 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fixed, jsonlists
-from ..functions.cleaning import loose_flag, money_text, none_if_blank, plain_text
-from ..functions.names import compared_party_name
+from ..functions.cleaning import loose_flag, money_text, plain_text, squeeze, unify_quotes
+from ..functions.names import compared_party_name, party_text
 from ..sources.schemas import with_optional_columns
 
 FIELD_SETS = {"all": fixed.ALL_COMPARED, "business": fixed.BUSINESS_COMPARED}
 
 
+_NAMES = ("name", "winner_name", "participant_name")
+_REGS = ("registration_no", "reg_no", "participant_reg_number", "winner_reg_number")
+_VALUES = ("value_eur", "contract_value_eur")
+_MEMBER = ", ".join(f"{x} string" for x in (*_NAMES, *_REGS, *_VALUES))
+
+
 def _list_items(json_text: Column, with_value: bool) -> Column:
-    """Members of a JSON list in canonical form, ordered by number, name and value."""
+    """Members of a JSON list in canonical form, ordered by number, name and value.
+
+    Each step is its own ``transform``, so every member is parsed and cleaned once.
+    """
+
+    def given(p: Column, keys: tuple[str, ...]) -> Column:
+        return F.coalesce(*[F.when(p[k] != "", p[k]) for k in keys])
 
-    def one(x: Column) -> Column:
-        def pick(*keys: str) -> Column:
-            return F.coalesce(*[none_if_blank(F.get_json_object(x, f"$.{k}")) for k in keys])
+    def pick(p: Column) -> Column:
+        return F.struct(given(p, _REGS).alias("reg"), given(p, _NAMES).alias("name"), given(p, _VALUES).alias("value"))
 
-        name = compared_party_name(pick("name", "winner_name", "participant_name"))
-        reg = plain_text(pick("registration_no", "reg_no", "participant_reg_number", "winner_reg_number"))
-        fields = [F.coalesce(reg, F.lit("")).alias("registration_no"), F.coalesce(name, F.lit("")).alias("name")]
+    def clean(p: Column) -> Column:
+        fields = [F.coalesce(squeeze(unify_quotes(p["reg"])), F.lit("")).alias("registration_no"), F.coalesce(party_text(p["name"]), F.lit("")).alias("name")]
         if with_value:
-            fields.append(F.coalesce(money_text(pick("value_eur", "contract_value_eur")), F.lit("")).alias("value_eur"))
+            fields.append(F.coalesce(money_text(p["value"]), F.lit("")).alias("value_eur"))
         return F.struct(*fields)
 
-    return F.array_sort(F.transform(jsonlists.object_items(json_text), one))
+    parsed = F.transform(jsonlists.object_items(json_text), lambda x: F.from_json(x, _MEMBER))
+    return F.array_sort(F.transform(F.transform(parsed, pick), clean))
 
 
 def canonical_list(json_text: Column, with_value: bool = False) -> Column:

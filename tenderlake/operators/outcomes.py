@@ -89,21 +89,24 @@ def project_class(projects: DataFrame) -> DataFrame:
     number = F.coalesce("procurement_identification_number", F.lit(""))
     name = F.coalesce("procurement_name", F.lit(""))
     cpv = F.coalesce("cpv_main", F.lit(""))
-    folded = {"_short": folded_lower(F.concat_ws(" ", name, number)), "_full": folded_lower(F.concat_ws(" ", name, cpv, number))}
-    short, full = F.col("_short"), F.col("_full")
+    folded = {"_name": folded_lower(name), "_number": folded_lower(number), "_cpv": folded_lower(cpv)}
+    short = F.concat_ws(" ", "_name", "_number")
+    full = F.concat_ws(" ", "_name", "_cpv", "_number")
     code = cpv_code(F.col("cpv_main"))
     head = F.coalesce(F.substring(code, 1, 4), F.lit(""))
 
     def hits(text: Column, words: tuple[str, ...]) -> Column:
         return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
 
+    texts = {"_short": short, "_full": full}
+    short, full = F.col("_short"), F.col("_full")
     found = {
         "_infra": hits(full, fixed.INFRASTRUCTURE_WORDS),
         "_building": hits(full, fixed.BUILDING_WORDS),
         "_renov": hits(short, fixed.RENOVATION_WORDS),
         "_new": hits(short, fixed.NEW_BUILD_WORDS),
     }
-    marked = projects.withColumns(folded).withColumns(found)
+    marked = projects.withColumns(folded).withColumns(texts).withColumns(found)
 
     def some(x: str) -> Column:
         return F.size(x) > 0
@@ -126,7 +129,7 @@ def project_class(projects: DataFrame) -> DataFrame:
         reason("renov_kw", "_renov"), reason("new_kw", "_new"),
     )
     out = marked.withColumns({"project_class": label, "class_reason": F.when(reasons == "", "no-strong-signals").otherwise(reasons)})
-    return out.drop(*found, *folded)
+    return out.drop(*found, *folded, *texts)
 
 
 # --- outcomes -----------------------------------------------------------------

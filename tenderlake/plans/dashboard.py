@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed, jsonlists
 from ..functions.cleaning import mean, pct
 from ..operators.facts import (
-    AWARD, COUNT, ESTIMATE, WINNER, amount, bid_facts, estimate, filled, has_winner, mean_gap, total,
+    AWARD, COUNT, ESTIMATE, WINNER, amount, bid_facts, estimate, filled, has_winner, total,
 )
 from ..operators.ranking import most_common, top
+from ..session import written
 
 RANKED = {
     "winner": "winner_display_name",
@@ -126,18 +127,33 @@ def concentration(rows: DataFrame) -> DataFrame:
     )
 
 
+def _shown_names(cells: DataFrame, facts: DataFrame) -> DataFrame:
+    """Display name per bidder: its spelling on the newest row, newest year and greatest id first.
+
+    Nearly every bidder has one spelling, which the cells tell already; only
+    the facts of bidders with several are looked at again.
+    """
+    spellings = cells.groupBy("norm_name", "name").agg(_one().alias("n"))
+    per_bidder = spellings.groupBy("norm_name").agg(_one().alias("spellings"), F.min("name").alias("name"))
+    several = per_bidder.where(F.col("spellings") > 1).select("norm_name")
+    single = per_bidder.where(F.col("spellings") == 1).select("norm_name", "name")
+    if several.isEmpty():
+        return single
+    newest = F.max(F.struct("year", "procurement_id", "name")).getField("name").alias("name")
+    return single.unionByName(facts.join(several, "norm_name", "left_semi").groupBy("norm_name").agg(newest))
+
+
 def bidder_table(rows: DataFrame, bids: DataFrame) -> DataFrame:
     """Every bidder with applications, outcomes, values, gaps and top category.
 
-    One pre-aggregation per (bidder, buyer, category) feeds both the totals and
-    the top category.
+    One pre-aggregation per (bidder, spelling, buyer, category) is written once
+    and feeds the totals, the top category and the display name. Its measures
+    are all fixed-width, so it hashes instead of sorting.
     """
     gap, won, lost = F.col("gap"), F.col("won"), ~F.col("won")
-    cells = (
-        bid_facts(rows, bids)
-        .groupBy("norm_name", _buyer().alias("buyer"), _category().alias("category"))
-        .agg(
-            F.max(F.struct("year", "procurement_id", "name")).alias("seen"),
+    facts = bid_facts(rows, bids)
+    cells = written(
+        facts.groupBy("norm_name", "name", _buyer().alias("buyer"), _category().alias("category")).agg(
             _one().alias("applications"),
             F.count_if(won).alias("wins"),
             F.count_if(lost).alias("losses"),
@@ -150,18 +166,22 @@ def bidder_table(rows: DataFrame, bids: DataFrame) -> DataFrame:
     )
     favourite = most_common(cells, ["norm_name"], "category", F.sum("applications"), "top_category")
     totals = cells.groupBy("norm_name").agg(
-        F.max("seen").getField("name").alias("name"),
         F.sum("applications").alias("applications"),
         F.sum("wins").alias("wins"),
         F.sum("losses").alias("losses"),
         pct(F.sum("wins"), F.sum("applications")).alias("win_rate_pct"),
         total(F.col("bid_value")).alias("total_bid_value_eur"),
         total(F.col("won_value")).alias("won_value_eur"),
-        F.countDistinct("buyer").alias("buyers_count"),
         *[F.sum(f"close_losses_{n}pct").alias(f"close_losses_{n}pct") for n in (1, 3, 5)],
         mean(F.sum("gap_sum"), F.sum("gap_count")).alias("avg_loss_gap_pct"),
     )
-    return totals.join(favourite.drop("top_category_count"), "norm_name", "left").drop("norm_name")
+    buyers = cells.select("norm_name", "buyer").distinct().groupBy("norm_name").agg(_one().alias("buyers_count"))
+    return (
+        totals.join(buyers, "norm_name")
+        .join(_shown_names(cells, facts), "norm_name")
+        .join(favourite.drop("top_category_count"), "norm_name", "left")
+        .drop("norm_name")
+    )
 
 
 def bidder_leaderboard(bidders: DataFrame, k: int | None = 15) -> DataFrame:
