@@ -439,3 +439,33 @@ def _(s, d):
     chosen = landing.records_by_keys(kept, keys, "procurement_record_key")
     ddl = "procurement_id string, procurement_name string, report_download_status string"
     return landing.overlay_report_columns(chosen.drop("procurement_id"), ddl, "raw", ["report_download_status"])
+
+
+@query(
+    "run_manifest",
+    f"""WITH {_ROLL}, {_FIRST}, y AS (SELECT CAST(b.y AS VARCHAR) AS year, count(*) AS n, count(*) FILTER (greatest(project, lots) >= 200000) AS m
+      FROM base JOIN est USING (k) GROUP BY 1)
+    SELECT CAST(sum(n) AS BIGINT) AS procurement_records_before_value_filter, CAST(sum(m) AS BIGINT) AS procurement_records,
+    '{{' || string_agg('"' || year || '":' || CAST(n AS VARCHAR), ',' ORDER BY year) || '}}' AS counts_by_year_before_value_filter,
+    '{{' || string_agg('"' || year || '":' || CAST(m AS VARCHAR), ',' ORDER BY year) || '}}' AS counts_by_year FROM y""",
+)
+def _(s, d):
+    every = lots.collected_records(raw_announcements(s, d), ["4", "5"])
+    manifest = lots.run_manifest(every, every.where(F.col("estimated_value_eur") >= 200000), lots.class_counts(merge.with_class_defaults(every)))
+    return manifest.drop("classification_counts")
+
+
+@query(
+    "results_in_scope",
+    """SELECT procurement_id, winner_reg_number, contract_value_eur FROM res
+    WHERE CAST(procurement_id AS BIGINT) % 90 + 10 BETWEEN 40 AND 49 AND CAST(procurement_id AS BIGINT) % 100 <> 99""",
+)
+def _(s, d):
+    from ..operators import views
+
+    key = F.col("o_orderkey")
+    raw = star.table(s, d, "orders").select(
+        F.when(key % 100 != 99, _excel(key)).alias("Iepirkuma_ID"),
+        F.concat(F.lit('="'), star.code_of(key), F.lit(' Darbi"')).alias("CPV_kods_galvenais_prieksmets"),
+    )
+    return views.results_in_code_scope(star.results(s, d), raw, "4").select("procurement_id", "winner_reg_number", "contract_value_eur")

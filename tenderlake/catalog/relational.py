@@ -6,8 +6,10 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from ..functions import fixed
 from ..operators import activity, facts, search, views
 from ..operators.facts import Filters, apply_filters
+from ..plans import dashboard
 from ..sources import star
 from .registry import query
 
@@ -162,6 +164,62 @@ def _(s, d):
     return with_lots.select("with_lots", without.alias("without_lots"))
 
 
+@query(
+    "enriched_rows",
+    f"""WITH r AS (SELECT m.*, {_REGION} AS region_found, c.c_nationkey FROM (SELECT *, CASE WHEN lower(delivery_location) LIKE '%asia%' THEN 'Jelgava'
+      WHEN delivery_location LIKE '%EUROPE' THEN 'Latvija' ELSE delivery_location END AS t FROM mrows) m JOIN customer c ON c_name = purchaser_name)
+    SELECT procurement_id, year, CASE WHEN t IN ('Jelgava', 'Latvija') THEN t ELSE split_part(t, ',', 1) END AS location_bucket, region_found AS planning_region,
+    buyer_normalized, CASE WHEN CAST(procurement_winner_no AS BIGINT) % 4 = 0 THEN 'Company ' || procurement_winner_no ELSE coalesce(winner_normalized, 'Nav norādīts') END
+      AS winner_display_name, CASE WHEN category = 'BUILDING' THEN 'unknown' ELSE category END AS category, is_multi_lot,
+    CAST(award AS DOUBLE) AS award FROM (SELECT r.*, (SELECT CAST(decided.winner AS VARCHAR) FROM decided WHERE CAST(l_orderkey AS VARCHAR) = r.procurement_id)
+      AS procurement_winner_no FROM r) WHERE CAST(procurement_id AS BIGINT) % 7 <> 0""",
+)
+def _(s, d):
+    rows = star.market_rows(s, d)
+    k = F.col("procurement_id").cast("long")
+    place = F.col("delivery_location")
+    town = F.when(F.lower(place).contains("asia"), "Jelgava").when(place.endswith("EUROPE"), "Visā Latvijas Republikas teritorijā").otherwise(place)
+    records = rows.select(
+        "procurement_id", "year", "purchaser_name", "procurement_winner", "procurement_participants_count", "lot_count", "is_multi_lot",
+        F.when(k % 7 != 0, F.concat(F.lit("Data/construction_2023_2025/reports/"), "procurement_id")).otherwise("other/x").alias("report_document_path"),
+        town.alias("delivery_location"), facts.AWARD, facts.ESTIMATE,
+        F.when(F.col("category") == "BUILDING", '{"x": 1}').otherwise(F.col("category")).alias("contract_scope_type"),
+        F.col("procurement_winner_registration_no").cast("long").alias("winner_company_id"),
+    )
+    companies = star.table(s, d, "supplier").where(F.col("s_suppkey") % 4 == 0).select(
+        F.col("s_suppkey").alias("id"), F.concat(F.lit("Company "), F.col("s_suppkey").cast("string")).alias("canonical_name")
+    )
+    done = facts.enrich(facts.report_scope(records), companies)
+    return done.select(
+        "procurement_id", "year", "location_bucket", "planning_region", "buyer_normalized", "winner_display_name", "category", "is_multi_lot",
+        F.col(facts.AWARD).cast("double").alias("award"),
+    )
+
+
+@query(
+    "portal_bids",
+    """SELECT procurement_id, participant_name AS name, upper(replace(replace(participant_name, 'SIA "', ''), '"', '')) AS norm_name,
+    participant_reg_number AS reg, CAST(NULL AS DOUBLE) AS price FROM par""",
+)
+def _(s, d):
+    bids = facts.bids_from_participants(_par(s, d))
+    return bids.select("procurement_id", "name", "norm_name", "reg", F.col("price").cast("double").alias("price"))
+
+
+_CATEGORY_NAMES = ", ".join(f"('{x}')" for x in sorted(set(fixed.CPV_LABELS.values())))
+
+
+@query(
+    "portal_filters",
+    f"""SELECT 'year' AS kind, CAST(year(deadline) AS VARCHAR) AS value FROM ann WHERE deadline IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT 'buyer', buyer FROM ann GROUP BY ALL
+    UNION ALL SELECT DISTINCT 'planning_region', {_REGION} FROM (SELECT {_TOWN} AS t FROM ann)
+    UNION ALL SELECT 'category', x FROM (VALUES {_CATEGORY_NAMES}) v(x)""",
+)
+def _(s, d):
+    return dashboard.portal_filters(_ann(s, d))
+
+
 # --- search -----------------------------------------------------------------------
 
 TODAY = date(1998, 1, 1)
@@ -288,8 +346,7 @@ def _(s, d):
 
 @query(
     "company_cpv_profile",
-    f"""SELECT cpv_prefix, CAST(sum(w) AS BIGINT) AS weight, CASE cpv_prefix {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in
-      __import__('tenderlake.functions.fixed', fromlist=['x']).SEARCH_CPV_LABELS.items())} ELSE 'CPV ' || cpv_prefix || 'xxx' END AS label
+    f"""SELECT cpv_prefix, CAST(sum(w) AS BIGINT) AS weight, CASE cpv_prefix {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in fixed.SEARCH_CPV_LABELS.items())} ELSE 'CPV ' || cpv_prefix || 'xxx' END AS label
     FROM (SELECT cpv_main[1:2] AS cpv_prefix, 1 AS w FROM par JOIN ann USING (procurement_id)
       WHERE participant_name ILIKE '%{NAME}%' AND cpv_main <> ''
       UNION ALL SELECT cpv_main[1:2], 3 FROM res JOIN ann USING (procurement_id) WHERE winner_name ILIKE '%{NAME}%' AND cpv_main <> '')

@@ -126,6 +126,26 @@ def year_counts(before: DataFrame, after: DataFrame) -> DataFrame:
     return b.join(a, "year", "left").withColumn("after_filter", F.coalesce("after_filter", F.lit(0)))
 
 
+def run_manifest(before: DataFrame, after: DataFrame, classes: DataFrame) -> DataFrame:
+    """Summary of one run as a single row; per-year and per-class counts are JSON objects.
+
+    ``before`` and ``after`` are the records around the value floor, ``classes``
+    the output of ``class_counts``; both key sets are small by nature.
+    """
+    years = year_counts(before, after)
+
+    def as_map(key: str, value: str) -> Column:
+        return F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(key, value)))))
+
+    counted = years.agg(
+        F.coalesce(F.sum("before_filter"), F.lit(0)).alias("procurement_records_before_value_filter"),
+        F.coalesce(F.sum("after_filter"), F.lit(0)).alias("procurement_records"),
+        as_map("year", "before_filter").alias("counts_by_year_before_value_filter"),
+        as_map("year", "after_filter").alias("counts_by_year"),
+    )
+    return counted.withColumn("classification_counts", classes.agg(as_map("label", "records").alias("m")).scalar())
+
+
 def class_counts(records: DataFrame, column: str = "classification_final_category") -> DataFrame:
     """Records per final category; every category appears, odd labels count as unknown."""
     label = F.lower(c.strip(F.coalesce(F.col(column), F.lit("unknown"))))

@@ -88,6 +88,15 @@ def with_top_result(announcements: DataFrame, results: DataFrame, participants:
     )
 
 
+def results_in_code_scope(results: DataFrame, raw_announcements: DataFrame, prefix: str) -> DataFrame:
+    """Results of procurements whose raw, still escaped announcement has a code with the prefix."""
+    from ..functions.cleaning import cpv_code, unwrap_loose
+
+    wanted = raw_announcements.where(cpv_code(F.col("CPV_kods_galvenais_prieksmets")).startswith(prefix))
+    ids = wanted.select(unwrap_loose(F.col("Iepirkuma_ID")).alias("procurement_id"))
+    return results.join(ids, "procurement_id", "left_semi")
+
+
 LIST_PART = 1000
 
 

@@ -284,3 +284,20 @@ def available_filters(rows: DataFrame) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(v).cast("string").alias("value")) for k, v in kinds.items()])
     listed = rows.select(F.explode(pairs).alias("p")).select("p.kind", "p.value").where(filled("value"))
     return listed.distinct().orderBy("kind", "value")
+
+
+def portal_filters(announcements: DataFrame) -> DataFrame:
+    """Filter values of the announcement table: deadline years, buyers, regions met, every known category."""
+    from ..functions.cleaning import deadline_date
+    from ..functions.labels import planning_region
+
+    region = F.when(filled("region"), planning_region(F.col("region")))
+    pairs = F.array(
+        F.struct(F.lit("year").alias("kind"), F.year(deadline_date(F.col("submission_deadline"))).cast("string").alias("value")),
+        F.struct(F.lit("buyer").alias("kind"), F.col("buyer").alias("value")),
+        F.struct(F.lit("planning_region").alias("kind"), region.alias("value")),
+    )
+    met = announcements.select(F.explode(pairs).alias("p")).select("p.kind", "p.value").where(F.col("value").isNotNull()).distinct()
+    names = sorted(set(fixed.CPV_LABELS.values()))
+    known = announcements.sparkSession.createDataFrame([("category", x) for x in names], "kind string, value string")
+    return met.unionByName(known).orderBy("kind", "value")
