@@ -122,7 +122,7 @@ def _(s, d):
     "SELECT doc_id, md5(lower(strip_accents(text))) AS folded, md5(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g'))) AS squeezed FROM documents",
 )
 def _(s, d):
-    docs = star.table(s, d, "documents")
+    docs = star.texts(s, d, "documents", "doc_id")
     return docs.select("doc_id", F.md5(names.folded_lower(F.col("text"))).alias("folded"), F.md5(c.squeeze(F.col("text"))).alias("squeezed"))
 
 
@@ -186,7 +186,7 @@ def _(s, d):
     i, k = F.col("page_id") % 5, F.col("page_id").cast("string")
     url = _cases(i, F.col("url"), F.concat(F.lit("/a/"), k), F.lit('="eis.gov.lv/b"'), F.lit(" "), F.lit(None).cast("string"))
     pid = F.when(i.isin(1, 3), k)
-    staged = star.table(s, d, "pages").select("page_id", pid.alias("pid"), c.procurement_url(url, pid).alias("address"))
+    staged = star.texts(s, d, "pages", "page_id").select("page_id", pid.alias("pid"), c.procurement_url(url, pid).alias("address"))
     return staged.select("page_id", "address", c.record_key(F.col("pid"), F.col("address")).alias("record_key"))
 
 

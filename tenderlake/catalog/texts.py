@@ -22,7 +22,7 @@ def _pages(s, d):
     added = _cases(
         k % 5, F.lit(_MARKS[0]), F.concat(F.lit(_MARKS[1]), k.cast("string"), F.lit('">')), F.lit(_MARKS[2]), F.lit(_MARKS[3]), F.lit(""),
     )
-    return star.table(s, d, "pages").select("page_id", F.concat("html", added).alias("html"))
+    return star.texts(s, d, "pages", "page_id").select("page_id", F.concat("html", added).alias("html"))
 
 
 @query(
@@ -45,7 +45,7 @@ def _listed_pages(s, d):
         F.when(k % 4 == 0, ' var HistoricalDocuments_items = [{"Title":"Projekta_dokumentācija"}];').when(k % 4 == 1, " var HistoricalDocuments_items = [{;").otherwise(""),
         F.lit("</script>"),
     )
-    return star.table(s, d, "pages").select("page_id", F.concat("html", docs).alias("html"))
+    return star.texts(s, d, "pages", "page_id").select("page_id", F.concat("html", docs).alias("html"))
 
 
 @query(
@@ -106,7 +106,7 @@ def _lot_texts(s, d):
         k % 5, F.concat(F.lit("\n1. daļa: "), F.col("text"), F.lit("\n 3. Daļā: "), F.col("source"), F.lit(" end")),
         F.lit(" Iepirkums ir SADALĪTS 4 daļās."), F.lit(" kas sastāv no 1 daļām"), F.lit("\n1. daļa "), F.lit(""),
     )
-    return star.table(s, d, "documents").select("doc_id", "source", F.concat("text", tail).alias("text"))
+    return star.texts(s, d, "documents", "doc_id").select("doc_id", "source", F.concat("text", tail).alias("text"))
 
 
 @query(
@@ -170,7 +170,7 @@ def _sql_reason(mark, col):
 def _(s, d):
     k = F.col("doc_id")
     code = _cases(k % 4, F.lit("45210000-2"), F.lit("45230000-8"), F.lit("71000000-8"), F.lit(""))
-    projects = star.table(s, d, "documents").select("doc_id", F.col("text").alias("procurement_name"), F.lit("").alias("procurement_identification_number"), code.alias("cpv_main"))
+    projects = star.texts(s, d, "documents", "doc_id").select("doc_id", F.col("text").alias("procurement_name"), F.lit("").alias("procurement_identification_number"), code.alias("cpv_main"))
     return outcomes.project_class(projects).select("doc_id", "project_class", "class_reason")
 
 
@@ -309,7 +309,7 @@ _LANG = f"""lang AS (SELECT *, CASE WHEN regexp_matches(lower(text), '[{fixed.LA
 
 @query("msg_language", f"WITH {_LANG} SELECT conv_id, turn, language FROM lang")
 def _(s, d):
-    return conversation.with_language(star.table(s, d, "conversations")).select("conv_id", "turn", "language")
+    return conversation.with_language(star.texts(s, d, "conversations", "conv_id")).select("conv_id", "turn", "language")
 
 
 @query(
@@ -319,6 +319,6 @@ def _(s, d):
     FROM (SELECT DISTINCT conv_id FROM conversations) LEFT JOIN u USING (conv_id)""",
 )
 def _(s, d):
-    talks = star.table(s, d, "conversations")
+    talks = star.texts(s, d, "conversations", "conv_id")
     stored = talks.select("conv_id").distinct().select("conv_id", F.when(F.col("conv_id") % 3 == 0, "en").otherwise("xx").alias("chat_locale"))
     return conversation.conversation_language(talks, "de", stored)

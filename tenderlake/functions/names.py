@@ -29,11 +29,13 @@ def _latin_table() -> tuple[str, str]:
 
 
 _FROM, _TO = _latin_table()
+# Letters without a counterpart are deleted: the block of combining accents.
+_MARKS = "".join(chr(code) for code in range(0x0300, 0x0370))
 
 
 def fold(c: Column) -> Column:
     """Drop accents from Latin-script text inside the JVM."""
-    return F.regexp_replace(F.translate(c, _FROM, _TO), r"\p{Mn}+", "")
+    return F.translate(c, _FROM + _MARKS, _TO)
 
 
 @F.pandas_udf(T.StringType())

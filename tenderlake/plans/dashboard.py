@@ -146,14 +146,19 @@ def _shown_names(cells: DataFrame, facts: DataFrame) -> DataFrame:
 def bidder_table(rows: DataFrame, bids: DataFrame) -> DataFrame:
     """Every bidder with applications, outcomes, values, gaps and top category.
 
-    One pre-aggregation per (bidder, spelling, buyer, category) is written once
-    and feeds the totals, the top category and the display name. Its measures
-    are all fixed-width, so it hashes instead of sorting.
+    The bid facts are written once and read three times, each time by an
+    aggregation of fixed-width measures, which hashes instead of sorting: small
+    (bidder, spelling, category) cells for totals, top category and display
+    name, and distinct buyers.
     """
     gap, won, lost = F.col("gap"), F.col("won"), ~F.col("won")
-    facts = bid_facts(rows, bids)
-    cells = written(
-        facts.groupBy("norm_name", "name", _buyer().alias("buyer"), _category().alias("category")).agg(
+    facts = written(
+        bid_facts(rows, bids).select(
+            "norm_name", "name", "year", "procurement_id", _buyer().alias("buyer"), _category().alias("category"), "price", "won", AWARD, "gap"
+        )
+    )
+    cells = (
+        facts.groupBy("norm_name", "name", "category").agg(
             _one().alias("applications"),
             F.count_if(won).alias("wins"),
             F.count_if(lost).alias("losses"),
@@ -175,7 +180,7 @@ def bidder_table(rows: DataFrame, bids: DataFrame) -> DataFrame:
         *[F.sum(f"close_losses_{n}pct").alias(f"close_losses_{n}pct") for n in (1, 3, 5)],
         mean(F.sum("gap_sum"), F.sum("gap_count")).alias("avg_loss_gap_pct"),
     )
-    buyers = cells.select("norm_name", "buyer").distinct().groupBy("norm_name").agg(_one().alias("buyers_count"))
+    buyers = facts.select("norm_name", "buyer").distinct().groupBy("norm_name").agg(_one().alias("buyers_count"))
     return (
         totals.join(buyers, "norm_name")
         .join(_shown_names(cells, facts), "norm_name")

@@ -24,6 +24,13 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
+def texts(spark: SparkSession, root: str, name: str, key: str) -> DataFrame:
+    """A text table for heavy per-row work, spread by key when it has fewer files than there are cores."""
+    df = table(spark, root, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def _line_value() -> Column:
     gross = F.col("l_extendedprice").cast(MONEY)
     return F.round(gross * (F.lit(1).cast("decimal(3,2)") - F.col("l_discount").cast("decimal(3,2)")), 2).cast(MONEY)
