@@ -255,8 +255,8 @@ def _(s, d):
 @query(
     "group_members",
     f"""WITH {_EDGES}, {_GROUPS} SELECT component, id, s_name || ' (4' || lpad(CAST(k AS VARCHAR), 10, '0') || '): Town '
-    || CAST((SELECT s_nationkey FROM supplier WHERE s_suppkey = k) AS VARCHAR) || ', street ' || CAST(k AS VARCHAR) || ' | UBO: '
-    || CASE WHEN k % 2 = 0 THEN 'Anna, Zane' ELSE '—' END AS detail FROM c""",
+    || CAST((SELECT s_nationkey FROM supplier WHERE s_suppkey = k) AS VARCHAR) || ', street ' || CAST(k AS VARCHAR) AS detail, owner
+    FROM c JOIN (VALUES ('Anna', 0), ('Zane', 0), ('—', 1)) o(owner, odd) ON k % 2 = odd""",
 )
 def _(s, d):
     companies = _supplier_companies(s, d)

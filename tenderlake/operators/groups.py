@@ -108,18 +108,14 @@ def group_labels(members: DataFrame, edges: DataFrame, companies: DataFrame, con
 
 
 def member_details(members: DataFrame, companies: DataFrame, register: DataFrame, owners: DataFrame) -> DataFrame:
-    """Detail text of each member: name, number, address, owners."""
-    held = owners.select("reg", "owner").distinct().groupBy("reg").agg(F.array_join(F.array_sort(F.collect_list("owner")), ", ").alias("held"))
+    """Detail rows of each member: name, number and address as text, one row per owner (``—`` for none)."""
     joined = (
         members.join(companies.select(F.col("company_id").alias("id"), "canonical_name", F.col("registration_no").alias("reg")), "id")
         .join(register.select("reg", "address"), "reg", "left")
-        .join(held, "reg", "left")
+        .join(owners.select("reg", "owner").distinct(), "reg", "left")
     )
-    text = F.concat(
-        F.col("canonical_name"), F.lit(" ("), F.coalesce("reg", F.lit("")), F.lit("): "), F.coalesce("address", F.lit("?")),
-        F.lit(" | UBO: "), F.coalesce("held", F.lit("—")),
-    )
-    return joined.select("component", "id", text.alias("detail"))
+    text = F.concat(F.col("canonical_name"), F.lit(" ("), F.coalesce("reg", F.lit("")), F.lit("): "), F.coalesce("address", F.lit("?")))
+    return joined.select("component", "id", text.alias("detail"), F.coalesce("owner", F.lit("—")).alias("owner"))
 
 
 def groups_by_wins(groups: DataFrame, members: DataFrame, resolved: DataFrame) -> DataFrame:

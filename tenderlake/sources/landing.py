@@ -321,13 +321,12 @@ def acceptance_counts(df: DataFrame, required: tuple[str, ...]) -> DataFrame:
 
 
 def owners_by_reg(owners: DataFrame) -> DataFrame:
-    """Owner rows to one row per registration number with its distinct full names."""
+    """Distinct owner names per registration number, one row each: ``reg, owner``."""
     full_name = c.strip(F.concat_ws(" ", c.strip(F.coalesce("forename", F.lit(""))), c.strip(F.coalesce("surname", F.lit("")))))
     return (
         owners.select(c.strip(F.col("legal_entity_registration_number")).alias("reg"), full_name.alias("owner"))
         .where((F.col("reg") != "") & (F.col("owner") != ""))
-        .groupBy("reg")
-        .agg(F.array_sort(F.collect_set("owner")).alias("owners"))
+        .distinct()
     )
 
 
