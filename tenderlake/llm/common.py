@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 # Task helpers travel with the job, so workers need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHED_CHUNKS = 600_000
+CACHED_CHUNKS = 1_200_000
 LONG_CHUNK = 48
+LOT_CHARS = 15_000
+MARKS = ".,!?;:"
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -38,34 +40,79 @@ def worker_cache(name: str) -> dict:
     return sys.__dict__.setdefault(f"_tenderlake_{name}", {})
 
 
-class Chunks(dict):
-    """Ids of text chunks between blanks, as little-endian unsigned 32-bit bytes, encoded at first sight.
+class Chunks:
+    """Ids of texts by their chunks between blanks, as little-endian unsigned 32-bit bytes.
 
     The tokenizer replaces white space by one blank and drops it, so no token
-    reaches over a blank and a text's ids are its chunks' ids in order. Holds at
-    most ``CACHED_CHUNKS`` chunks, then starts afresh.
+    reaches over a blank and a text's ids are its chunks' ids in order. Letters
+    and the marks after them are separate tokens too. Chunks not met before are
+    encoded together: words of letters alone are one unit each, whose last id is
+    the only one that ends a unit, which tells them apart again. At most about
+    ``CACHED_CHUNKS`` chunks are remembered, then it starts afresh.
     """
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-
-    def __missing__(self, chunk: str) -> bytes:
-        plain = chunk.rstrip(".,!?;:") if chunk.isascii() else chunk
-        if plain.isalpha() and plain.isascii() and (plain != chunk or not plain.islower()):
-            # letters and marks are separate tokens, and case is dropped
-            return self[plain.lower()] + (self[chunk[len(plain) :]] if plain != chunk else b"")
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        if len(chunk) <= LONG_CHUNK:
-            if len(self) >= CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
-
-    def encode(self, text: str | None) -> bytes:
-        parts = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        return b"".join(map(self.__getitem__, parts))
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {"": b""}
+
+    def _single(self, chunk: str) -> bytes:
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if stops.size != len(words):
+            return [self._single(w) for w in words]
+        raw, stops = ids.tobytes(), stops.tolist()
+        return [raw[a:b] for a, b in zip([0, *stops], stops)]
+
+    def _learn(self, fresh: set[str]) -> None:
+        known = self.known
+        parts: dict[str, tuple[str, str]] = {}
+        for chunk in fresh:
+            word = chunk.rstrip(MARKS)
+            if word.isalpha():
+                parts[chunk] = (word.lower() if word.isascii() else word, chunk[len(word) :])
+            else:
+                known[chunk] = self._single(chunk)
+        words = list({w for w, _ in parts.values()}.difference(known))
+        if words:
+            known.update(zip(words, self._words(words)))
+        for chunk, (word, marks) in parts.items():
+            if marks not in known:
+                known[marks] = self._single(marks)
+            known[chunk] = known[word] + known[marks]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Ids of each text in turn; a null text is empty."""
+        lot: list[list[str]] = []
+        held = 0
+        for text in texts:
+            lot.append((text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
+            held += len(text or "")
+            if held >= LOT_CHARS:
+                yield from self._encode(lot)
+                lot, held = [], 0
+        yield from self._encode(lot)
+
+    def _encode(self, lot: list[list[str]]) -> Iterator[bytes]:
+        met = set().union(*lot)
+        fresh = met.difference(self.known)
+        if len(self.known) + len(fresh) > CACHED_CHUNKS:
+            self.known = {"": b""}
+            fresh = met.difference(self.known)
+        self._learn(fresh)
+        get = self.known.__getitem__
+        for chunks in lot:
+            yield b"".join(map(get, chunks))
+        for chunk in fresh:
+            if len(chunk) > LONG_CHUNK:
+                del self.known[chunk]
 
 
 def chunk_encoder(tokenizer_json: str) -> Chunks:

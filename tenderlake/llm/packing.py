@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import written
-from .common import chunk_encoder, rows_of, tokenizer_text
+from .common import chunk_encoder, tokenizer_text
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -45,11 +45,11 @@ def token_pieces(reports: DataFrame, tokenizer_path: str, end_id: int, size: int
     model, end = reports.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_encoder(model.value).encode
+        encode = chunk_encoder(model.value).encode_all
         for batch in batches:
             out: list[tuple] = []
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                ids = encode(text) + end
+            for row, ids in enumerate(encode(batch.column(1).to_pylist())):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
                     out.append((row, piece, at // 4, len(part) // 4, zlib.crc32(part)))
