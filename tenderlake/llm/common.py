@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 # Task helpers travel with the job, so workers need no installed copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CACHED_CHUNKS = 1_200_000
+CACHED_CHUNKS = 700_000
+# Characters below this one change case one by one, whatever stands beside them.
+PLAIN_CASE = "\u0130"
 LONG_CHUNK = 48
 LOT_CHARS = 15_000
 MARKS = ".,!?;:"
@@ -47,8 +49,9 @@ class Chunks:
     reaches over a blank and a text's ids are its chunks' ids in order. Letters
     and the marks after them are separate tokens too. Chunks not met before are
     encoded together: words of letters alone are one unit each, whose last id is
-    the only one that ends a unit, which tells them apart again. At most about
-    ``CACHED_CHUNKS`` chunks are remembered, then it starts afresh.
+    the only one that ends a unit, which tells them apart again. Two generations of
+    ``CACHED_CHUNKS`` chunks are remembered: when the younger is full it becomes the
+    older one, from which chunks that are met again come back.
     """
 
     def __init__(self, tokenizer_json: str):
@@ -59,6 +62,7 @@ class Chunks:
         self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     def _single(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -77,10 +81,10 @@ class Chunks:
         for chunk in fresh:
             word = chunk.rstrip(MARKS)
             if word.isalpha():
-                parts[chunk] = (word.lower() if word.isascii() else word, chunk[len(word) :])
+                parts[chunk] = (word.lower() if word.isascii() or max(word) < PLAIN_CASE else word, chunk[len(word) :])
             else:
                 known[chunk] = self._single(chunk)
-        words = list({w for w, _ in parts.values()}.difference(known))
+        words = list(self._recalled({w for w, _ in parts.values()}))
         if words:
             known.update(zip(words, self._words(words)))
         for chunk, (word, marks) in parts.items():
@@ -88,6 +92,15 @@ class Chunks:
                 known[marks] = self._single(marks)
             known[chunk] = known[word] + known[marks]
 
+    def _recalled(self, chunks: set[str]) -> set[str]:
+        """The chunks that neither generation knows; those of the older one come back."""
+        fresh = chunks.difference(self.known)
+        back = [c for c in fresh if c in self.older]
+        if back:
+            self.known.update(zip(back, map(self.older.__getitem__, back)))
+            fresh.difference_update(back)
+        return fresh
+
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn; a null text is empty."""
         lot: list[list[str]] = []
@@ -101,11 +114,9 @@ class Chunks:
         yield from self._encode(lot)
 
     def _encode(self, lot: list[list[str]]) -> Iterator[bytes]:
-        met = set().union(*lot)
-        fresh = met.difference(self.known)
-        if len(self.known) + len(fresh) > CACHED_CHUNKS:
-            self.known = {"": b""}
-            fresh = met.difference(self.known)
+        if len(self.known) > CACHED_CHUNKS:
+            self.older, self.known = self.known, {"": b""}
+        fresh = self._recalled(set().union(*lot))
         self._learn(fresh)
         get = self.known.__getitem__
         for chunks in lot:
