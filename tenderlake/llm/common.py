@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,7 @@ CACHED_CHUNKS = 700_000
 # Characters below this one change case one by one, whatever stands beside them.
 PLAIN_CASE = "\u0130"
 LONG_CHUNK = 48
-LOT_CHARS = 15_000
-MARKS = ".,!?;:"
+MARKS = ".,!?;:#*$%&|<>"
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -47,9 +47,8 @@ class Chunks:
 
     The tokenizer replaces white space by one blank and drops it, so no token
     reaches over a blank and a text's ids are its chunks' ids in order. Letters
-    and the marks after them are separate tokens too. Chunks not met before are
-    encoded together: words of letters alone are one unit each, whose last id is
-    the only one that ends a unit, which tells them apart again. Two generations of
+    and the marks after them are separate tokens too, and a plain word goes straight
+    to the tokenizer's merges. Two generations of
     ``CACHED_CHUNKS`` chunks are remembered: when the younger is full it becomes the
     older one, from which chunks that are met again come back.
     """
@@ -58,72 +57,50 @@ class Chunks:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for word, i in vocabulary.items() if word.endswith("</w>")]] = True
+        self.merges = self.tokenizer.model.tokenize
+        # byte-level spelling: printable Latin-1 stands for itself, the other bytes follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.spelling = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
     def _single(self, chunk: str) -> bytes:
         return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-        if stops.size != len(words):
-            return [self._single(w) for w in words]
-        raw, stops = ids.tobytes(), stops.tolist()
-        return [raw[a:b] for a, b in zip([0, *stops], stops)]
-
-    def _learn(self, fresh: set[str]) -> None:
-        known = self.known
-        parts: dict[str, tuple[str, str]] = {}
-        for chunk in fresh:
-            word = chunk.rstrip(MARKS)
-            if word.isalpha():
-                parts[chunk] = (word.lower() if word.isascii() or max(word) < PLAIN_CASE else word, chunk[len(word) :])
+    def _fresh(self, chunk: str) -> bytes:
+        """Ids of a chunk that the younger generation does not know."""
+        ids = self.older.get(chunk)
+        if ids is None:
+            word = chunk if chunk.isalpha() else chunk.rstrip(MARKS)
+            if not word.isalpha() or not (word.isascii() or max(word) < PLAIN_CASE):
+                ids = self._single(chunk)
+            elif word is chunk and word.islower():
+                # lower-case letters: the tokenizer only spells them as bytes before it merges
+                spelled = word if word.isascii() else word.encode().decode("latin-1").translate(self.spelling)
+                ids = array("I", [token.id for token in self.merges(spelled)]).tobytes()
             else:
-                known[chunk] = self._single(chunk)
-        words = list(self._recalled({w for w, _ in parts.values()}))
-        if words:
-            known.update(zip(words, self._words(words)))
-        for chunk, (word, marks) in parts.items():
-            if marks not in known:
-                known[marks] = self._single(marks)
-            known[chunk] = known[word] + known[marks]
-
-    def _recalled(self, chunks: set[str]) -> set[str]:
-        """The chunks that neither generation knows; those of the older one come back."""
-        fresh = chunks.difference(self.known)
-        back = [c for c in fresh if c in self.older]
-        if back:
-            self.known.update(zip(back, map(self.older.__getitem__, back)))
-            fresh.difference_update(back)
-        return fresh
+                ids = self._one(word.lower()) + (self._one(chunk[len(word) :]) if len(word) < len(chunk) else b"")
+        if len(chunk) <= LONG_CHUNK:
+            self.known[chunk] = ids
+        return ids
 
-    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Ids of each text in turn; a null text is empty."""
-        lot: list[list[str]] = []
-        held = 0
-        for text in texts:
-            lot.append((text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "))
-            held += len(text or "")
-            if held >= LOT_CHARS:
-                yield from self._encode(lot)
-                lot, held = [], 0
-        yield from self._encode(lot)
-
-    def _encode(self, lot: list[list[str]]) -> Iterator[bytes]:
+    def _one(self, chunk: str) -> bytes:
+        ids = self.known.get(chunk)
+        return self._fresh(chunk) if ids is None else ids
+
+    def encode(self, text: str | None) -> bytes:
+        """Ids of a text; a null text is empty."""
         if len(self.known) > CACHED_CHUNKS:
             self.older, self.known = self.known, {"": b""}
-        fresh = self._recalled(set().union(*lot))
-        self._learn(fresh)
-        get = self.known.__getitem__
-        for chunks in lot:
-            yield b"".join(map(get, chunks))
-        for chunk in fresh:
-            if len(chunk) > LONG_CHUNK:
-                del self.known[chunk]
+        chunks = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        ids = list(map(self.known.get, chunks))
+        if None in ids:
+            fresh = self._one
+            ids = [fresh(c) if i is None else i for c, i in zip(chunks, ids)]
+        return b"".join(ids)
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        return map(self.encode, texts)
 
 
 def chunk_encoder(tokenizer_json: str) -> Chunks:
