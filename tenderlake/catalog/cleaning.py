@@ -126,6 +126,24 @@ def _(s, d):
     return docs.select("doc_id", F.md5(names.folded_lower(F.col("text"))).alias("folded"), F.md5(c.squeeze(F.col("text"))).alias("squeezed"))
 
 
+# Names in other scripts and their folded form (fixed values).
+_SCRIPTS = (
+    ("Зелёный Край", "зеленыи краи"), ("ﬁrma Άλφα", "firma αλφα"), ("№5 ½", "no5 1⁄2"), ("ǄUNGLA Ǆ", "dzungla dz"), ("ＦＵＬＬ Ōtsu", "full otsu"),
+)
+
+
+@query(
+    "fold_scripts",
+    f"""SELECT c_custkey, (['{"', '".join(b for _a, b in _SCRIPTS)}'])[CAST(c_custkey % {len(_SCRIPTS)} AS INTEGER) + 1] || ' ' || lower(c_name) AS folded,
+    upper((['{"', '".join(b for _a, b in _SCRIPTS)}'])[CAST(c_custkey % {len(_SCRIPTS)} AS INTEGER) + 1]) || ' ' || upper(c_name) AS grouped FROM customer""",
+)
+def _(s, d):
+    """Customers with a name part in Cyrillic, Greek, ligatures or full-width letters, folded and as grouping name."""
+    first = F.get(F.array(*(F.lit(a) for a, _b in _SCRIPTS)), (F.col("c_custkey") % len(_SCRIPTS)).cast("int"))
+    named = star.table(s, d, "customer").select("c_custkey", F.concat_ws(" ", first, "c_name").alias("name"))
+    return named.select("c_custkey", names.folded_lower(F.col("name")).alias("folded"), names.party_name(F.col("name")).alias("grouped"))
+
+
 @query(
     "match_key",
     """WITH n AS (SELECT c_custkey, c_custkey % 5 AS i, c_name AS n, lower(replace(c_name, '#', ' ')) AS k FROM customer)

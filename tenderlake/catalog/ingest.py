@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import fixed
 from ..operators import lots, merge
 from ..session import shared_folder
 from ..sources import landing, star
@@ -97,8 +98,7 @@ def _(s, d):
 
 
 def raw_results(s, d):
-    line = star.lines(s, d).where(F.col("l_returnflag") == "A")
-    return line.select(
+    return star.lines(s, d).select(
         _excel(F.col("l_orderkey")).alias("Iepirkuma_ID"),
         F.concat(F.lit("T"), F.col("l_linenumber").cast("string")).alias("Iepirkuma_nosaukums"),
         F.concat(F.lit(" "), star.reg_of(F.col("l_partkey"))).alias("Pasutitaja_registracijas_numurs"),
@@ -118,7 +118,7 @@ def raw_results(s, d):
     'S' || CAST(l_suppkey AS VARCHAR) AS winner_name, '4' || lpad(CAST(l_suppkey AS VARCHAR), 10, '0') AS winner_reg_number,
     CAST(value AS DOUBLE) AS contract_value_eur, CASE WHEN l_linenumber % 2 <> 0 THEN CAST(value AS DOUBLE) END AS contract_value_original_eur,
     strftime(l_shipdate, '%d.%m.%Y') AS contract_signed_date, CAST(year(l_shipdate) AS INTEGER) AS source_year
-    FROM lines WHERE l_returnflag = 'A' AND l_suppkey % 11 <> 0""",
+    FROM lines WHERE l_suppkey % 11 <> 0""",
 )
 def _(s, d):
     return landing.accepted(landing.map_dataset(raw_results(s, d), landing.RESULTS), landing.RESULTS.required)
@@ -411,7 +411,7 @@ def _(s, d):
 @query(
     "landing_years",
     """SELECT CAST(year(l_shipdate) AS INTEGER) AS source_year, count(*) AS results FROM lineitem
-    WHERE l_returnflag = 'A' AND year(l_shipdate) BETWEEN 1996 AND 1999 AND l_suppkey % 11 <> 0 GROUP BY 1""",
+    WHERE year(l_shipdate) BETWEEN 1996 AND 1999 AND l_suppkey % 11 <> 0 GROUP BY 1""",
 )
 def _(s, d):
     root = _folder(s)
@@ -424,12 +424,12 @@ def _(s, d):
 @query(
     "reload_overlay",
     """SELECT CAST(o_orderkey AS VARCHAR) AS procurement_id, o_orderpriority AS procurement_name,
-    CASE WHEN o_orderkey % 2 = 0 THEN 'downloaded' END AS report_download_status FROM orders WHERE o_orderstatus = 'F'
-    AND o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
+    CASE WHEN o_orderkey % 2 = 0 THEN 'downloaded' END AS report_download_status FROM orders
+    WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""",
 )
 def _(s, d):
     pid = F.col("o_orderkey").cast("string")
-    stored = star.table(s, d, "orders").where(F.col("o_orderstatus") == "F").select(
+    stored = star.table(s, d, "orders").select(
         pid.alias("procurement_record_key"), F.year("o_orderdate").alias("year"), F.lit("").alias("procurement_url"),
         F.to_json(F.struct(pid.alias("procurement_id"), F.col("o_orderpriority").alias("procurement_name"), F.lit("stale").alias("report_download_status"))).alias("raw"),
         F.when(F.col("o_orderkey") % 2 == 0, "downloaded").alias("report_download_status"),
@@ -441,18 +441,22 @@ def _(s, d):
     return landing.overlay_report_columns(chosen.drop("procurement_id"), ddl, "raw", ["report_download_status"])
 
 
+_UNCLASSED = "".join(f'"{x}":0,' for x in sorted(fixed.FINAL_CATEGORIES) if x != "unknown")
+
+
 @query(
     "run_manifest",
     f"""WITH {_ROLL}, {_FIRST}, y AS (SELECT CAST(b.y AS VARCHAR) AS year, count(*) AS n, count(*) FILTER (greatest(project, lots) >= 200000) AS m
       FROM base JOIN est USING (k) GROUP BY 1)
     SELECT CAST(sum(n) AS BIGINT) AS procurement_records_before_value_filter, CAST(sum(m) AS BIGINT) AS procurement_records,
     '{{' || string_agg('"' || year || '":' || CAST(n AS VARCHAR), ',' ORDER BY year) || '}}' AS counts_by_year_before_value_filter,
-    '{{' || string_agg('"' || year || '":' || CAST(m AS VARCHAR), ',' ORDER BY year) || '}}' AS counts_by_year FROM y""",
+    '{{' || string_agg('"' || year || '":' || CAST(m AS VARCHAR), ',' ORDER BY year) || '}}' AS counts_by_year,
+    '{{{_UNCLASSED}"unknown":' || CAST(sum(n) AS BIGINT) || '}}' AS classification_counts FROM y""",
 )
 def _(s, d):
     every = lots.collected_records(raw_announcements(s, d), ["4", "5"])
     manifest = lots.run_manifest(every, every.where(F.col("estimated_value_eur") >= 200000), lots.class_counts(merge.with_class_defaults(every)))
-    return manifest.drop("classification_counts")
+    return manifest
 
 
 @query(

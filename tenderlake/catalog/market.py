@@ -199,13 +199,18 @@ def _(s, d):
     "project_page",
     """SELECT procurement_id, year, purchaser_name, planning_region, category, cpv_main, procurement_status, winner,
     CAST(award AS DOUBLE) AS awarded_sum_eur, CAST(estimate AS DOUBLE) AS estimated_sum_eur, bidders AS participants_count,
-    is_multi_lot, lot_count FROM mrows ORDER BY year DESC, procurement_id DESC LIMIT 50 OFFSET 100""",
+    is_multi_lot, lot_count, 50 AS "limit", 100 AS "offset" FROM mrows ORDER BY year DESC, procurement_id DESC LIMIT 50 OFFSET 100""",
 )
 def _(s, d):
     page = dashboard.project_page(_rows(s, d), 50, 100)
     return page.withColumns({x: F.col(x).cast("double") for x in ("awarded_sum_eur", "estimated_sum_eur")})
 
 
+@query("project_total", "SELECT count(*) AS total FROM mrows")
+def _(s, d):
+    return dashboard.project_total(_rows(s, d))
+
+
 @query(
     "available_filters",
     """SELECT 'year' AS kind, CAST(year AS VARCHAR) AS value FROM mrows GROUP BY ALL
@@ -465,6 +470,24 @@ def risk_pairs(s, d):
     return risk.repeated_pairs(_priced(s, d))
 
 
+@query(
+    "risk_pairs_repeated",
+    """WITH l AS (SELECT l_orderkey AS p, row_number() OVER (ORDER BY l_orderkey, l_suppkey, l_partkey, l_linenumber, value) AS pos, 'N' || l_suppkey % 40 AS name,
+      CAST(100 + l_quantity AS DECIMAL(18,2)) AS price FROM lines),
+    m AS (SELECT least(a.name, b.name) AS a, greatest(a.name, b.name) AS b FROM l a JOIN l b ON a.p = b.p AND a.pos < b.pos
+      AND greatest(a.price, b.price) - least(a.price, b.price) <= least(a.price, b.price) * 0.03)
+    SELECT a, b, count(*) AS close FROM m GROUP BY ALL HAVING count(*) >= 3""",
+)
+def _(s, d):
+    """Close pairs where a procurement may list one bidder several times: lines as bids of forty names."""
+    line = star.lines(s, d)
+    bids = line.select(
+        F.col("l_orderkey").cast("string").alias("procurement_id"), F.struct("l_suppkey", "l_partkey", "l_linenumber", "value").alias("pos"),
+        F.concat(F.lit("N"), (F.col("l_suppkey") % 40).cast("string")).alias("norm_name"), (F.col("l_quantity") + 100).cast("decimal(18,2)").alias("price"), F.lit(False).alias("lowest"),
+    )
+    return risk.close_pair_counts(bids).select("a", "b", "close")
+
+
 @query(
     "risk_pairs_all",
     """SELECT x || ' · ' || y AS name, close AS close_bid_count, met AS meet_count, close_low AS lowest_price_close_count,
@@ -505,7 +528,7 @@ def _(s, d):
     + " FROM risky",
 )
 def _(s, d):
-    return risk.summary(_flagged(s, d))
+    return risk.summary(risk.flagged_rows(_rows(s, d)))
 
 
 @query(

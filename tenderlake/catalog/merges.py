@@ -38,10 +38,12 @@ def _events(s, d):
 
 
 def _split(df):
-    """Current rows (first tenth of every hundred ids) and the batch that follows them."""
-    return df.where(F.col("seq") < 400), df.where(F.col("seq") >= 400)
+    """Current rows, the first two fifths of all, and the batch that follows them."""
+    cut = df.agg(F.max("seq") * 0.4).scalar()
+    return df.where(F.col("seq") < cut), df.where(F.col("seq") >= cut)
 
 
+_CUT = "(SELECT max(event_id) * 0.4 FROM events)"
 _EV = """ev AS (SELECT CAST(user_id AS VARCHAR) AS procurement_id, event_type AS winner_reg_number, event_id AS i,
     CASE WHEN event_id % 3 <> 0 THEN 'T' || CAST(event_id AS VARCHAR) END AS title, CASE WHEN event_id % 5 <> 0 THEN 'B' || CAST(event_id AS VARCHAR) END AS buyer,
     CASE WHEN event_id % 4 <> 0 THEN value END AS v, CASE WHEN event_id % 7 <> 0 THEN value END AS o,
@@ -76,7 +78,7 @@ def _(s, d):
 
 @query(
     "merge_write_counts",
-    f"""WITH {_EV}, c AS (SELECT DISTINCT procurement_id FROM ev WHERE i < 400), b AS (SELECT * FROM ev WHERE i >= 400)
+    f"""WITH {_EV}, c AS (SELECT DISTINCT procurement_id FROM ev WHERE i < {_CUT}), b AS (SELECT * FROM ev WHERE i >= {_CUT})
     SELECT count(DISTINCT procurement_id) FILTER (procurement_id NOT IN (SELECT procurement_id FROM c)) AS inserted,
     count(*) - count(DISTINCT procurement_id) FILTER (procurement_id NOT IN (SELECT procurement_id FROM c)) AS updated FROM b""",
 )
@@ -119,20 +121,20 @@ def _(s, d):
 @query(
     "replace_years",
     """SELECT CAST(year(l_shipdate) AS INTEGER) AS source_year, l_returnflag AS kind, count(*) AS n FROM lineitem
-    WHERE (year(l_shipdate) IN (1996, 1998) AND l_returnflag = 'A') OR (year(l_shipdate) NOT IN (1996, 1998) AND l_returnflag <> 'A') GROUP BY ALL""",
+    WHERE year(l_shipdate) NOT IN (1996, 1998) OR l_returnflag = 'A' GROUP BY ALL""",
 )
 def _(s, d):
     rows = star.lines(s, d).select(F.year("l_shipdate").alias("source_year"), F.col("l_returnflag").alias("kind"), "l_orderkey")
     batch = rows.where(F.col("source_year").isin(1996, 1998) & (F.col("kind") == "A"))
-    return merge.years_replaced(rows.where(F.col("kind") != "A"), batch).groupBy("source_year", "kind").agg(F.count(F.lit(1)).alias("n"))
+    return merge.years_replaced(rows, batch).groupBy("source_year", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "merge_records",
-    f"""WITH {_EV}, k AS (SELECT *, CASE WHEN i % 6 = 0 THEN 'url:http://x/' || procurement_id ELSE 'id:' || procurement_id END AS record_key FROM ev)
+    f"""WITH {_EV}, k AS (SELECT *, {_CUT} AS cut, CASE WHEN i % 6 = 0 THEN 'url:http://x/' || procurement_id ELSE 'id:' || procurement_id END AS record_key FROM ev)
     SELECT record_key AS procurement_record_key, 'T' || CAST(max(i) AS VARCHAR) AS procurement_name,
-    CASE WHEN max(i) >= 400 THEN NULL ELSE 'W' || CAST(max(i) AS VARCHAR) END AS procurement_winner,
-    (list(CASE WHEN i < 400 THEN 'W' || CAST(i AS VARCHAR) END ORDER BY i DESC) FILTER (i < 400))[1] AS kept_winner FROM k GROUP BY 1""",
+    CASE WHEN max(i) >= any_value(cut) THEN NULL ELSE 'W' || CAST(max(i) AS VARCHAR) END AS procurement_winner,
+    (list(CASE WHEN i < cut THEN 'W' || CAST(i AS VARCHAR) END ORDER BY i DESC) FILTER (i < cut))[1] AS kept_winner FROM k GROUP BY 1""",
 )
 def _(s, d):
     rows = result_rows(_events(s, d))
@@ -166,7 +168,7 @@ def _(s, d):
 @query(
     "apply_outcomes",
     f"""WITH {_EV}, n AS (SELECT procurement_id, (list(buyer ORDER BY i DESC))[1] AS w, arg_max(title, i) FILTER (title IS NOT NULL) AS j FROM ev
-      WHERE winner_reg_number = 'click' GROUP BY 1)
+      GROUP BY 1)
     SELECT CAST(c_custkey AS VARCHAR) AS procurement_id, CASE WHEN n.procurement_id IS NULL THEN c_name ELSE w END AS procurement_winner,
     coalesce(j, c_mktsegment) AS procurement_participants_json FROM customer LEFT JOIN n ON n.procurement_id = CAST(c_custkey AS VARCHAR)""",
 )
@@ -175,7 +177,7 @@ def _(s, d):
         F.col("c_custkey").cast("string").alias("procurement_id"), F.col("c_name").alias("procurement_winner"),
         F.col("c_mktsegment").alias("procurement_participants_json"),
     )
-    outcomes = result_rows(_events(s, d)).where(F.col("winner_reg_number") == "click").select(
+    outcomes = result_rows(_events(s, d)).select(
         "procurement_id", F.col("buyer").alias("procurement_winner"), F.col("procurement_title").alias("procurement_participants_json"), "seq"
     )
     return merge.apply_outcomes(records, outcomes)
@@ -234,6 +236,9 @@ def _(s, d):
     return compare.compare_long(compare.compare_wide(*_stores(s, d))).select("procurement_id", "status", "field")
 
 
+_ALIKE = [f for f in compare.FIELD_SETS["all"] if f not in ("estimated_value_eur", "has_lots", "procurement_participants_json")]
+
+
 @query(
     "compare_summary",
     f"""WITH {_CMP}, m AS (SELECT count(*) FILTER (exists_in_first) AS a, count(*) FILTER (exists_in_second) AS b,
@@ -243,11 +248,11 @@ def _(s, d):
     SELECT 'first_compared' AS measure, a AS value FROM m UNION ALL SELECT 'second_loaded', b FROM m UNION ALL SELECT 'fully_matched', c FROM m
     UNION ALL SELECT 'with_any_difference', e FROM m UNION ALL SELECT 'missing_in_second', f FROM m UNION ALL SELECT 'extra_in_second', g FROM m
     UNION ALL SELECT 'field:estimated_value_eur', h FROM m UNION ALL SELECT 'field:has_lots', i FROM m
-    UNION ALL SELECT 'field:procurement_participants_json', j FROM m""",
+    UNION ALL SELECT 'field:procurement_participants_json', j FROM m
+    UNION ALL SELECT unnest({[f"field:{f}" for f in _ALIKE]}), 0""",
 )
 def _(s, d):
-    measures = compare.summary(compare.compare_wide(*_stores(s, d)))
-    return measures.where((F.col("value") > 0) | ~F.col("measure").startswith("field:"))
+    return compare.summary(compare.compare_wide(*_stores(s, d)))
 
 
 @query(

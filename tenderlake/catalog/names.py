@@ -15,7 +15,10 @@ from .registry import query
 
 
 def wins(s, d):
-    """One winner record per line: name spelled three ways, registration number on some."""
+    """One winner record per line: name spelled three ways, registration number on some.
+
+    Every 97th part goes under one of four numbers, so these hold unlike names.
+    """
     part = star.table(s, d, "part").select("p_partkey", "p_name", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("full"))
     line = star.table(s, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     odd = F.col("l_partkey") % 97 == 0
@@ -26,7 +29,8 @@ def wins(s, d):
         .otherwise(F.concat(name, F.lit(", AS")))
     )
     anchored = (F.col("l_partkey") % 2 == 0) & (F.col("l_suppkey") % 4 != 0)
-    reg = F.when(odd, star.reg_of(F.lit(97))).when(anchored, F.concat(F.lit("LV"), star.reg_of(F.col("l_partkey"))))
+    mixed = star.reg_of(F.lit(9700000000) + F.floor(F.col("l_partkey") / 97) % 4)
+    reg = F.when(odd, mixed).when(anchored, F.concat(F.lit("LV"), star.reg_of(F.col("l_partkey"))))
     return line.join(part, F.col("l_partkey") == F.col("p_partkey")).select(
         F.concat_ws("-", "l_orderkey", "l_partkey", "l_linenumber").alias("record_key"),
         spelled.alias("winner"),
@@ -36,12 +40,51 @@ def wins(s, d):
 
 
 _WINS = """wins AS (SELECT CASE l_linenumber % 3 WHEN 0 THEN 'SIA "' || n || '"' WHEN 1 THEN n ELSE n || ', AS' END AS name,
-    CASE WHEN l_partkey % 97 = 0 THEN '40000000097' WHEN l_partkey % 2 = 0 AND l_suppkey % 4 <> 0
-      THEN '4' || lpad(CAST(l_partkey AS VARCHAR), 10, '0') END AS reg
+    CASE WHEN l_partkey % 97 = 0 THEN '4' || lpad(CAST(9700000000 + (l_partkey // 97) % 4 AS VARCHAR), 10, '0') WHEN l_partkey % 2 = 0 AND l_suppkey % 4 <> 0
+      THEN '4' || lpad(CAST(l_partkey AS VARCHAR), 10, '0') END AS reg,
+    l_orderkey || '-' || l_partkey || '-' || l_linenumber AS record_key, l_orderkey * 100000000 + l_partkey * 10 + l_linenumber % 10 AS ord
     FROM (SELECT *, CASE WHEN l_partkey % 97 = 0 THEN p_name ELSE p_name || ' ' || p_type || ' ' || p_brand END AS n
       FROM lineitem JOIN part ON l_partkey = p_partkey))"""
 
 
+def _ratio(a: str, b: str) -> str:
+    """SQL for the match ratio of two sorted texts: the common length by one integer per text, bit by bit."""
+    start = f"(CAST(1 AS HUGEINT) << length({a})) - 1"
+    spots = f"list_transform(range(length({a})), lambda i: CASE WHEN {a}[i + 1] = ch THEN CAST(1 AS HUGEINT) << CAST(i AS INTEGER) ELSE CAST(0 AS HUGEINT) END)"
+    masks = f"list_transform(string_split({b}, ''), lambda ch: CAST(list_sum({spots}) AS HUGEINT))"
+    row = f"list_reduce({masks}, lambda r, m: ((r + (r & m)) | (r - (r & m))) & ({start}), {start})"
+    return f"200.0 * (length({a}) - bit_count({row})) / (length({a}) + length({b}))"
+
+
+def _key(name: str) -> str:
+    """SQL for the match key of a name of these tables."""
+    cut = f"regexp_replace(lower({name}), '\\b(sia|as|ps|ik|zs|ab|vas|psia|pa)\\b', ' ', 'g')"
+    return f"trim(regexp_replace({cut}, '[^a-z0-9]+', ' ', 'g'))"
+
+
+def _sorted(key: str) -> str:
+    return f"array_to_string(list_sort(string_split({key}, ' ')), ' ')"
+
+
+_FOUND = f"""{_WINS}, f AS (SELECT name, reg, min(ord) AS ord FROM wins GROUP BY name, reg),
+    fk AS (SELECT reg, {_key("name")} AS key, count(*) AS w FROM f WHERE reg IS NOT NULL GROUP BY ALL),
+    fs AS (SELECT reg, key, w, {_sorted("key")} AS x FROM fk WHERE reg IN (SELECT reg FROM fk GROUP BY reg HAVING sum(w) >= {fixed.SUSPECT_NAMES})),
+    fa AS (SELECT reg, sum(w * v * ({_ratio("x", "y")})) AS across FROM (SELECT a.reg, a.w, b.w AS v, a.x, b.x AS y
+      FROM fs a JOIN fs b ON a.reg = b.reg AND a.key < b.key) GROUP BY reg),
+    fm AS (SELECT reg, CAST(sum(w) AS BIGINT) AS names, (coalesce(any_value(across), 0) + sum(w * (w - 1) / 2) * 100.0) / (sum(w) * (sum(w) - 1) / 2) AS mean_score
+      FROM fs LEFT JOIN fa USING (reg) GROUP BY reg),
+    suspect AS (SELECT * FROM fm WHERE mean_score < {fixed.SUSPECT_MEAN}),
+    company AS (SELECT 'reg:' || reg AS id, reg, 0 AS phase, min(ord) AS ord,
+        arg_min(name, (CASE WHEN name LIKE '%"%' THEN 2 ELSE 0 END, length(name), name)) AS name
+      FROM f WHERE reg IS NOT NULL AND reg NOT IN (SELECT reg FROM suspect) GROUP BY reg
+      UNION ALL SELECT 'name:' || reg || ':' || name, NULL, 1, ord, name FROM f WHERE reg IN (SELECT reg FROM suspect)),
+    alias AS (SELECT CASE WHEN reg IN (SELECT reg FROM suspect) THEN 'name:' || reg || ':' || name ELSE 'reg:' || reg END AS id, name
+      FROM f WHERE reg IS NOT NULL),
+    by_key AS (SELECT {_key("alias.name")} AS k, arg_min(id, (phase, ord, id)) AS id FROM alias JOIN company USING (id) GROUP BY 1),
+    resolved AS (SELECT record_key, wins.name, coalesce(company.id, by_key.id) AS company_id FROM wins LEFT JOIN company ON company.reg = wins.reg
+      LEFT JOIN by_key ON {_key("wins.name")} = k)"""
+
+
 def _found(s, d):
     return entities.winner_names(wins(s, d), "winner", "winner_reg", "ord")
 
@@ -55,18 +98,13 @@ def _(s, d):
     return entities.register_groups(_found(s, d)).select("reg", "canonical_name", "names")
 
 
-@query(
-    "register_aliases",
-    f"WITH {_WINS} SELECT DISTINCT 'reg:' || reg AS company_id, name AS alias FROM wins WHERE reg IS NOT NULL AND reg <> '40000000097'",
-)
+@query("register_aliases", f"WITH {_FOUND} SELECT DISTINCT id AS company_id, name AS alias FROM alias")
 def _(s, d):
-    found = _found(s, d)
-    alone = found.where(F.col("reg") == star.reg_of(F.lit(97))).select("reg").distinct()
-    _companies, aliases = entities.anchored_companies(found.where(F.col("reg") != star.reg_of(F.lit(97))), alone)
+    _names, _companies, aliases = _anchored(s, d)
     return entities.merged_aliases(aliases, aliases)
 
 
-@query("suspect_groups")
+@query("suspect_groups", f"WITH {_FOUND} SELECT reg, names, round(mean_score, 2) AS mean_score FROM suspect")
 def _(s, d):
     return entities.suspect_registers(_found(s, d)).select("reg", "names", F.round("mean_score", 2).alias("mean_score"))
 
@@ -77,7 +115,15 @@ def _anchored(s, d):
     return found, written(companies), written(aliases)
 
 
-@query("similar_names")
+@query(
+    "similar_names",
+    f"""WITH k AS (SELECT DISTINCT lower(p_name) || ' ' || lower(p_type) AS key FROM part),
+    t AS (SELECT key, {_sorted("key")} AS x FROM k WHERE length(key) >= 4),
+    p AS (SELECT a.key AS lkey, b.key AS rkey, a.x, b.x AS y FROM t a JOIN t b ON a.key < b.key
+      AND levenshtein(a.x, b.x) <= floor((length(a.x) + length(b.x)) * 0.12 + 1e-9)),
+    s AS (SELECT lkey, rkey, {_ratio("x", "y")} AS score FROM p)
+    SELECT lkey, rkey, round(score, 4) AS score FROM s WHERE score >= {fixed.ALIAS_SCORE}""",
+)
 def _(s, d):
     """Pairs of company keys at or above the alias score."""
     keys = star.table(s, d, "part").select(F.concat_ws(" ", F.lower("p_name"), F.lower("p_type")).alias("key")).distinct()
@@ -104,34 +150,30 @@ def _(s, d):
 def _(s, d):
     companies, aliases, records = _resolved(s, d)
     best = entities.top_by_aliases(companies, aliases).select(F.concat(F.lit("aliases:"), "canonical_name").alias("measure"), F.col("aliases").alias("value"))
-    return entities.index_summary(companies, records).unionByName(best)
+    return entities.index_summary(companies, records, "winner").unionByName(best)
 
 
-@query(
-    "record_resolution",
-    f"""WITH {_WINS} SELECT count(*) AS records, count(reg) FILTER (reg <> '40000000097') AS by_number FROM wins""",
-)
+@query("record_resolution", f"WITH {_FOUND} SELECT record_key, company_id AS winner_company_id FROM resolved")
 def _(s, d):
     _found_names, companies, aliases = _anchored(s, d)
     records = entities.resolve_records(wins(s, d), companies, aliases, "winner", "winner_reg")
-    numbered = F.col("winner_reg").isNotNull() & (F.col("winner_company_id") == F.concat(F.lit("reg:"), F.substring("winner_reg", 3, 11)))
-    return records.agg(F.count(F.lit(1)).alias("records"), F.count_if(numbered).alias("by_number"))
+    return records.select("record_key", "winner_company_id")
 
 
 # --- groups ------------------------------------------------------------------------------------
 
 
 def _register(s, d):
-    """A register entry per part number: its address repeats over parts of one brand and size."""
+    """A register entry per part number: five numbers in a row share a town, some of them an address."""
     return star.table(s, d, "part").select(
         star.reg_of(F.col("p_partkey")).alias("reg"),
-        F.concat(F.lit("Pilsēta "), (F.col("p_size") % 5).cast("string"), F.lit(", iela "), (F.col("p_partkey") % 40).cast("string"), F.lit(", LV-1001")).alias("address"),
+        F.format_string("Pilsēta %d, iela %d, LV-1001", F.floor(F.col("p_partkey") / 5), F.floor(F.col("p_partkey") / 2) % 2).alias("address"),
     )
 
 
 def _owners(s, d):
     return star.table(s, d, "part").select(
-        star.reg_of(F.col("p_partkey")).alias("reg"), F.concat(F.lit("Owner "), (F.col("p_partkey") % 61).cast("string")).alias("owner")
+        star.reg_of(F.col("p_partkey")).alias("reg"), F.format_string("Owner %d", F.floor((F.col("p_partkey") + 2) / 4)).alias("owner")
     )
 
 
@@ -142,7 +184,20 @@ def _winning(s, d):
     return written(groups.winning_companies(companies, records)), records
 
 
-@query("group_pairs")
+_PAIRS = f"""{_FOUND}, won AS (SELECT company_id AS id, count(*) AS wins FROM resolved GROUP BY 1 HAVING count(*) >= 2),
+    member AS (SELECT company.id, {_key("name")} AS key, p_partkey AS pk, 'Pilsēta ' || p_partkey // 5 AS town, 'Owner ' || (p_partkey + 2) // 4 AS owner, company.name,
+        'Pilsēta ' || p_partkey // 5 || ', iela ' || (p_partkey // 2) % 2 || ', LV-1001' AS address, wins
+      FROM company JOIN won USING (id) JOIN part ON company.reg = '4' || lpad(CAST(p_partkey AS VARCHAR), 10, '0')),
+    sorted_member AS (SELECT *, {_sorted("key")} AS t FROM member WHERE length(key) >= 4),
+    near AS (SELECT a.id AS a, b.id AS b, a.t AS x, b.t AS y, a.address = b.address AS same_at, a.owner = b.owner AS own, a.address, a.owner, a.town
+      FROM sorted_member a JOIN sorted_member b ON a.id < b.id AND (a.town = b.town OR a.owner = b.owner)
+      AND levenshtein(a.t, b.t) <= floor((length(a.t) + length(b.t)) * 0.35 + 1e-9)),
+    scored AS (SELECT a, b, CASE WHEN same_at THEN 'same_address' WHEN own THEN 'same_owner' ELSE 'suspected' END AS source,
+        CASE WHEN same_at THEN address WHEN own THEN 'Common UBO(s): ' || owner ELSE 'Same municipality: ' || town END AS note, {_ratio("x", "y")} AS score FROM near),
+    edges AS (SELECT * FROM scored WHERE score BETWEEN {fixed.PAIR_LOW} AND {fixed.PAIR_HIGH})"""
+
+
+@query("group_pairs", f"WITH {_PAIRS} SELECT a, b, source, note, round(score, 2) AS score FROM edges")
 def _(s, d):
     companies, _records = _winning(s, d)
     pairs = groups.candidate_pairs(companies, _register(s, d), _owners(s, d))
@@ -150,7 +205,16 @@ def _(s, d):
     return found.select("a", "b", "source", "note", F.round("score", 2).alias("score"))
 
 
-@query("company_groups")
+@query(
+    "company_groups",
+    f"""WITH RECURSIVE {_PAIRS}, link AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+    walk(id, reach) AS (SELECT DISTINCT a, a FROM link UNION SELECT walk.id, link.b FROM walk JOIN link ON walk.reach = link.a),
+    c AS (SELECT id, min(reach) AS component FROM walk GROUP BY id),
+    e AS (SELECT component, source, CASE WHEN source = 'suspected' THEN '' ELSE note END AS note FROM edges JOIN c ON c.id = edges.a
+      QUALIFY row_number() OVER (PARTITION BY component ORDER BY CASE source WHEN 'same_address' THEN 1 WHEN 'same_owner' THEN 2 ELSE 3 END, a, b) = 1)
+    SELECT arg_min(name, (length(name), id)) AS name, any_value(source) AS source, any_value(note) AS note, count(*) AS members,
+      CAST(sum(wins) AS BIGINT) AS total_wins FROM c JOIN member USING (id) JOIN e USING (component) GROUP BY component""",
+)
 def _(s, d):
     companies, records = _winning(s, d)
     edges = written(groups.evidence(written(groups.candidate_pairs(companies, _register(s, d), _owners(s, d))), companies, _register(s, d)))

@@ -97,19 +97,17 @@ def _(s, d):
 
 @query(
     "json_aggregates",
-    """WITH b AS (SELECT procurement_id, count(*) AS participant_count, '[' || string_agg('{"registration_no":"' || participant_reg_number
-      || '","name":"' || replace(participant_name, '"', '\\"') || '"}', ',' ORDER BY participant_reg_number, participant_name) || ']'
-      AS participants_json FROM par GROUP BY 1),
-    w AS (SELECT procurement_id, count(*) AS winner_count, string_agg(winner_reg_number, ',' ORDER BY winner_reg_number) AS winner_regs
-      FROM res GROUP BY 1)
-    SELECT procurement_id, participant_count, participants_json, winner_count, winner_regs FROM b FULL JOIN w USING (procurement_id)""",
+    """WITH m AS (SELECT procurement_id, 'participant' AS kind, participant_reg_number AS registration_no, participant_name AS name,
+        CAST(NULL AS DOUBLE) AS value_eur FROM par
+      UNION ALL SELECT procurement_id, 'winner', winner_reg_number, winner_name, contract_value_eur FROM res),
+    t AS (SELECT procurement_id, count(*) FILTER (kind = 'winner') AS winner_count, count(*) FILTER (kind = 'participant') AS participant_count
+      FROM m GROUP BY 1)
+    SELECT m.*, CAST(row_number() OVER (PARTITION BY procurement_id, kind
+      ORDER BY registration_no NULLS FIRST, name NULLS FIRST, value_eur NULLS FIRST) AS INTEGER) AS position,
+      winner_count, participant_count FROM m JOIN t USING (procurement_id)""",
 )
 def _(s, d):
-    lists = views.json_lists(_res(s, d), _par(s, d))
-    numbers = F.transform(F.from_json("winners_json", "array<struct<registration_no:string>>"), lambda x: x["registration_no"])
-    return lists.select(
-        "procurement_id", "participant_count", "participants_json", "winner_count", F.array_join(numbers, ",").alias("winner_regs")
-    )
+    return views.member_lists(_res(s, d), _par(s, d))
 
 
 # --- scope ----------------------------------------------------------------------

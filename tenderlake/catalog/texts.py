@@ -132,10 +132,11 @@ def _(s, d):
 
 @query(
     "lot_assignment",
-    "SELECT doc_id, source AS name, CAST(CASE WHEN contains(text, source) THEN 1 ELSE 3 END AS INTEGER) AS lot_number FROM documents WHERE doc_id % 5 = 0",
+    """SELECT doc_id, source AS name, CAST(CASE WHEN doc_id % 5 = 0 THEN CASE WHEN contains(text, source) THEN 1 ELSE 3 END END AS INTEGER) AS lot_number
+    FROM documents""",
 )
 def _(s, d):
-    texts = _lot_texts(s, d).where(F.col("doc_id") % 5 == 0)
+    texts = _lot_texts(s, d)
     sections = outcomes.lot_sections(texts.drop("source"), "text")
     return outcomes.assign_lots(texts.select("doc_id", F.col("source").alias("name")), sections, "doc_id")
 
@@ -225,7 +226,12 @@ def _(s, d):
     CASE o_orderkey % 4 WHEN 0 THEN 'SIA Čiekurs' WHEN 1 THEN o_orderpriority || ' Būve' WHEN 2 THEN 'Cits' END AS winner_name,
     CASE o_orderkey % 4 WHEN 0 THEN '111' WHEN 1 THEN '999' END AS winner_registration_no,
     CASE o_orderkey % 4 WHEN 0 THEN o_totalprice WHEN 1 THEN 12000.5 END AS winner_price_eur, CAST(2 AS BIGINT) AS participants,
-    CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS disqualified, 'high' AS confidence FROM orders""",
+    CAST(CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS disqualified, 'high' AS confidence,
+    strftime(o_orderdate, '%d.%m.%Y') AS bid_deadline, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderstatus END AS decision_date,
+    'own funds' AS funding_source, CASE WHEN o_orderkey % 5 = 0 THEN 'EU-' || o_orderkey END AS eu_project_reference,
+    'lowest_price' AS evaluation_method, o_orderpriority AS contract_scope_type, CASE WHEN o_orderkey % 2 = 1 THEN 'note ' || o_orderkey END AS notes,
+    CASE WHEN o_orderkey % 3 = 0 THEN ['Sub ' || o_custkey, 'B'] END AS subcontractors, coalesce(o_orderkey % 4 = 0, false) AS is_multi_lot,
+    CASE WHEN o_orderkey % 6 <> 0 THEN CAST(o_orderkey % 6 AS INTEGER) END AS lot_count FROM orders""",
 )
 def _(s, d):
     k = F.col("o_orderkey")
@@ -246,11 +252,33 @@ def _(s, d):
         k.cast("string").alias("procurement_id"), _cases(k % 3, F.lit(" Completed"), F.lit("done"), F.lit(None).cast("string")).alias("procurement_status"),
         _cases(k % 4, F.lit("Čiekurs SIA"), F.concat("o_orderpriority", F.lit(" buve")), F.lit("Cits"), F.lit("  ")).alias("winner_name"),
         F.when(k % 4 == 1, "999").alias("winner_registration_no"), F.when(k % 4 == 1, "12 000,50").alias("winner_price_eur"), F.lit(" HIGH ").alias("confidence"),
-        people.alias("participants"),
+        people.alias("participants"), F.date_format("o_orderdate", " dd.MM.yyyy").alias("bid_deadline"),
+        F.when(k % 3 == 0, " ").otherwise(F.col("o_orderstatus")).alias("decision_date"), F.lit("own funds ").alias("funding_source"),
+        F.when(k % 5 == 0, F.concat(F.lit("EU-"), k.cast("string"))).alias("eu_project_reference"), F.lit("lowest_price").alias("evaluation_method"),
+        F.concat(F.lit(" "), "o_orderpriority").alias("contract_scope_type"), F.when(k % 2 == 1, F.concat(F.lit("note "), k.cast("string"))).otherwise("").alias("notes"),
+        F.when(k % 3 == 0, F.array(F.concat(F.lit("Sub "), F.col("o_custkey").cast("string"), F.lit(" ")), F.lit(""), F.lit("B"))).when(k % 3 == 1, F.array(F.lit(""))).alias("subcontractors"),
+        F.when(k % 4 != 1, k % 4 == 0).alias("is_multi_lot"), (k % 6).alias("lot_count"),
     )
     return outcomes.outcomes(parsed)
 
 
+@query(
+    "outcome_consortia",
+    """SELECT CAST(o_orderkey AS VARCHAR) AS procurement_id, 'Joint ' || o_custkey AS name, unnest(['SIA ' || o_orderpriority, 'Partner']) AS member
+    FROM orders WHERE o_orderkey % 3 <> 0""",
+)
+def _(s, d):
+    """Consortium members of the cleaned participants, one row each."""
+    k = F.col("o_orderkey")
+    members = F.when(k % 3 != 0, F.array(F.concat(F.lit(" SIA "), "o_orderpriority"), F.lit(""), F.lit("Partner "))).otherwise(F.array(F.lit("")))
+    person = F.struct(
+        F.concat(F.lit("Joint "), F.col("o_custkey").cast("string")).alias("name"), F.lit("1").alias("registration_no"), F.lit("5").alias("suggested_price_eur"),
+        F.lit(False).alias("disqualified"), F.lit("").alias("disqualification_reason"), members.alias("consortium_members"),
+    )
+    parsed = star.table(s, d, "orders").select(k.cast("string").alias("procurement_id"), F.array(person).alias("participants"))
+    return outcomes.outcome_participants(parsed).select("procurement_id", "name", F.explode("consortium_members").alias("member"))
+
+
 def _lot_people(s, d):
     """One document per order: two participants and two lots, as a parsed answer gives them."""
     k, price = F.col("o_orderkey"), F.col("o_totalprice")

@@ -2,50 +2,74 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import lru_cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import fixed
 from .cleaning import SPACE, none_if_blank, squeeze, strip, unify_quotes
 
-_LATIN_BLOCKS = ((0x00A0, 0x0250), (0x1E00, 0x1F00))
-
-
-def _latin_table() -> tuple[str, str]:
-    """Letters of the Latin blocks whose compatibility form is one base letter."""
-    source, target = [], []
-    for first, last in _LATIN_BLOCKS:
-        for code in range(first, last):
-            letter = chr(code)
-            base = "".join(x for x in unicodedata.normalize("NFKD", letter) if not unicodedata.combining(x))
-            if base != letter and len(base) == 1:
-                source.append(letter)
-                target.append(base)
-    return "".join(source), "".join(target)
-
-
-_FROM, _TO = _latin_table()
-# Letters without a counterpart are deleted: the block of combining accents.
-_MARKS = "".join(chr(code) for code in range(0x0300, 0x0370))
+_HANGUL = 0xAC00
+
+
+@lru_cache(maxsize=1)
+def _fold_tables() -> tuple[str, str, str, str]:
+    """How characters of any script fold: single letters (from, to, marks to delete last), longer forms as ``x=form`` entries, and a pattern of the latter.
+
+    The fold of a text is that of its characters one by one: compatibility
+    decomposition only reorders marks, and marks are dropped.
+    """
+    source, target, marks, longer = [], [], [], {}
+    for code in range(0x80, sys.maxunicode + 1):
+        if _HANGUL <= code < _HANGUL + 19 * 21 * 28:
+            continue
+        letter = chr(code)
+        form = unicodedata.normalize("NFKD", letter)
+        base = "".join(x for x in form if not unicodedata.combining(x))
+        if base == letter:
+            continue
+        if len(base) == 1:
+            source.append(letter)
+            target.append(base)
+        elif not base:
+            marks.append(letter)
+        else:
+            longer[letter] = base
+    ranges: list[list[int]] = []
+    for code in map(ord, longer):
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    pattern = "[\uac00-\ud7a3" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
+    # letters without a counterpart are deleted
+    return "".join(source + marks), "".join(target), "\n".join(f"{a}\t{b}" for a, b in longer.items()), pattern
+
+
+def _syllable(x: Column) -> Column:
+    """A Korean syllable as its letters."""
+    at = F.ascii(x) - _HANGUL
+    letters = [(0x1100, 19, F.floor(at / 588)), (0x1161, 21, F.floor(at % 588 / 28)), (0x11A7, 28, at % 28)]
+    spelled = [F.substring(F.lit("".join(chr(first + i) for i in range(n))), place.cast("int") + 1, F.lit(1)) for first, n, place in letters]
+    # the first of the last letters stands for none
+    return F.concat(spelled[0], spelled[1], F.when(at % 28 > 0, spelled[2]).otherwise(""))
 
 
 def fold(c: Column) -> Column:
-    """Drop accents from Latin-script text inside the JVM."""
-    return F.translate(c, _FROM + _MARKS, _TO)
-
-
-@F.pandas_udf(T.StringType())
-def fold_any_script(text: pd.Series) -> pd.Series:
-    """Full compatibility fold for text outside the Latin blocks."""
-    return text.map(
-        lambda v: None
-        if v is None
-        else "".join(x for x in unicodedata.normalize("NFKD", v) if not unicodedata.combining(x))
+    """Compatibility fold without accents, for text of any script, inside the JVM.
+
+    One table serves all characters whose fold is one letter. Only texts with a
+    ligature, digraph, fraction, syllable or the like are taken apart.
+    """
+    source, target, longer, pattern = _fold_tables()
+    forms = F.str_to_map(F.lit(longer), F.lit("\n"), F.lit("\t"))
+    whole = F.array_join(
+        F.transform(F.split(c, ""), lambda x: F.when(x.rlike("[\uac00-\ud7a3]"), _syllable(x)).when(x.rlike(pattern), F.try_element_at(forms, x)).otherwise(x)), ""
     )
+    return F.translate(F.when(c.rlike(pattern), whole).otherwise(c), source, target)
 
 
 def folded_lower(c: Column) -> Column:

@@ -154,8 +154,21 @@ def merge_records(current: DataFrame, batch: DataFrame, preserve_outcomes: bool
     return merge_last(current, keyed, ("procurement_record_key",), preserve, seq)
 
 
+# Outcome columns that every outcome sets, and what it sets them to if it says nothing (fixed values).
+OUTCOME_BLANKS = {
+    "procurement_status_from_report": None, "procurement_winner": None, "procurement_winner_registration_no": None,
+    "procurement_winner_suggested_price_eur": None, "procurement_winner_source": None, "procurement_participants_count": 0,
+    "procurement_outcome_description": None, "bid_deadline": None, "decision_date": None, "funding_source": None,
+    "eu_project_reference": None, "evaluation_method": None, "contract_scope_type": None, "is_multi_lot": False, "lot_count": None,
+}
+
+
 def apply_outcomes(records: DataFrame, outcomes: DataFrame, seq: str = "seq") -> DataFrame:
-    """Write report outcomes onto records; list columns keep the old value when no new one came."""
+    """Write report outcomes onto records; list columns keep the old value when no new one came.
+
+    Other outcome columns of a record are set even where the batch lacks them: to
+    null, a count to 0, the lot flag to false.
+    """
     names = [x for x in outcomes.columns if x not in ("procurement_id", seq)]
     rules = {x: LAST_KNOWN if x in KEPT_IF_MISSING else LAST for x in names}
     news = fold(outcomes.where(F.coalesce(F.col("procurement_id") != "", F.lit(False))), ("procurement_id",), rules, seq)
@@ -166,6 +179,9 @@ def apply_outcomes(records: DataFrame, outcomes: DataFrame, seq: str = "seq") ->
     for name in names:
         new, old = F.col(f"_new.{name}"), (F.col(name) if name in records.columns else F.lit(None))
         updated[name] = F.coalesce(new, old) if name in KEPT_IF_MISSING else F.when(hit, new).otherwise(old)
+    for name, blank in OUTCOME_BLANKS.items():
+        if name in records.columns and name not in names:
+            updated[name] = F.when(hit, F.lit(blank).cast(records.schema[name].dataType)).otherwise(F.col(name))
     return joined.withColumns(updated).drop("_new")
 
 

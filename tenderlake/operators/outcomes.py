@@ -67,9 +67,10 @@ def classify(parsed: DataFrame, thresholds: dict[str, float] | None = None) -> D
         limit = F.coalesce(F.try_element_at(table, F.col("classification_final_category")), default)
     value = F.col("estimated_value_eur")
     scale = F.when(value.isNotNull(), F.when(value >= limit, "large").otherwise("small")).otherwise(labels.scale(F.col("asset_scale")))
-    told = [none_if_blank(strip(r)) for r in reason]
+    # the first that is not empty speaks, even if it is blank
+    told = none_if_blank(strip(F.coalesce(F.lit(None).cast("string"), *[F.when(r != "", r) for r in reason])))
     return staged.withColumns(
-        {"classification_asset_scale": scale, "classification_reason": F.coalesce(*told, F.lit("openai-no-reason"))}
+        {"classification_asset_scale": scale, "classification_reason": F.coalesce(told, F.lit("openai-no-reason"))}
     )
 
 
@@ -139,23 +140,51 @@ def _text(x: Column) -> Column:
     return none_if_blank(strip(x))
 
 
+def _list(x: Column) -> Column:
+    """Stripped texts of a list without its empty ones; null if none is left."""
+    kept = F.transform(F.filter(x, lambda v: v != ""), strip)
+    return F.when(F.size(kept) > 0, kept)
+
+
+# Report texts an outcome carries over as they are (fixed values: column names).
+OUTCOME_TEXTS = (
+    "bid_deadline", "decision_date", "funding_source", "eu_project_reference", "evaluation_method", "contract_scope_type", "notes",
+)
+
+
+def _further(parsed: DataFrame) -> dict[str, Column]:
+    """Outcome fields beside status, winner and participants; what an answer lacks is null, the lot flag false."""
+    def has(name: str) -> bool:
+        return name in parsed.columns
+
+    found = {name: _text(F.col(name)) if has(name) else F.lit(None).cast("string") for name in OUTCOME_TEXTS}
+    found["subcontractors"] = _list(F.col("subcontractors")) if has("subcontractors") else F.lit(None).cast("array<string>")
+    found["is_multi_lot"] = F.coalesce(F.col("is_multi_lot"), F.lit(False)) if has("is_multi_lot") else F.lit(False)
+    found["lot_count"] = F.nullif(F.col("lot_count").cast("int"), F.lit(0)) if has("lot_count") else F.lit(None).cast("int")
+    return found
+
+
 def clean_company(x: Column) -> Column:
     return without_noise(squeeze(x))
 
 
 def outcome_participants(parsed: DataFrame) -> DataFrame:
-    """Cleaned participants: ``procurement_id, pos, name, registration_no, price, disqualified, reason``.
+    """Cleaned participants: ``procurement_id, pos, name, registration_no, suggested_price_eur, disqualified, disqualification_reason, consortium_members``.
 
     One row per participant of a parsed answer; implausible names go, and of
-    names equal when folded the first stays.
+    names equal when folded the first stays. Consortium members are a list, or
+    null if there are none.
     """
     listed = parsed.select("procurement_id", F.posexplode("participants").alias("pos", "p"))
+    given = listed.schema["p"].dataType.names
+    partners = _list(F.col("p.consortium_members")) if "consortium_members" in given else F.lit(None).cast("array<string>")
     cleaned = listed.select(
         "procurement_id", "pos", clean_company(_text(F.col("p.name"))).alias("name"), _text(F.col("p.registration_no")).alias("registration_no"),
         spaced_float(F.col("p.suggested_price_eur")).alias("suggested_price_eur"),
         F.coalesce("p.disqualified", F.lit(False)).alias("disqualified"), _text(F.col("p.disqualification_reason")).alias("disqualification_reason"),
+        partners.alias("consortium_members"),
     ).where(plausible(F.col("name")))
-    first = F.min_by(F.struct("pos", "name", "registration_no", "suggested_price_eur", "disqualified", "disqualification_reason"), F.col("pos"))
+    first = F.min_by(F.struct("pos", "name", "registration_no", "suggested_price_eur", "disqualified", "disqualification_reason", "consortium_members"), F.col("pos"))
     return cleaned.groupBy("procurement_id", folded_lower(F.col("name")).alias("_key")).agg(first.alias("p")).select("procurement_id", "p.*")
 
 
@@ -163,8 +192,10 @@ def outcomes(parsed: DataFrame) -> DataFrame:
     """Cleaned outcome per procurement; the winner takes the participant its core name meets.
 
     The first participant whose core contains the winner's core, or is
-    contained in it, gives the name and fills a missing number and price.
+    contained in it, gives the name and fills a missing number and price. Dates,
+    funding, scope, subcontractors, lots and notes of the answer are cleaned too.
     """
+    further = _further(parsed)
     members = outcome_participants(parsed).withColumn("core", name_core(F.col("name")))
     raw = _text(F.col("winner_name"))
     base = parsed.select(
@@ -174,6 +205,7 @@ def outcomes(parsed: DataFrame) -> DataFrame:
         _text(F.col("winner_registration_no")).alias("w_reg"),
         spaced_float(F.col("winner_price_eur").cast("string")).alias("w_price"),
         F.lower(_text(F.col("confidence"))).alias("confidence"),
+        *(value.alias(name) for name, value in further.items()),
     ).withColumn("w_core", name_core(F.col("w_name")))
     meets = (F.col("w_core") != "") & (F.col("core") != "") & (F.contains(F.col("core"), F.col("w_core")) | F.contains(F.col("w_core"), F.col("core")))
     hit = F.min_by(F.struct("name", "registration_no", "suggested_price_eur"), F.when(meets, F.col("pos"))).alias("hit")
@@ -193,6 +225,7 @@ def outcomes(parsed: DataFrame) -> DataFrame:
         F.coalesce("participants", F.lit(0)).alias("participants"),
         F.coalesce("disqualified", F.lit(0)).alias("disqualified"),
         "confidence",
+        *further,
     )
 
 

@@ -12,6 +12,25 @@ def top(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
     return ordered if k is None else ordered.limit(k)
 
 
+def top_lists(df: DataFrame, k: int, lists: dict[str, tuple[Column | None, tuple[Column, ...]]], ties: tuple[str, ...]) -> DataFrame:
+    """Several top lists of one table in one pass: its columns and ``ranking``.
+
+    ``lists`` maps a list's name to a filter (or ``None``) and its numeric sort
+    keys, smallest first, nulls last; ``ties`` are text columns that end every
+    order. Rows are dealt to the lists they can stand in and ranked there.
+    """
+    from pyspark.sql import Window
+
+    offers = [
+        F.when(F.lit(True) if kept is None else kept, F.struct(F.lit(name).alias("ranking"), F.array(*(F.coalesce(x.cast("double"), F.lit(float("inf"))) for x in keys)).alias("keys")))
+        for name, (kept, keys) in lists.items()
+    ]
+    dealt = df.withColumn("_offer", F.explode(F.array_compact(F.array(*offers))))
+    order = Window.partitionBy("_offer.ranking").orderBy("_offer.keys", *ties)
+    ranked = dealt.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= k)
+    return ranked.withColumn("ranking", F.col("_offer.ranking")).drop("_offer", "_rank")
+
+
 def most_common(df: DataFrame, keys: list[str], value: str, weight: Column, out: str) -> DataFrame:
     """Per key the value with the greatest weight, by name on ties, and that weight."""
     counted = df.groupBy(*keys, value).agg(weight.alias("_n"))

@@ -97,32 +97,29 @@ def results_in_code_scope(results: DataFrame, raw_announcements: DataFrame, pref
     return results.join(ids, "procurement_id", "left_semi")
 
 
-LIST_PART = 1000
-
-
-def _parts(df: DataFrame, member: tuple[str, ...]) -> DataFrame:
-    """Number the parts of each procurement's list so that a part stays small.
-
-    Almost every procurement has one part; a crowded one is spread by hash over
-    as many parts as it needs, so no list grows with the data.
+def member_lists(results: DataFrame, participants: DataFrame) -> DataFrame:
+    """Ordered winner and participant lists per procurement, one row per member.
+
+    Columns: ``procurement_id``, ``kind`` (winner or participant), ``position``
+    from 1 in order of number, name and value (nulls first), the member's
+    ``registration_no``, ``name`` and ``value_eur`` (null for participants), and
+    the true ``winner_count`` and ``participant_count``. Members stay rows, so a
+    procurement may have any number of them.
     """
-    sizes = df.groupBy("procurement_id").agg(F.ceil(F.count(F.lit(1)) / LIST_PART).alias("parts"))
-    spread = F.pmod(F.xxhash64(*member), F.col("parts")).cast("int")
-    return df.join(sizes, "procurement_id").withColumn("part", spread)
-
+    from pyspark.sql import Window
 
-def json_lists(results: DataFrame, participants: DataFrame) -> DataFrame:
-    """Winner and participant lists per procurement, ordered, as JSON text."""
-    keep_nulls = {"ignoreNullFields": "false"}
-    w = F.struct(
-        F.col("winner_reg_number").alias("registration_no"), F.col("winner_name").alias("name"),
+    won = results.select(
+        "procurement_id", F.lit("winner").alias("kind"), F.col("winner_reg_number").alias("registration_no"), F.col("winner_name").alias("name"),
         F.col("contract_value_eur").alias("value_eur"),
     )
-    p = F.struct(F.col("participant_reg_number").alias("registration_no"), F.col("participant_name").alias("name"))
-    won = _parts(results, ("winner_reg_number", "winner_name", "contract_value_eur")).groupBy("procurement_id", "part").agg(
-        F.count(F.lit(1)).alias("winner_count"), F.to_json(F.sort_array(F.collect_list(w)), keep_nulls).alias("winners_json")
+    bid = participants.select(
+        "procurement_id", F.lit("participant").alias("kind"), F.col("participant_reg_number").alias("registration_no"),
+        F.col("participant_name").alias("name"), F.lit(None).cast("double").alias("value_eur"),
     )
-    bid = _parts(participants, ("participant_reg_number", "participant_name")).groupBy("procurement_id", "part").agg(
-        F.count(F.lit(1)).alias("participant_count"), F.to_json(F.sort_array(F.collect_list(p)), keep_nulls).alias("participants_json")
+    members = won.unionByName(bid)
+    totals = members.groupBy("procurement_id").agg(
+        F.count_if(F.col("kind") == "winner").alias("winner_count"), F.count_if(F.col("kind") == "participant").alias("participant_count")
     )
-    return bid.join(won, ["procurement_id", "part"], "full")
+    order = Window.partitionBy("procurement_id", "kind").orderBy("registration_no", "name", "value_eur")
+    return members.withColumn("position", F.row_number().over(order)).join(totals, "procurement_id")
+

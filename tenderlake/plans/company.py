@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from ..functions import fixed
 from ..functions.cleaning import mean, pct, size_band
 from ..functions.names import party_name
-from ..operators.facts import AWARD, ESTIMATE, GAP, amount, gap_pct, mean_gap, total
-from ..operators.ranking import common_values, top
+from ..operators.facts import AWARD, ESTIMATE, GAP, amount, distinct_bids, gap_pct, mean_gap, total
+from ..operators.ranking import common_values, top, top_lists
 from .dashboard import buyer_concentration
 
 
 def options(bids: DataFrame) -> DataFrame:
-    """Distinct display names of all bidders, in order."""
-    return bids.where((F.col("norm_name") != fixed.NO_PARTY) & (F.col("name") != fixed.NO_PARTY)).select("name").distinct().orderBy("name")
+    """Display names of all bidders in order, by their first spelling in each procurement."""
+    return distinct_bids(bids).where(F.col("name") != fixed.NO_PARTY).select("name").distinct().orderBy("name")
 
 
 def selection(spark: SparkSession, bids: DataFrame, companies: list[str] | None = None) -> DataFrame:
@@ -115,13 +115,12 @@ def rivals(ours: DataFrame, bids: DataFrame, chosen: DataFrame) -> DataFrame:
 
 def rival_rankings(table: DataFrame, k: int = 10) -> DataFrame:
     """The three top lists of rivals, one row per (list, rival)."""
-    orders = {
-        "met_most": (F.desc("meet_count"), F.asc("name")),
-        "beat_us": (F.desc("beat_us"), F.desc("meet_count"), F.asc("name")),
-        "we_beat": (F.desc("we_beat"), F.desc("meet_count"), F.asc("name")),
+    lists = {
+        "met_most": (None, (-F.col("meet_count"),)),
+        "beat_us": (None, (-F.col("beat_us"), -F.col("meet_count"))),
+        "we_beat": (None, (-F.col("we_beat"), -F.col("meet_count"))),
     }
-    lists = [top(table, k, *order).withColumn("ranking", F.lit(name)) for name, order in orders.items()]
-    return lists[0].unionByName(lists[1]).unionByName(lists[2])
+    return top_lists(table, k, lists, ("name",))
 
 
 def buyers(ours: DataFrame, rows: DataFrame) -> DataFrame:
@@ -141,11 +140,13 @@ def buyers(ours: DataFrame, rows: DataFrame) -> DataFrame:
 
 def buyer_rankings(table: DataFrame, k: int = 10, min_bids: int = 2) -> DataFrame:
     """Best buyers by win rate and target buyers by low concentration."""
-    known = table.where(F.col("bids") >= min_bids)
+    enough = F.col("bids") >= min_bids
     loose = F.coalesce("market_concentration_pct", F.lit(999.0))
-    best = top(known, k, F.desc("win_rate_pct"), F.desc("wins"), F.asc("name")).withColumn("ranking", F.lit("best"))
-    targets = top(known, k, loose.asc(), F.desc("bids"), F.asc("name")).withColumn("ranking", F.lit("targets"))
-    return best.unionByName(targets)
+    lists = {
+        "best": (enough, (-F.col("win_rate_pct"), -F.col("wins"))),
+        "targets": (enough, (loose, -F.col("bids"))),
+    }
+    return top_lists(table, k, lists, ("name",))
 
 
 def label(bids: DataFrame, chosen: DataFrame) -> DataFrame:

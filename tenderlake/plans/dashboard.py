@@ -276,11 +276,21 @@ PROJECT_NAMES = {WINNER: "winner", AWARD: "awarded_sum_eur", ESTIMATE: "estimate
 def project_page(rows: DataFrame, limit: int, offset: int = 0) -> DataFrame:
     """One page of projects, newest year first, ids compared as text.
 
-    ``limit`` is held to 1..200 as the listing promises.
+    Every row also carries the page's ``limit`` and ``offset``. A limit outside
+    1..200 or a negative offset is refused, as the listing does.
     """
+    if not 1 <= limit <= 200:
+        raise ValueError("limit must lie in 1..200")
+    if offset < 0:
+        raise ValueError("offset must not be negative")
     shown = rows.select(*[F.col(x).alias(PROJECT_NAMES.get(x, x)) for x in PROJECT_COLUMNS if x in rows.columns])
     ordered = shown.orderBy(F.desc("year"), F.desc("procurement_id"))
-    return ordered.offset(offset).limit(min(max(limit, 1), 200))
+    return ordered.offset(offset).limit(limit).withColumns({"limit": F.lit(limit), "offset": F.lit(offset)})
+
+
+def project_total(rows: DataFrame) -> DataFrame:
+    """Number of projects that the pages of ``rows`` hold together: one row, ``total``."""
+    return rows.agg(F.count(F.lit(1)).alias("total"))
 
 
 def available_filters(rows: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import fixed
 from ..functions.cleaning import decision_lag, mean, pct
 from ..functions.names import display_name
 from ..operators.facts import COUNT, WINNER, amount, estimate, filled, has_winner, total
-from ..operators.ranking import common_values, top
+from ..operators.ranking import common_values, top, top_lists
 
 
 def options(rows: DataFrame) -> DataFrame:
@@ -102,11 +102,11 @@ def segments(mine: DataFrame) -> DataFrame:
 
 def segment_rankings(table: DataFrame, k: int = 10) -> DataFrame:
     """Biggest segments, and open ones with two projects or more."""
-    ties = (F.asc("category"), F.asc("region"), F.asc("cpv"))
-    biggest = top(table, k, F.desc("awarded_sum_eur"), F.desc("projects"), *ties).withColumn("ranking", F.lit("biggest"))
-    open_order = (F.asc("single_bidder_share_pct"), F.asc("avg_competitors"), F.desc("projects"), *ties)
-    opened = top(table.where(F.col("projects") >= 2), k, *open_order).withColumn("ranking", F.lit("open"))
-    return biggest.unionByName(opened)
+    lists = {
+        "biggest": (None, (-F.col("awarded_sum_eur"), -F.col("projects"))),
+        "open": (F.col("projects") >= 2, (F.col("single_bidder_share_pct"), F.col("avg_competitors"), -F.col("projects"))),
+    }
+    return top_lists(table, k, lists, ("category", "region", "cpv"))
 
 
 def dominant(mine: DataFrame) -> DataFrame:

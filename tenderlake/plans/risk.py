@@ -15,8 +15,7 @@ from ..session import written
 
 CLOSE = "0.03"
 MIN_CLOSE = 3
-CROWDED = 400
-SALTS = 16
+BAND_SHARE = 256
 _BAND = math.log(1.0301)
 
 
@@ -39,22 +38,27 @@ def _is_close(p: Column, q: Column) -> Column:
     return (low > 0) & (high - low <= low * F.lit(CLOSE).cast("decimal(3,2)"))
 
 
-def _near_pairs(bids: DataFrame, salts: int = 1) -> DataFrame:
+def _near_pairs(bids: DataFrame) -> DataFrame:
     """Close pairs of one procurement, met through price bands only.
 
     Two close prices lie in the same or in neighbouring bands of 3 %, so the
     join key is (procurement, band); no other pair of the procurement is formed.
-    With ``salts`` one side is spread and the other copied, so that a crowded
-    band is shared by several tasks.
+    The bids of a band are dealt by hash over as many salts as it has shares of
+    ``BAND_SHARE`` bids, and the other side is copied to each, so that a crowded
+    band is shared by more tasks the larger it is.
     """
     banded = bids.where(F.col("price") > 0).withColumn("band", F.floor(F.log(F.col("price").cast("double")) / _BAND))
-    salt = F.pmod(F.xxhash64("norm_name", "pos"), F.lit(salts)).cast("int")
-    left = banded.select("procurement_id", "band", F.col("norm_name").alias("n1"), F.col("pos").alias("p1"), F.col("price").alias("v1"), "lowest", salt.alias("salt"))
+    sizes = banded.groupBy("procurement_id", "band").agg(F.ceil(F.count(F.lit(1)) / BAND_SHARE).cast("int").alias("salts")).where(F.col("salts") > 1)
+    salts = F.coalesce("salts", F.lit(1))
+    left = banded.join(sizes, ["procurement_id", "band"], "left").select(
+        "procurement_id", "band", F.col("norm_name").alias("n1"), F.col("pos").alias("p1"), F.col("price").alias("v1"), "lowest",
+        F.pmod(F.xxhash64("norm_name", "pos"), salts).cast("int").alias("salt"),
+    )
     right = banded.select(
         "procurement_id", F.explode(F.array(F.col("band"), F.col("band") + 1)).alias("band"), F.col("band").alias("own"),
         F.col("norm_name").alias("n2"), F.col("pos").alias("p2"), F.col("price").alias("v2"),
     )
-    right = right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = right.join(sizes, ["procurement_id", "band"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
     once = (F.col("own") < F.col("band")) | (F.col("p1") < F.col("p2"))
     return (
         left.join(right, ["procurement_id", "band", "salt"])
@@ -91,42 +95,14 @@ def _meetings(pairs: DataFrame, bids: DataFrame) -> DataFrame:
     return met.where((F.col("a") != F.col("b")) | (F.col("p1") < F.col("p2")))
 
 
-def close_pair_counts(priced: DataFrame, min_close: int = MIN_CLOSE, crowded: int = CROWDED) -> DataFrame:
-    """Pairs with at least ``min_close`` close meetings, exactly.
-
-    Ordinary procurements give their close pairs directly. Crowded ones are not
-    expanded: pairs already met are looked up in them, and only bidders seen
-    often enough in crowded procurements are paired there at all. A bidder too
-    rare to reach ``min_close`` stays only where its procurement repeats a
-    name, since there one listing can meet several times.
-    """
-    sizes = priced.groupBy("procurement_id").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > crowded)
-    crowd = sizes.select("procurement_id")
-    if crowd.isEmpty():
-        return _counted(_near_pairs(priced)).where(F.col("close") >= min_close)
-    light = _counted(_near_pairs(priced.join(crowd, "procurement_id", "left_anti")))
-
-    packed = priced.join(crowd, "procurement_id", "left_semi")
-    looked_up = _meetings(light, packed).where(_is_close(F.col("v1"), F.col("v2"))).select("a", "b", "lowest")
-
-    per_name = packed.groupBy("procurement_id", "norm_name").agg(F.count(F.lit(1)).alias("n"))
-    repeats = per_name.groupBy("procurement_id").agg((F.max("n") > 1).alias("repeats"))
-    often = per_name.groupBy("norm_name").agg(F.sum("n").alias("seen"))
-    regular = (F.col("seen") >= min_close) | F.col("repeats")
-    regulars = packed.join(repeats, "procurement_id").join(often, "norm_name").where(regular)
-    unmet = _near_pairs(regulars, SALTS).join(light.select("a", "b"), ["a", "b"], "left_anti")
-
-    everything = light.unionByName(_counted(looked_up.unionByName(unmet)))
-    return (
-        everything.groupBy("a", "b")
-        .agg(F.sum("close").alias("close"), F.sum("lowest").alias("lowest"))
-        .where(F.col("close") >= min_close)
-    )
+def close_pair_counts(priced: DataFrame, min_close: int = MIN_CLOSE) -> DataFrame:
+    """Pairs with at least ``min_close`` close meetings: ``a, b, close, lowest``, the same way for every procurement."""
+    return _counted(_near_pairs(priced)).where(F.col("close") >= min_close)
 
 
-def repeated_pairs(priced: DataFrame, k: int | None = 15, min_close: int = MIN_CLOSE, crowded: int = CROWDED) -> DataFrame:
+def repeated_pairs(priced: DataFrame, k: int | None = 15, min_close: int = MIN_CLOSE) -> DataFrame:
     """Bidder pairs close at least three times, with all their meetings."""
-    close = written(close_pair_counts(priced, min_close, crowded))
+    close = written(close_pair_counts(priced, min_close))
     met = _meetings(close, priced).groupBy("a", "b").agg(F.count(F.lit(1)).alias("meet_count"))
     shown = close.join(met, ["a", "b"]).select(
         F.concat_ws(" · ", "a", "b").alias("name"),
@@ -138,9 +114,8 @@ def repeated_pairs(priced: DataFrame, k: int | None = 15, min_close: int = MIN_C
     return top(shown, k, F.desc("close_bid_count"), F.desc("meet_count"), F.asc("name"))
 
 
-def risk_rows(rows: DataFrame, priced: DataFrame, crowded: int = CROWDED) -> DataFrame:
-    """Rows with their risk flags; ``priced`` comes from ``priced_bids``."""
-    paired = _meetings(written(close_pair_counts(priced, crowded=crowded)), priced).select("procurement_id").distinct()
+def flagged_rows(rows: DataFrame) -> DataFrame:
+    """Rows with the flags that their own values decide."""
     award, guess, bidders = F.col(AWARD), F.col(ESTIMATE), F.col(COUNT)
     usable = F.coalesce((award != 0) & (guess != 0), F.lit(False))
     flags = {
@@ -151,13 +126,20 @@ def risk_rows(rows: DataFrame, priced: DataFrame, crowded: int = CROWDED) -> Dat
         "above_estimate_10pct": usable & (award > guess * F.lit("1.1").cast("decimal(2,1)")),
         "below_estimate_20pct": usable & (award < guess * F.lit("0.8").cast("decimal(2,1)")),
     }
+    return rows.withColumns(flags)
+
+
+def risk_rows(rows: DataFrame, priced: DataFrame) -> DataFrame:
+    """Rows with their risk flags; ``priced`` comes from ``priced_bids``."""
+    paired = _meetings(written(close_pair_counts(priced)), priced).select("procurement_id").distinct()
     marked = paired.withColumn("close_pair", F.lit(True))
-    flagged = rows.withColumns(flags).join(marked, "procurement_id", "left").withColumn("close_pair", F.coalesce("close_pair", F.lit(False)))
+    flagged = flagged_rows(rows).join(marked, "procurement_id", "left").withColumn("close_pair", F.coalesce("close_pair", F.lit(False)))
     risky = F.col("single_bidder") | F.col("low_competition") | F.col("above_estimate") | F.col("above_estimate_10pct") | F.col("close_pair")
     return flagged.withColumn("risky", risky)
 
 
 def summary(flagged: DataFrame) -> DataFrame:
+    """Counts and shares of the flags; ``flagged_rows`` is enough, no pair is asked for."""
     n, guessed = F.count(F.lit(1)), F.count_if("with_estimate")
     counts = {"single_bidder": n, "low_competition": n}
     counts.update({f"award_{x}": guessed for x in ("above_estimate", "above_estimate_10pct", "below_estimate_20pct")})

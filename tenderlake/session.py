@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,25 +28,24 @@ def build_session(app: str = "tenderlake", master: str | None = None, shuffle_pa
     return builder.getOrCreate()
 
 
-_LOCAL_FOLDER: list[str] = []
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for tables that several steps read: the session's ``spark.checkpoint.dir``.
+    """This application's folder for tables that several steps read.
 
-    Only a local session that names none gets a temporary folder, removed at
-    exit; a cluster session without one is an error, since executors could not
-    read a machine-local path.
+    It lies in ``spark.checkpoint.dir``, which all executors share, or else in
+    ``spark.sql.warehouse.dir``, and is removed when the application ends.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-    if not _LOCAL_FOLDER:
-        _LOCAL_FOLDER.append(tempfile.mkdtemp(prefix="tenderlake-"))
-        atexit.register(shutil.rmtree, _LOCAL_FOLDER[0], ignore_errors=True)
-    return _LOCAL_FOLDER[0]
+    parent = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    folder = f"{parent.rstrip('/')}/tenderlake-{spark.sparkContext.applicationId}"
+    if folder not in _MADE:
+        _MADE.add(folder)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+    return folder
+
+
+_MADE: set[str] = set()
 
 
 def written(df: DataFrame) -> DataFrame:

@@ -79,20 +79,33 @@ def plain_pairs(bids):
     return {k: tuple(v) for k, v in counts.items() if v[1] >= 3}
 
 
-@pytest.mark.parametrize("crowded", [400, 12])
-def test_close_pairs_equal_all_pairs_with_crowded_procurements(spark, crowded):
-    rng = random.Random(crowded)
+def pair_frame(spark, bids):
+    return spark.createDataFrame(bids, "procurement_id string, pos long, norm_name string, price decimal(18,2)").withColumn("lowest", F.lit(False))
+
+
+@pytest.mark.parametrize("share", [256, 4])
+@pytest.mark.parametrize("names", [30, 200])
+def test_close_pairs_equal_all_pairs(spark, monkeypatch, share, names):
+    """Crowded and small procurements, bidders seen often and rarely, names repeated within a procurement."""
+    monkeypatch.setattr(risk, "BAND_SHARE", share)
+    rng = random.Random(share + names)
     bids = []
     for p in range(14):
         size = 40 if p % 3 == 0 else 8
         for pos in range(size):
-            name = f"N{rng.randrange(30)}"
-            bids.append((f"p{p}", pos, name, Decimal(rng.choice([0, 100, 101, 102, 103, 104, 110, 200, 203, 206]))))
-    frame = spark.createDataFrame(bids, "procurement_id string, pos long, norm_name string, price decimal(18,2)").withColumn("lowest", F.lit(False))
-    got = {tuple(r.name.split(" · ")): (r.meet_count, r.close_bid_count) for r in risk.repeated_pairs(frame, None, crowded=crowded).collect()}
+            name = f"N{rng.randrange(names)}"
+            bids += [(f"p{p}", 2 * pos + i, name, Decimal(rng.choice([0, 100, 101, 102, 103, 104, 110, 200, 203, 206]))) for i in range(rng.choice([1, 1, 1, 2]))]
+    got = {tuple(r.name.split(" · ")): (r.meet_count, r.close_bid_count) for r in risk.repeated_pairs(pair_frame(spark, bids), None).collect()}
     assert got == plain_pairs(bids)
 
 
+def test_rare_bidder_with_a_repeated_name_is_found(spark):
+    filler = [(p, 10 + i, f"F{p}{i}", Decimal(1000 * (i + 2))) for p in ("p1", "p2") for i in range(3)]
+    bids = [("p1", 0, "A", Decimal(100)), ("p1", 1, "B", Decimal(101)), ("p1", 2, "B", Decimal(102)), ("p2", 0, "A", Decimal(100)), ("p2", 1, "B", Decimal(101))]
+    rows = risk.close_pair_counts(pair_frame(spark, bids + filler)).collect()
+    assert [(r.a, r.b, r.close) for r in rows] == [("A", "B", 3)]
+
+
 @pytest.fixture(scope="module")
 def alpha(spark):
     ctx = ("Buyer", "Rīga", "design")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,7 +66,11 @@ def test_decision_lag(spark):
 
 
 def test_fold_any_script(spark):
-    assert values(spark, names.fold_any_script, ["ﬁne Ēka", None]) == ["fine Eka", None]
+    texts = ["ﬁne Ēka", None, "Зелёный Край", "ﬁrma Άλφα", "№5 ½ Ǆ", "한국 ｆｕｌｌ", "e\u0301\u0327 x\u0300", "日本 ㍿ \U0001d400", ""]
+    plain = [None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)) for t in texts]
+    assert values(spark, names.fold, texts) == plain
+    every = [chr(i) for i in range(0x80, 0x20000, 37) if not 0xD800 <= i < 0xE000]
+    assert values(spark, names.fold, every) == ["".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)) for t in every]
 
 
 def test_classification(spark):
