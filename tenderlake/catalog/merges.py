@@ -87,34 +87,38 @@ def _(s, d):
     return merge.write_counts(merge.fold_last(current, ("procurement_id",)), batch, ("procurement_id",))
 
 
-@query(
-    "merge_participants",
-    f"""WITH {_EV} SELECT procurement_id, winner_reg_number AS participant_reg_number, (list(buyer ORDER BY i DESC))[1] AS status,
+_PARTICIPANTS = f"""WITH {_EV} SELECT procurement_id, winner_reg_number AS participant_reg_number, (list(buyer ORDER BY i DESC))[1] AS status,
     arg_max(signed, i) FILTER (signed IS NOT NULL) AS participant_submitted_at, 'W' || CAST(min(i) AS VARCHAR) AS participant_name,
-    (list(v ORDER BY i))[1] AS estimated_value_eur, arg_min(y, i) AS source_year FROM ev GROUP BY 1, 2""",
-)
-def _(s, d):
-    rows = result_rows(_events(s, d)).select(
+    (list(v ORDER BY i))[1] AS estimated_value_eur, arg_min(y, i) AS source_year FROM ev GROUP BY 1, 2"""
+_BUYERS = f"""WITH {_EV} SELECT procurement_id AS reg_number, (list(buyer ORDER BY i DESC))[1] AS organization, (list(signed ORDER BY i))[1] AS registered_date,
+    arg_max(i % 2 = 0, i) AS is_blocked FROM ev GROUP BY 1"""
+
+
+def _participant_rows(results):
+    return results.select(
         "procurement_id", F.col("winner_reg_number").alias("participant_reg_number"), F.col("buyer").alias("status"),
         F.col("contract_signed_date").alias("participant_submitted_at"), F.col("winner_name").alias("participant_name"),
         F.col("contract_value_eur").alias("estimated_value_eur"), "source_year", "seq",
     )
-    current, batch = _split(rows)
-    folded = merge.fold(current, merge.PARTICIPANT_KEYS, merge.PARTICIPANT_RULES)
-    return merge.merge(folded, batch, merge.PARTICIPANT_KEYS, merge.PARTICIPANT_RULES)
 
 
-@query(
-    "merge_buyers",
-    f"""WITH {_EV} SELECT procurement_id AS reg_number, (list(buyer ORDER BY i DESC))[1] AS organization, (list(signed ORDER BY i))[1] AS registered_date,
-    arg_max(i % 2 = 0, i) AS is_blocked FROM ev GROUP BY 1""",
-)
-def _(s, d):
-    rows = result_rows(_events(s, d)).select(
+def _buyer_rows(results):
+    return results.select(
         F.col("procurement_id").alias("reg_number"), F.col("buyer").alias("organization"), F.col("contract_signed_date").alias("registered_date"),
         (F.col("seq") % 2 == 0).alias("is_blocked"), "seq",
     )
-    current, batch = _split(rows)
+
+
+@query("merge_participants", _PARTICIPANTS)
+def _(s, d):
+    current, batch = _split(_participant_rows(result_rows(_events(s, d))))
+    folded = merge.fold(current, merge.PARTICIPANT_KEYS, merge.PARTICIPANT_RULES)
+    return merge.merge(folded, batch, merge.PARTICIPANT_KEYS, merge.PARTICIPANT_RULES)
+
+
+@query("merge_buyers", _BUYERS)
+def _(s, d):
+    current, batch = _split(_buyer_rows(result_rows(_events(s, d))))
     return merge.merge(merge.fold(current, merge.BUYER_KEYS, merge.BUYER_RULES), batch, merge.BUYER_KEYS, merge.BUYER_RULES)
 
 
@@ -282,13 +286,28 @@ def _landed_events(s, d, parts=4):
     return folder, _events(s, d).schema
 
 
-@query("stream_results", _MERGED)
-def _(s, d):
+def _streamed(s, d, rows, keys, rules):
+    """``rows`` of the landed events, merged by a stream run."""
     folder, schema = _landed_events(s, d)
-    source = result_rows(sync.landed_stream(s, f"{folder}/in", schema))
-    sync.sync_keyed(source, merge.RESULT_KEYS, merge.RESULT_RULES, f"{folder}/out", f"{folder}/log").awaitTermination()
+    source = rows(result_rows(sync.landed_stream(s, f"{folder}/in", schema)))
+    sync.sync_keyed(source, keys, rules, f"{folder}/out", f"{folder}/log").awaitTermination()
     out = T.StructType([f for f in source.schema.fields if f.name != "seq"])
-    return sync.keyed(s, f"{folder}/out", out, merge.RESULT_KEYS, merge.RESULT_RULES)
+    return sync.keyed(s, f"{folder}/out", out, keys, rules)
+
+
+@query("stream_results", _MERGED)
+def _(s, d):
+    return _streamed(s, d, lambda results: results, merge.RESULT_KEYS, merge.RESULT_RULES)
+
+
+@query("stream_participants", _PARTICIPANTS)
+def _(s, d):
+    return _streamed(s, d, _participant_rows, merge.PARTICIPANT_KEYS, merge.PARTICIPANT_RULES)
+
+
+@query("stream_buyers", _BUYERS)
+def _(s, d):
+    return _streamed(s, d, _buyer_rows, merge.BUYER_KEYS, merge.BUYER_RULES)
 
 
 @query(
