@@ -17,6 +17,8 @@ TUPLES = 32
 PIECE = 16
 RANK_BITS = 35
 PLACE_BITS = 28
+# Characters of a task's reports: their k-mers are sorted in memory.
+TASK_CHARS = 4_000_000
 
 
 def kmers(text: Column) -> Column:
@@ -100,20 +102,17 @@ def fingerprint_edits(reports: DataFrame) -> DataFrame:
     """
     spark = reports.sparkSession
     kept = reports.select("procurement_id", F.coalesce("report_text", F.lit("")).alias("text"))
-    starts, nulls = _starts(kept, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    own = _group_of(F.col("procurement_id"), starts).cast("int")
+    chars = kept.agg(F.sum(F.length("text"))).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
+    starts, nulls = _starts(kept, 4 * tasks)
+    own = F.coalesce(_group_of(F.col("procurement_id"), starts), F.lit(0)).cast("int")
     last = F.lit(max(0, len(starts) - 1))
     key = F.col("procurement_id")
-    opens = key.isNull() if nulls else F.lit(False)
-    if starts and not nulls:
-        opens = key == F.lit(starts[0])
+    opens = key.isNull() if nulls else key == F.lit(starts[0]) if starts else F.lit(False)
     begins = key.isin(starts[1:]) if len(starts) > 1 else F.lit(False)
-    targets = F.concat(
-        F.array(F.struct(own.alias("group"), F.lit(0).alias("ahead"))),
-        F.when(F.coalesce(begins, F.lit(False)), F.array(F.struct((own - 1).alias("group"), F.lit(1).alias("ahead")))).otherwise(F.array().cast("array<struct<group:int,ahead:int>>")),
-        F.when(F.coalesce(opens, F.lit(False)), F.array(F.struct(last.alias("group"), F.lit(1).alias("ahead")))).otherwise(F.array().cast("array<struct<group:int,ahead:int>>")),
-    )
-    dealt = kept.select("procurement_id", "text", F.explode(targets).alias("to")).select("to.group", "to.ahead", "procurement_id", "text").repartition("group")
+    targets = [(own, 0, F.lit(True)), (own - 1, 1, begins), (last, 1, opens)]
+    sent = F.explode(F.array(*(F.struct(g.alias("group"), F.lit(a).alias("ahead"), F.coalesce(on, F.lit(False)).alias("goes")) for g, a, on in targets)))
+    dealt = kept.select("procurement_id", "text", sent.alias("to")).where("to.goes").select("to.group", "to.ahead", "procurement_id", "text").repartition(tasks, "group")
     order = Window.partitionBy("group").orderBy("ahead", F.col("procurement_id").asc_nulls_first(), "text")
     placed = dealt.select("*", F.row_number().over(order).cast("int").alias("row"), F.lead("text").over(order).alias("next_text"), F.lag("ahead", 1, 0).over(order).alias("ahead_before"))
     placed = placed.where("ahead = 0 OR ahead_before = 0")

@@ -57,7 +57,7 @@ def test_documents_against_brute_force(spark):
 def test_depleted_reports_go_and_their_lines(spark):
     menu = "\n".join(f"Menu  entry {i} of the portal with words" for i in range(5))
     rows = [(i, f"{menu}\nonly {i}", "portal") for i in range(30)]
-    rows += [(100 + i, menu + "\n" + " ".join(f"own{i}x{j}" for j in range(40)), "portal") for i in range(30)]
+    rows += [(100 + i, menu + "\n" + " ".join(f"own{chr(97 + i % 26)}{chr(97 + j % 26)}x{chr(97 + j // 26)}" for j in range(40)), "portal") for i in range(30)]
     rows += [(200, f"{menu}\nonly 7", "elsewhere")]
     frame = spark.createDataFrame(rows, "procurement_id long, report_text string, purchaser_name string")
     judged = quality.judge(frame)
@@ -65,7 +65,7 @@ def test_depleted_reports_go_and_their_lines(spark):
     kept = {r["procurement_id"] for r in judged.where("kept").collect()}
     assert kept == {*range(100, 130), 200}
     text = judged.where("procurement_id = 101").join(frame, "procurement_id").select(quality.without_lines(F.col("report_text"), F.col("removed"))).first()[0]
-    assert text == " ".join(f"own1x{j}" for j in range(40))
+    assert text == " ".join(f"ownb{chr(97 + j % 26)}x{chr(97 + j // 26)}" for j in range(40))
 
 
 def test_repeated_windows(spark):
