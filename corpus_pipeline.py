@@ -16,13 +16,24 @@ from tenderlake.llm.common import as_reports
 from tenderlake.session import shared_folder
 
 
+def _unused(docs: DataFrame, *names: str) -> list[str]:
+    """``names`` made longer until no column of ``docs`` has them."""
+    out = []
+    for name in names:
+        while name in docs.columns:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep, without the lines they remove; ``n_chars`` follows the text."""
     judged = quality.judge(as_reports(docs, purchaser_name="source")).where("kept")
-    verdicts = judged.select(F.col("procurement_id").alias("kept_id"), F.col("content").alias("kept_content"), "removed").dropDuplicates(["kept_id", "kept_content"])
-    joined = docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col("kept_id")) & (quality.content_key(docs["text"]) == F.col("kept_content")))
-    text = quality.without_lines(docs["text"], F.col("removed"))
-    changed = F.size("removed") > 0
+    key, content, gone = _unused(docs, "kept_id", "kept_content", "removed_lines")
+    verdicts = judged.select(F.col("procurement_id").alias(key), F.col("content").alias(content), F.col("removed").alias(gone)).dropDuplicates([key, content])
+    joined = docs.join(verdicts, docs["doc_id"].eqNullSafe(F.col(key)) & (quality.content_key(docs["text"]) == F.col(content)))
+    text = quality.without_lines(docs["text"], F.col(gone))
+    changed = F.size(gone) > 0
     new = {"text": text, "n_chars": F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(docs["n_chars"])}
     return joined.select(*(new[c].alias(c) if c in new else docs[c] for c in docs.columns))
 
@@ -36,10 +47,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id."""
     groups = simhash.similar_groups(as_reports(docs))
-    kept = groups.where("leads").select(F.col("first_id").alias("kept_id"), F.col("content").alias("kept_content"))
-    content = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col("kept_id")) & (content == F.col("kept_content")))
-    return joined.dropDuplicates(["kept_id", "kept_content"]).select(*docs.columns)
+    key, content = _unused(docs, "kept_id", "kept_content")
+    kept = groups.where("leads").select(F.col("first_id").alias(key), F.col("content").alias(content))
+    own = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    joined = docs.join(kept, docs["doc_id"].eqNullSafe(F.col(key)) & (own == F.col(content)))
+    return joined.dropDuplicates([key, content]).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

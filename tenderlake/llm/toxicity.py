@@ -1,4 +1,4 @@
-"""Toxicity of report texts by a classifier chain over chosen words."""
+"""Toxicity of report texts by a classifier chain over chosen words and word beginnings."""
 
 from __future__ import annotations
 
@@ -22,7 +22,9 @@ TRAINING_ROWS = 20_000
 FEATURES = 400
 FOLDS = 4
 ROUNDS = 300
-PENALTY = 2e-4
+PENALTY = 5e-5
+# A word also counts by its first letters, so that inflected forms count together.
+BEGINNINGS = (4, 5)
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,12 @@ class ChainModel:
     weights: tuple[np.ndarray, ...]
 
 
+def features_of(text: str | None) -> set[str]:
+    """Different words of a text, lower-cased, and their beginnings with a ``^`` in front."""
+    words = set(WORD.findall(text.lower())) if text else set()
+    return words.union(*({f"^{w[:n]}" for w in words if len(w) > n} for n in BEGINNINGS))
+
+
 def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
@@ -44,6 +52,8 @@ def fit_linear(row: np.ndarray, feature: np.ndarray, value: np.ndarray, width: i
     ``row, feature, value`` are the non-zero cells of the data.
     """
     n = target.size
+    if not n:
+        return np.zeros(width + 1)
     row, feature, value = np.concatenate([row, np.arange(n)]), np.concatenate([feature, np.full(n, width)]), np.concatenate([value, np.ones(n)])
     reach = np.bincount(row, weights=np.abs(value), minlength=n)
     bound = 0.25 * np.bincount(feature, weights=np.abs(value) * reach[row], minlength=width + 1) / n + PENALTY
@@ -75,7 +85,7 @@ def _cells(words: pd.Series, earlier: pd.DataFrame) -> tuple[np.ndarray, np.ndar
 def _word_sets(text: Column) -> Column:
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def words(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(set(WORD.findall(t.lower()))) if t else [])
+        return texts.map(lambda t: sorted(features_of(t)))
 
     return words(text)
 
@@ -84,8 +94,8 @@ def train_chain(reports: DataFrame, categories: tuple[str, ...], training_rows:
     """Fit a chain on reports with ``procurement_id, report_text`` and a 0/1 column per category, in the given order.
 
     Only rows with every category are used, about ``training_rows`` of them,
-    chosen by a hash of the id. The ``FEATURES`` words whose presence tells most
-    about the categories are the features. Each model also sees the probabilities
+    chosen by a hash of the id. The ``FEATURES`` words and word beginnings whose
+    presence tells most about the categories are the features. Each model also sees the probabilities
     of the earlier categories; while training these are out of fold, so a later
     model learns how far an earlier one can be trusted. The models of all folds
     are fitted side by side, each from the bounded sample. Without rows the chain
@@ -154,7 +164,7 @@ def probabilities(text: Column, model: ChainModel) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def score(texts: pd.Series) -> pd.Series:
-        found = texts.map(lambda t: [number[w] for w in number.keys() & set(WORD.findall(t.lower()))] if t else [])
+        found = texts.map(lambda t: [number[w] for w in number.keys() & features_of(t)])
         row = np.repeat(np.arange(len(found)), np.fromiter(map(len, found), dtype=np.intp, count=len(found)))
         feature = np.array([f for fs in found for f in fs], dtype=np.int64)
         given: list[np.ndarray] = []
