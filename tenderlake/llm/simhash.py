@@ -257,7 +257,10 @@ def similar_groups(reports: DataFrame) -> DataFrame:
     )
     found = written(near_links(points.select(F.col("content").alias("point"), "facts.fingerprint", "facts.keys"), WIDE_RADIUS))
     ends = found.select(F.explode(F.array("a", "b")).alias("content")).distinct()
-    texts = reports.select(F.xxhash64(text).alias("content"), text.alias("report_text")).join(ends, "content", "left_semi").dropDuplicates(["content"])
+    # one report speaks for its copies, so a text with many copies is not gathered in one task
+    chosen = points.join(ends, "content").select(F.col("content").alias("of"), "first_id")
+    own = reports.select("procurement_id", F.xxhash64(text).alias("content"), text.alias("report_text"))
+    texts = own.join(chosen, (F.col("content") == F.col("of")) & F.col("procurement_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["content"])
     sets = written(texts.select("content", _shingles(F.col("report_text")).alias("shingles")))
     both = found.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a").join(
         sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b"
