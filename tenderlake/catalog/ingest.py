@@ -400,6 +400,20 @@ def _(s, d):
     return landing.read_project_lines(s, path, df.schema)
 
 
+@query(
+    "owners_csv",
+    """SELECT DISTINCT '4' || lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS reg, 'Ren' || chr(65533) || ' ' || s_name AS owner FROM supplier WHERE s_suppkey % 7 <> 0""",
+)
+def _(s, d):
+    """Owners from a semicolon file whose bytes are not all UTF-8; rows without a number or name go."""
+    path, k = _folder(s), F.col("s_suppkey")
+    rows = star.table(s, d, "supplier").select(
+        F.when(k % 7 != 0, star.reg_of(k)).otherwise(" ").alias("legal_entity_registration_number"), F.lit("René").alias("forename"), F.col("s_name").alias("surname")
+    )
+    rows.write.option("sep", ";").option("header", True).option("encoding", "ISO-8859-1").csv(path)
+    return landing.owners_by_reg(landing.read_owners_csv(s, path))
+
+
 @query("round_trip_csv", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
 def _(s, d):
     path = _folder(s)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from ..operators import compare, merge, search
 from ..session import shared_folder
-from ..sources import star
+from ..sources import landing, star
 from ..streaming import sync
 from .registry import query
 from .relational import SAVED
@@ -229,13 +229,24 @@ _CMP = """cmp AS (SELECT CAST(o_orderkey AS VARCHAR) AS procurement_id, o_orderk
       WHEN o_orderkey % 4 = 0 OR o_orderkey % 6 = 0 OR o_orderkey % 9 = 0 THEN 'field_mismatch' ELSE 'match' END AS overall_status FROM orders)"""
 
 
-@query(
-    "record_compare",
-    f"""WITH {_CMP} SELECT procurement_id, overall_status AS status, '*' AS field FROM cmp WHERE overall_status LIKE '%second'
+_DIFFERENCES = """SELECT procurement_id, overall_status AS status, '*' AS field FROM cmp WHERE overall_status LIKE '%second'
     UNION ALL SELECT procurement_id, 'field_mismatch', 'estimated_value_eur' FROM cmp WHERE value_off
     UNION ALL SELECT procurement_id, 'field_mismatch', 'has_lots' FROM cmp WHERE flag_off
-    UNION ALL SELECT procurement_id, 'field_mismatch', 'procurement_participants_json' FROM cmp WHERE list_off""",
-)
+    UNION ALL SELECT procurement_id, 'field_mismatch', 'procurement_participants_json' FROM cmp WHERE list_off"""
+
+
+@query("comparison_csv", f"WITH {_CMP} SELECT procurement_id, overall_status AS status, 'record' AS field FROM cmp UNION ALL {_DIFFERENCES}")
+def _(s, d):
+    """Both comparison files, written and read again."""
+    folder = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    wide = compare.compare_wide(*_stores(s, d))
+    landing.write_comparison(wide, compare.compare_long(wide), folder)
+    files = s.read.option("header", True).option("inferSchema", False)
+    records = files.csv(f"{folder}/procurement_comparison").select("procurement_id", F.col("overall_status").alias("status"), F.lit("record").alias("field"))
+    return records.unionByName(files.csv(f"{folder}/field_comparison").select("procurement_id", "status", "field"))
+
+
+@query("record_compare", f"WITH {_CMP} {_DIFFERENCES}")
 def _(s, d):
     return compare.compare_long(compare.compare_wide(*_stores(s, d))).select("procurement_id", "status", "field")
 
