@@ -56,7 +56,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in their sequences."""
-    pieces = packing.token_pieces(as_reports(docs), queries._tokenizer(queries.WORD_BPE), 1)
+    pieces = packing.token_pieces(as_reports(docs), queries.tokenizer_path(queries.WORD_BPE), 1)
     return packing.pack(pieces).withColumnRenamed("procurement_id", "doc_id")
 
 

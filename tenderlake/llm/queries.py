@@ -31,7 +31,7 @@ LISTED = (
 )
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -81,12 +81,12 @@ def op6_url_filter(spark: SparkSession, root: str) -> DataFrame:
 
 def op7_token_files(spark: SparkSession, root: str) -> DataFrame:
     path = f"{tokenids.token_file_folder(spark)}/{uuid.uuid4().hex}"
-    tokenids.write_token_file(as_reports(table(spark, root, "documents")), _tokenizer(WORD_BPE), 2, path)
+    tokenids.write_token_file(as_reports(table(spark, root, "documents")), tokenizer_path(WORD_BPE), 2, path)
     return _named(tokenids.read_token_file(spark, path))
 
 
 def op8_best_fit_packing(spark: SparkSession, root: str) -> DataFrame:
-    return _named(packing.pack(packing.token_pieces(as_reports(table(spark, root, "documents")), _tokenizer(WORD_BPE), 1)))
+    return _named(packing.pack(packing.token_pieces(as_reports(table(spark, root, "documents")), tokenizer_path(WORD_BPE), 1)))
 
 
 def op9_line_quality(spark: SparkSession, root: str) -> DataFrame:
@@ -95,7 +95,7 @@ def op9_line_quality(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op10_merge_dropout(spark: SparkSession, root: str) -> DataFrame:
-    return _named(dropout.encode_reports(as_reports(table(spark, root, "documents")), _tokenizer(PIECE_BPE), keep_ids=False))
+    return _named(dropout.encode_reports(as_reports(table(spark, root, "documents")), tokenizer_path(PIECE_BPE), keep_ids=False))
 
 
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
