@@ -137,8 +137,6 @@ def _shown_names(cells: DataFrame, facts: DataFrame) -> DataFrame:
     per_bidder = spellings.groupBy("norm_name").agg(_one().alias("spellings"), F.min("name").alias("name"))
     several = per_bidder.where(F.col("spellings") > 1).select("norm_name")
     single = per_bidder.where(F.col("spellings") == 1).select("norm_name", "name")
-    if several.isEmpty():
-        return single
     newest = F.max(F.struct("year", "procurement_id", "name")).getField("name").alias("name")
     return single.unionByName(facts.join(several, "norm_name", "left_semi").groupBy("norm_name").agg(newest))
 
