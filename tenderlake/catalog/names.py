@@ -276,14 +276,14 @@ def _(s, d):
 
 @query(
     "customer_chains",
-    """WITH n AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component,
-      count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) SELECT c_custkey AS id, component FROM n WHERE n > 1""",
+    """WITH n AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey // 20000) AS component,
+      count(*) OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey // 20000) AS n FROM customer) SELECT c_custkey AS id, component FROM n WHERE n > 1""",
 )
 def _(s, d):
-    """Long chains of customers: each is linked to the next of its nation and segment."""
+    """Long chains of customers: each is linked to the next of its nation, segment and block of twenty thousand keys."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("c_custkey")
+    order = Window.partitionBy("c_nationkey", "c_mktsegment", F.floor(F.col("c_custkey") / 20000)).orderBy("c_custkey")
     links = star.table(s, d, "customer").select(F.col("c_custkey").alias("a"), F.lead("c_custkey").over(order).alias("b"))
     return groups.components(links.where(F.col("b").isNotNull()))
 
