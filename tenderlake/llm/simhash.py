@@ -43,6 +43,9 @@ WIDE_RADIUS = 56
 SIMILARITY = 0.8
 BANDS = 14
 BAND_MINIMA = 4
+# Most shingles of a tile, and most 64-bit words of the table in which sets are compared.
+TILE_SHINGLES = 2_000_000
+TABLE_WORDS = 1 << 22
 
 
 def shingle_hashes(text: str | None, size: int) -> np.ndarray:
@@ -242,32 +245,111 @@ def _shingles(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: shingle_facts(t)[2].view(np.int64))
 
 
+def true_links(tile: np.ndarray, crossing: bool, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Pairs of a Jaccard similarity of at least ``SIMILARITY`` that suffice to connect all such pairs, as row numbers.
+
+    ``sets`` holds the distinct shingle hashes of each row. In a crossing item only
+    rows of different tiles are compared. Two rows are passed over only if pairs that
+    passed the check connect them already. Rows are ordered by size, as a pair's
+    sizes differ by a fifth at most.
+    """
+    order = np.argsort([s.size for s in sets], kind="stable")
+    sets, tile = [sets[i] for i in order], tile[order]
+    size = np.array([s.size for s in sets], dtype=np.int64)
+    _, code, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # a shingle of one row is in no intersection
+    common = uses[code] > 1
+    row, code = np.repeat(np.arange(size.size), size)[common], (np.cumsum(uses > 1) - 1)[code[common]]
+    width = (int((uses > 1).sum()) + 63) // 64
+    table = None
+    if size.size * width <= TABLE_WORDS:
+        table = np.zeros((size.size, width), dtype=np.uint64)
+        np.bitwise_or.at(table, (row, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    first = np.searchsorted(row, np.arange(size.size + 1))
+    label = np.arange(size.size)
+    links: list[tuple[int, int]] = []
+    for i, last in enumerate(np.searchsorted(size, size / SIMILARITY + 1, side="right").tolist()):
+        others = np.arange(i + 1, last)
+        others = others[(label[others] != label[i]) & (not crossing or tile[others] != tile[i])]
+        if not others.size:
+            continue
+        if table is not None:
+            shared = np.bitwise_count(table[others] & table[i]).sum(axis=1, dtype=np.int64)
+        else:
+            mine = np.zeros(width * 64, dtype=bool)
+            mine[code[first[i] : first[i + 1]]] = True
+            span = slice(first[i + 1], first[last])
+            shared = np.bincount(row[span][mine[code[span]]], minlength=size.size)[others]
+        for j in others[shared >= SIMILARITY * (size[i] + size[others] - shared)].tolist():
+            if label[i] != label[j]:
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+                links.append((int(order[i]), int(order[j])))
+    return links
+
+
+def checked_links(members: DataFrame) -> DataFrame:
+    """Links ``a, b`` that connect all members of a component whose sets have a Jaccard similarity of at least ``SIMILARITY``.
+
+    ``members``: ``content`` (a unique long), ``component`` and ``shingles``. A
+    component of more than ``TILE`` members or ``TILE_SHINGLES`` shingles is cut into
+    tiles by hash, and each pair of tiles is a work item of its own that holds the
+    sets of its members.
+    """
+    weight = members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("shingles")).alias("total"))
+    tiles = weight.select("component", F.greatest(F.ceil(F.col("n") / TILE), F.ceil(F.col("total") / TILE_SHINGLES), F.lit(1)).cast("int").alias("tiles"))
+    placed = members.join(tiles, "component").withColumn("tile", F.pmod(F.xxhash64("content", F.lit("tile")), F.col("tiles")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
+    items = placed.withColumn("other", other).select(
+        "component", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "content", "shingles"
+    )
+
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def solve() -> pa.RecordBatch:
+            content = [c for _, c, _ in held]
+            found = true_links(np.array([t for t, _, _ in held]), at[1] != at[2], [s for _, _, s in held]) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([content[i] for i, _ in found], pa.int64()), pa.array([content[j] for _, j in found], pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            component, t1, t2, tile, content = (batch.column(i).to_pylist() for i in range(5))
+            flat, ends = batch.column(5).flatten().to_numpy(), np.cumsum(batch.column(5).value_lengths().to_numpy())
+            for i, item in enumerate(zip(component, t1, t2)):
+                if item != at:
+                    if held:
+                        yield solve()
+                    at, held = item, []
+                held.append((tile[i], content[i], flat[ends[i - 1] if i else 0 : ends[i]]))
+        if held:
+            yield solve()
+
+    sorted_items = items.repartition("component", "t1", "t2").sortWithinPartitions("component", "t1", "t2")
+    return sorted_items.mapInArrow(link, "a long, b long")
+
+
 def similar_groups(reports: DataFrame) -> DataFrame:
     """``content, first_id, component_id, leads``: each distinct text's smallest id, that of its group, and whether it stands for the group.
 
     Texts are linked if their sets of five-word shingles have a Jaccard
-    similarity of at least 0.8: wide fingerprints within ``WIDE_RADIUS`` bits that
-    share a band key are candidates, and every link is checked on the shingle
-    sets. ``content`` is a 64-bit hash of the text; a null text is empty.
+    similarity of at least 0.8. Wide fingerprints within ``WIDE_RADIUS`` bits that
+    share a band key are candidates. The components of the candidates are only
+    where the search goes on: inside each of them texts are linked by their shingle
+    sets alone. ``content`` is a 64-bit hash of the text; a null text is empty.
     """
     text = F.coalesce("report_text", F.lit(""))
     contents = reports.select("procurement_id", F.xxhash64(text).alias("content"), _facts(text).alias("facts"))
     points = written(
         contents.groupBy("content").agg(F.min("procurement_id").alias("first_id"), F.any_value("facts").alias("facts"))
     )
-    found = written(near_links(points.select(F.col("content").alias("point"), "facts.fingerprint", "facts.keys"), WIDE_RADIUS))
-    ends = found.select(F.explode(F.array("a", "b")).alias("content")).distinct()
+    near = components(near_links(points.select(F.col("content").alias("point"), "facts.fingerprint", "facts.keys"), WIDE_RADIUS))
+    loose = written(near.select(F.col("id").alias("of"), "component"))
     # one report speaks for its copies, so a text with many copies is not gathered in one task
-    chosen = points.join(ends, "content").select(F.col("content").alias("of"), "first_id")
+    chosen = points.join(loose, F.col("content") == F.col("of")).select("of", "first_id")
     own = reports.select("procurement_id", F.xxhash64(text).alias("content"), text.alias("report_text"))
     texts = own.join(chosen, (F.col("content") == F.col("of")) & F.col("procurement_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["content"])
-    sets = written(texts.select("content", _shingles(F.col("report_text")).alias("shingles")))
-    both = found.join(sets.select(F.col("content").alias("a"), F.col("shingles").alias("sa")), "a").join(
-        sets.select(F.col("content").alias("b"), F.col("shingles").alias("sb")), "b"
-    )
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.where(shared >= SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
-    linked = components(links)
+    sets = texts.select("content", _shingles(F.col("report_text")).alias("shingles"))
+    members = written(sets.join(loose, F.col("content") == F.col("of")).select("content", "component", "shingles"))
+    linked = components(checked_links(members))
     place = points.join(linked.withColumnRenamed("id", "content"), "content", "left").select(
         "content", F.coalesce("component", "content").alias("component"), "first_id"
     )

@@ -117,6 +117,53 @@ def test_wide_groups(spark):
     assert simhash.similar_groups(empty_reports(spark)).count() == 0
 
 
+def star(copies, seed):
+    """An original of 200 words and copies with three changed words: each at 0.8 or more to the original, few to each other."""
+    rng = random.Random(seed)
+    original = [f"{seed}w{i}" for i in range(200)]
+    out = [" ".join(original)]
+    for c in range(copies):
+        words = list(original)
+        for at in rng.sample(range(10, 190), 3):
+            words[at] = f"c{c}x{at}"
+        out.append(" ".join(words))
+    return out
+
+
+def groups_by_brute_force(texts):
+    sets = [set(simhash.shingle_hashes(t, simhash.WIDE_SHINGLE).tolist()) for t in texts]
+    true = [(a, b) for a, x in enumerate(sets) for b in range(a + 1, len(sets)) if len(x & sets[b]) >= 0.8 * len(x | sets[b])]
+    return components_of(len(texts), true)
+
+
+def test_stars_of_copies(spark, monkeypatch):
+    texts = star(100, 1) + star(30, 2)
+    want = groups_by_brute_force(texts)
+    assert set(want) == {0, 101}
+    frame = spark.createDataFrame(list(enumerate(texts)), "procurement_id long, report_text string")
+    for tile, shingles in ((1024, 2_000_000), (16, 2_000_000), (1024, 3000)):
+        monkeypatch.setattr(simhash, "TILE", tile)
+        monkeypatch.setattr(simhash, "TILE_SHINGLES", shingles)
+        found = sorted((r["first_id"], r["component_id"]) for r in simhash.similar_groups(frame).collect())
+        assert found == list(enumerate(want))
+
+
+def test_true_links_connect_like_all_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 60)
+    sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(45, 61)], rng.integers(0, 1 << 63, rng.integers(0, 8))])) for _ in range(120)]
+    sets += [np.zeros(0, dtype=np.int64)] * 2
+    true = [(a, b) for a in range(122) for b in range(a + 1, 122) if (n := np.intersect1d(sets[a], sets[b]).size) >= 0.8 * (sets[a].size + sets[b].size - n)]
+    tile = np.arange(122) % 2
+    for words in (simhash.TABLE_WORDS, 0):
+        monkeypatch.setattr(simhash, "TABLE_WORDS", words)
+        for crossing in (False, True):
+            links = simhash.true_links(tile, crossing, sets)
+            wanted = [(a, b) for a, b in true if not crossing or tile[a] != tile[b]]
+            assert len(links) < 122 and {tuple(sorted(x)) for x in links} <= set(wanted)
+            assert components_of(122, links) == components_of(122, wanted)
+
+
 def test_native_hashes_agree(spark):
     """The shingle hash is Spark's own for one text column."""
     row = spark.sql("SELECT xxhash64('a b c') AS h").first()
