@@ -17,7 +17,8 @@ WINDOW = 8
 LEAST_WORDS = 20
 MOST_REPEATED_PCT = 30
 LEAST_DOCUMENTS = 20
-MOST_SHARE = 0.1
+# The limit is a number of documents, whatever the size of the host; a share is a further condition for those who ask for it.
+MOST_SHARE = 0.0
 LEAST_LEFT = 0.3
 
 
@@ -76,7 +77,7 @@ def measure(reports: DataFrame) -> DataFrame:
 
 
 def frequent_lines(measured: DataFrame, least_documents: int = LEAST_DOCUMENTS, most_share: float = MOST_SHARE) -> DataFrame:
-    """``host, key`` of lines in at least ``least_documents`` documents and over ``most_share`` of the documents of their host.
+    """``host, key`` of lines in at least ``least_documents`` documents of their host, and over ``most_share`` of them if that is not 0.
 
     Equal texts are one document; so are several lines of a document that have
     one key. A null host is a host.
@@ -84,6 +85,8 @@ def frequent_lines(measured: DataFrame, least_documents: int = LEAST_DOCUMENTS,
     host = F.coalesce("host", F.lit("")).alias("host")
     lines = measured.select(host, "content", F.explode(F.array_distinct(F.transform("lines", lambda x: x["key"]))).alias("key")).distinct()
     counted = lines.groupBy("host", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_documents)
+    if not most_share:
+        return counted.select("host", "key")
     sizes = measured.select(host, "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("documents"))
     return counted.join(sizes, "host").where(F.col("n") > most_share * F.col("documents")).select("host", "key")
 

@@ -68,6 +68,15 @@ def test_depleted_reports_go_and_their_lines(spark):
     assert text == " ".join(f"ownb{chr(97 + j % 26)}x{chr(97 + j // 26)}" for j in range(40))
 
 
+def test_limit_does_not_grow_with_the_host(spark):
+    notice = "This notice stands under some pages of the portal"
+    rows = [(i, (notice + "\n" if i < 25 else "") + " ".join(f"own{chr(97 + i % 26)}{chr(97 + i // 26)}x{chr(97 + j)}" for j in range(24)), "large") for i in range(300)]
+    rows += [(1000 + i, t, "small") for i, t, _ in rows[:19]]
+    frame = spark.createDataFrame(rows, "procurement_id long, report_text string, purchaser_name string")
+    lost = {r["procurement_id"] for r in quality.judge(frame).where("words_left < n_words").collect()}
+    assert lost == set(range(25))
+
+
 def test_repeated_windows(spark):
     texts = ["a b c d e f g h " * 3, "a " * 9, "1 2 3 4 5 6 7 8 x 1 2 3 4 5 6 7 8 9 1 2 3 4 5 6 7 8", "a b c\n\n \na b c\nA b c"]
     rows = [(i, t, "h") for i, t in enumerate(texts)]
