@@ -2,9 +2,9 @@
 
 Merge-type pieces are built by an agenda: of all neighbours whose join is a
 piece, the best piece is merged first, the leftmost of equals, until none is
-left. Dropout skips a candidate when a hash of seed, variant, word and place falls
-below the rate, so a text has one segmentation per key and different keys give
-different ones. Every segmentation decodes to the text.
+left. Dropout skips a candidate when a hash of seed, report, place of the word in
+the text and place in the word falls below the rate, so every occurrence of a word
+is cut by itself, and repeated rows agree. Every segmentation decodes to the text.
 """
 
 from __future__ import annotations
@@ -27,9 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLANK = "▁"
 RATE = 0.1
-VARIANTS = 4
 LONG_WORD = 40
 CACHED_WORDS = 1_000_000
+# Skips of one word up to which its segmentations are remembered.
+CACHED_SKIPS = 2
 LOT_CHARS = 2_000_000
 MASK = (1 << 64) - 1
 # Fixed odd factors of the skip hash.
@@ -140,8 +141,40 @@ def agenda(pieces: Pieces, word: str, word_key: int, rate: float) -> bytes:
 
 def agendas(pieces: Pieces, words: list[str], word_keys: np.ndarray, rate: float) -> list[bytes]:
     """Ids of many short words at once: every round takes the best candidate of each word's agenda."""
+    return _rounds(pieces, words, lambda word, start, middle, end: skipped(word_keys[word], start, middle, end, rate) if rate else None)[0]
+
+
+def paths(pieces: Pieces, words: list[str], barred: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Ids of many short words without the candidates in ``barred`` (sorted ``_code``), and the merges made.
+
+    The merges come in order: their codes, and how many each word has.
+    """
+
+    def skip(word, start, middle, end):
+        if not barred.size:
+            return None
+        code = _code(word, start, middle, end)
+        at = np.searchsorted(barred, code)
+        at[at == barred.size] = 0
+        return barred[at] == code
+
+    ids, made = _rounds(pieces, words, skip)
+    if not made:
+        return ids, np.zeros(0, dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+    word = np.concatenate([w for w, _ in made])
+    order = np.argsort(word, kind="stable")
+    return ids, np.concatenate([c for _, c in made])[order], np.bincount(word, minlength=len(words))
+
+
+def _code(word, start, middle, end):
+    """A word's number and a candidate in it as one number."""
+    return (word << 18) | (start << 12) | (middle << 6) | end
+
+
+def _rounds(pieces: Pieces, words: list[str], skip) -> tuple[list[bytes], list[tuple[np.ndarray, np.ndarray]]]:
+    made: list[tuple[np.ndarray, np.ndarray]] = []
     if not words:
-        return []
+        return [], made
     sizes = np.array([len(w) for w in words], dtype=np.int64)
     symbol = np.array([s for w in words for s in pieces.start(w)], dtype=np.int64)
     word = np.repeat(np.arange(len(words)), sizes)
@@ -154,14 +187,15 @@ def agendas(pieces: Pieces, words: list[str], word_keys: np.ndarray, rate: float
         at = np.searchsorted(pieces.codes, code)
         at[at == pieces.codes.size] = 0
         fit = np.flatnonzero((pieces.codes[at] == code) & (word[1:] == word[:-1]) & (symbol[:-1] >= 0) & (symbol[1:] >= 0))
-        if rate and fit.size:
-            fit = fit[~skipped(word_keys[word[fit]], start[fit], start[fit + 1], end[fit + 1], rate)]
+        if fit.size and (gone := skip(word[fit], start[fit], start[fit + 1], end[fit + 1])) is not None:
+            fit = fit[~gone]
         piece = pieces.joined[at[fit]]
         priority = pieces.rank[piece] * (LONG_WORD + 1) + (LONG_WORD - start[fit])
         best = np.full(len(words), -1, dtype=np.int64)
         np.maximum.at(best, word[fit], priority)
         chosen = priority == best[word[fit]]
         left, merged = fit[chosen], piece[chosen]
+        made.append((word[left], _code(word[left], start[left], start[left + 1], end[left + 1])))
         busy = best[word] >= 0
         done = ~busy
         for kept, values in ((out_symbol, symbol), (out_word, word), (out_start, start), (out_end, end)):
@@ -183,21 +217,58 @@ def agendas(pieces: Pieces, words: list[str], word_keys: np.ndarray, rate: float
             ids.append(pieces.finish(symbols[a:b], [words[i][x:y] for x, y in zip(starts[a:b], ends[a:b])]))
         else:
             ids.append(raw[4 * a : 4 * b])
-    return ids
+    return ids, made
 
 
 class Segmenter:
-    """Encodes texts of one model, seed and rate; remembers short words, at most about ``CACHED_WORDS``."""
+    """Encodes texts of one model, seed and rate; remembers what does not depend on the keys, for about ``CACHED_WORDS`` segmentations.
+
+    A word's agenda without dropout makes certain merges in a certain order. A
+    skipped candidate that is not among them changes nothing; the first one that is
+    leads to the agenda without it, which again makes certain merges. So each word
+    has a tree: a node is a set of skipped candidates with its merges and ids, and
+    an occurrence walks down by its own hashes.
+    """
 
     def __init__(self, model: bytes, seed: int, rate: float):
         self.pieces, self.seed, self.rate = Pieces(model), seed, rate
-        self.by_variant: dict[int, dict[str, bytes]] = {}
         self.blank_bytes = np.array([self.pieces.byte_id[b] for b in BLANK.encode()], dtype="<u4").tobytes()
-
-    def _key(self, word: str, variant: int) -> int:
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.ids: list[bytes] = [self.blank_bytes]
+        self.word: list[str] = [""]
+        self.barred: list[tuple[int, ...]] = [()]
+        # of each node, where its merges lie in ``merges``; of each merge, the node without it or -1
+        self.first, self.count = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int64)
+        self.merges, self.child, self.used = np.zeros(4096, dtype=np.int64), np.full(4096, -1, dtype=np.int64), 0
+
+    def _key(self, key, n: int) -> np.ndarray:
+        """Hash keys of the ``n`` words of a text."""
         import xxhash
 
-        return xxhash.xxh64_intdigest(word.encode(), seed=(self.seed * 1_000_003 + variant) & MASK)
+        whole = np.uint64(xxhash.xxh64_intdigest(str(key).encode("utf-8", "surrogatepass"), seed=self.seed & MASK))
+        x = (np.arange(1, n + 1, dtype=np.uint64) * np.uint64(FACTORS[0])) ^ whole
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(FACTORS[1])
+        return x ^ (x >> np.uint64(32))
+
+    def _grow(self, words: list[str], barred: list[tuple[int, ...]]) -> np.ndarray:
+        """Numbers of new nodes."""
+        codes = np.array(sorted((i << 18) | c for i, each in enumerate(barred) for c in each), dtype=np.int64)
+        ids, merges, counts = paths(self.pieces, words, codes)
+        at, end, used = len(self.ids), len(self.ids) + len(words), self.used + merges.size
+        if end > self.first.size:
+            self.first, self.count = (np.concatenate([x, np.zeros(max(x.size, end), dtype=np.int64)]) for x in (self.first, self.count))
+        if used > self.merges.size:
+            self.merges, self.child = (np.concatenate([x, np.full(max(x.size, used), -1, dtype=np.int64)]) for x in (self.merges, self.child))
+        self.first[at:end], self.count[at:end] = self.used + np.cumsum(counts) - counts, counts
+        self.merges[self.used : used] = merges & ((1 << 18) - 1)
+        self.used = used
+        self.ids += ids
+        self.word += words
+        self.barred += barred
+        return np.arange(at, end)
 
     def _words(self, text: str) -> list[str]:
         """Words of a text; a blank character of the model itself stands alone and becomes bytes."""
@@ -212,28 +283,49 @@ class Segmenter:
             words += self.pieces.apart.findall((BLANK if not i else "") + part.replace(" ", BLANK))
         return words
 
-    def encode_lot(self, texts: list[str], variants: list[int]) -> list[bytes]:
-        """Ids of each text under its variant, as little-endian unsigned 32-bit bytes."""
+    def encode_lot(self, texts: list[str], keys: list) -> list[bytes]:
+        """Ids of each text under its key, as little-endian unsigned 32-bit bytes."""
         cut = [self._words(t) for t in texts]
-        for variant in set(variants):
-            known = self.by_variant.setdefault(variant, {"": self.blank_bytes})
-            fresh: set[str] = set()
-            for words, own in zip(cut, variants):
-                if own == variant:
-                    fresh.update(set(words).difference(known))
-            if sum(map(len, self.by_variant.values())) + len(fresh) > CACHED_WORDS:
-                self.by_variant = {variant: {"": self.blank_bytes}}
-                known = self.by_variant[variant]
-                fresh = {w for words, own in zip(cut, variants) if own == variant for w in words} - {""}
-            short = [w for w in fresh if len(w) <= LONG_WORD]
-            keys = np.array([self._key(w, variant) for w in short], dtype=np.uint64)
-            known.update(zip(short, agendas(self.pieces, short, keys, self.rate)))
-            long = {w: agenda(self.pieces, w, self._key(w, variant), self.rate) for w in fresh if len(w) > LONG_WORD}
-            get = (known | long).__getitem__ if long else known.__getitem__
-            for i, (words, own) in enumerate(zip(cut, variants)):
-                if own == variant:
-                    cut[i] = b"".join(map(get, words))
-        return cut
+        words = [w for each in cut for w in each]
+        if len(self.ids) > CACHED_WORDS:
+            self._forget()
+        fresh = [w for w in set(words).difference(self.known) if len(w) <= LONG_WORD]
+        self.known.update(zip(fresh, self._grow(fresh, [()] * len(fresh)).tolist()))
+        out: list[bytes] = [b""] * len(words)
+        node = np.fromiter((self.known.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        key = np.concatenate([self._key(k, len(each)) for k, each in zip(keys, cut)] or [np.zeros(0, dtype=np.uint64)])
+        for i in np.flatnonzero(node < 0).tolist():
+            out[i] = agenda(self.pieces, words[i], int(key[i]), self.rate)
+        at = np.flatnonzero(node >= 0)
+        if self.rate:
+            # merges of the agendas so far that an occurrence has still to pass
+            for depth in range(CACHED_SKIPS + 1):
+                here = node[at]
+                counts = self.count[here]
+                owner = np.repeat(np.arange(at.size), counts)
+                place = np.arange(owner.size) + np.repeat(self.first[here] - (np.cumsum(counts) - counts), counts)
+                merge = self.merges[place]
+                hit = np.flatnonzero(skipped(key[at[owner]], merge >> 12, (merge >> 6) & 63, merge & 63, self.rate))
+                # the first skipped merge of each occurrence
+                who, lead = np.unique(owner[hit], return_index=True)
+                at, place = at[who], place[hit[lead]]
+                if not at.size:
+                    break
+                if depth == CACHED_SKIPS:
+                    for i, ids in zip(at.tolist(), agendas(self.pieces, [words[i] for i in at.tolist()], key[at], self.rate)):
+                        out[i] = ids
+                    node[at] = -1
+                    break
+                missing, source = np.unique(place[self.child[place] < 0], return_index=True)
+                if missing.size:
+                    parents = node[at[self.child[place] < 0][source]].tolist()
+                    grown = self._grow([self.word[p] for p in parents], [(*self.barred[p], int(m)) for p, m in zip(parents, self.merges[missing])])
+                    self.child[missing] = grown
+                node[at] = self.child[place]
+        ids = self.ids
+        done = [ids[n] if n >= 0 else o for n, o in zip(node.tolist(), out)]
+        ends = np.cumsum([len(each) for each in cut]).tolist()
+        return [b"".join(done[a:b]) for a, b in zip([0, *ends], ends)]
 
     def decode(self, ids: bytes) -> str:
         """Text of ids, without the blank that every text is given in front."""
@@ -250,18 +342,14 @@ def _segmenter(model: bytes, seed: int, rate: float) -> Segmenter:
     return kept[key]
 
 
-def variant_of(key) -> int:
-    return zlib.crc32(str(key).encode()) % VARIANTS
-
-
 def encode_reports(reports: DataFrame, model_path: str, seed: int = 1, rate: float = RATE, keep_ids: bool = True) -> DataFrame:
     """``procurement_id, n_tokens, ids_crc32, lossless`` of every whole report, and its ``ids`` if asked for.
 
-    ``rate`` 0 gives the plain segmentation. A report's variant, one of
-    ``VARIANTS``, comes from its id, so repeated rows agree and words vary from
-    report to report. ``lossless`` says that the ids decode to the text. A null or
-    empty text has no ids. One pass, no shuffle; a worker remembers words it has
-    met.
+    ``rate`` 0 gives the plain segmentation. The skips depend on the report's id (on
+    its text if that is null) and on the place of the word, so repeated rows agree
+    and each occurrence of a word is cut by itself. ``lossless`` says that the ids
+    decode to the text. A null or empty text has no ids. One pass, no shuffle; a
+    worker remembers the merges of words it has met.
     """
     with open(model_path, "rb") as file:
         model = reports.sparkSession.sparkContext.broadcast(file.read())
@@ -285,7 +373,7 @@ def encode_reports(reports: DataFrame, model_path: str, seed: int = 1, rate: flo
                     held += len(texts[stop])
                     stop += 1
                 lot = texts[at:stop]
-                ids = segmenter.encode_lot(lot, [variant_of(k) for k in keys[at:stop]])
+                ids = segmenter.encode_lot(lot, [t if k is None else k for k, t in zip(keys[at:stop], lot)])
                 same = [segmenter.decode(x) == t for x, t in zip(ids, lot)]
                 columns = [batch.column(0).slice(at, stop - at), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(same, pa.bool_())]
                 if keep_ids:

@@ -75,3 +75,24 @@ def test_small_cache(monkeypatch):
     assert dropout.Segmenter(MODEL, 1, 0.2).encode_lot(lot, [i % 3 for i in range(len(lot))]) == [
         dropout.Segmenter(MODEL, 1, 0.2).encode_lot([t], [i % 3])[0] for i, t in enumerate(lot)
     ]
+
+
+def test_every_occurrence_is_cut_by_itself():
+    word = " " + "unterhaltsreinigung"
+    segmenter = dropout.Segmenter(MODEL, 1, 0.3)
+    cuts = {segmenter.encode_lot([word[1:]], [i])[0] for i in range(300)}
+    assert len(cuts) > 20
+    inside = segmenter.encode_lot([(word * 300)[1:]], [7])[0]
+    size = len(segmenter.encode_lot([word[1:]], [7])[0])
+    assert inside != inside[:size] * 300 and segmenter.decode(inside) == (word * 300)[1:]
+
+
+def test_remembered_merges_give_the_agenda_of_each_occurrence():
+    rng = random.Random(8)
+    lot = texts() + ["".join(rng.choices("aeinorst ", k=200)) for _ in range(50)]
+    for rate in (0.1, 0.5):
+        segmenter = dropout.Segmenter(MODEL, 1, rate)
+        for _ in range(2):
+            for i, (text, raw) in enumerate(zip(lot, segmenter.encode_lot(lot, list(range(len(lot)))))):
+                words = segmenter._words(text)
+                assert raw == b"".join(dropout.agenda(segmenter.pieces, w, int(k), rate) if w else segmenter.blank_bytes for w, k in zip(words, segmenter._key(i, len(words))))
