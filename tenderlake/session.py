@@ -59,3 +59,13 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dropped(df: DataFrame) -> None:
+    """Remove the files of a ``written`` table that a newer one has replaced; nothing may read it afterwards."""
+    spark = df.sparkSession
+    folder = shared_folder(spark)
+    for name in {file.rpartition("/")[0] for file in df.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        if folder.rpartition("/")[2] in name:
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
