@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dropout, language, licences, orderhash, packing, quality, simhash, tokenids, toxicity, urls
+from . import centroids, counts, dropout, language, licences, orderhash, packing, quality, simhash, tokenids, toxicity, urls, whitening
+from ..session import shared_folder
 from .common import as_reports, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -98,6 +99,24 @@ def op10_merge_dropout(spark: SparkSession, root: str) -> DataFrame:
     return _named(dropout.encode_reports(as_reports(table(spark, root, "documents")), tokenizer_path(PIECE_BPE), keep_ids=False))
 
 
+def op11_digest_counts(spark: SparkSession, root: str) -> DataFrame:
+    """Counts through a cache that is empty at first, so each call encodes every distinct text once."""
+    cache = f"{shared_folder(spark)}/counts-{uuid.uuid4().hex}"
+    return _named(counts.count_tokens(as_reports(table(spark, root, "documents")), tokenizer_path(PIECE_BPE), cache))
+
+
+def _profiles(spark: SparkSession, root: str) -> DataFrame:
+    return table(spark, root, "embeddings").select(F.col("vec_id").alias("bidder"), F.col("embedding").alias("profile"))
+
+
+def op12_ns_centroids(spark: SparkSession, root: str) -> DataFrame:
+    return centroids.cluster_bidders(_profiles(spark, root), entries=64).withColumnRenamed("bidder", "vec_id")
+
+
+def op13_block_whitening(spark: SparkSession, root: str) -> DataFrame:
+    return whitening.whiten_bidders(_profiles(spark, root)).withColumnRenamed("bidder", "vec_id")
+
+
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,7 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_toxicity_chain, op3_licence_scan, op4_order_minhash, op5_simhash_pivots, op6_url_filter, op7_token_files,
-        op8_best_fit_packing, op9_line_quality, op10_merge_dropout, pipeline,
+        op8_best_fit_packing, op9_line_quality, op10_merge_dropout, op11_digest_counts, op12_ns_centroids, op13_block_whitening, pipeline,
     )
 }
 
