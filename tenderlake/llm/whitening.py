@@ -9,19 +9,33 @@ with the whitening matrix projects the rows.
 
 from __future__ import annotations
 
+import sys
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.ml.functions import vector_to_array
 from pyspark.mllib.common import callMLlibFunc
-from pyspark.mllib.linalg import Matrices
-from pyspark.mllib.linalg.distributed import BlockMatrix, IndexedRowMatrix
-from pyspark.mllib.util import MLUtils
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.mllib.linalg import Matrices, MatrixUDT
+from pyspark.mllib.linalg.distributed import BlockMatrix
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
 from ..session import written
 from .profiles import integers, whole
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+# How a dense matrix is stored in a column.
+MATRIX = pa.struct(
+    [
+        ("type", pa.int8()), ("numRows", pa.int32()), ("numCols", pa.int32()), ("colPtrs", pa.list_(pa.int32())), ("rowIndices", pa.list_(pa.int32())),
+        ("values", pa.list_(pa.float64())), ("isTransposed", pa.bool_()),
+    ]
+)
 SCALE = 256
 COMPONENTS = 4
 # Rows of a block: enough that the number of blocks, which the driver lays out, stays near ``BLOCKS``.
@@ -47,10 +61,45 @@ def indexed(points: DataFrame) -> tuple[DataFrame, int]:
 
 
 def row_blocks(rows: DataFrame, n: int, width: int) -> BlockMatrix:
-    """Block matrix of ``index, row`` (array of doubles)."""
-    vectors = MLUtils.convertVectorColumnsFromML(rows.select("index", array_to_vector("row").alias("vector")), "vector")
+    """Block matrix of ``index, row`` (array of doubles).
+
+    Rows are dealt out by block and a task lays each block out whole. MLlib's own way
+    from indexed rows sends every entry as an object of its own.
+    """
     per_block = min(MOST_ROWS, max(LEAST_ROWS, -(-n // BLOCKS)))
-    return IndexedRowMatrix(vectors, n, width).toBlockMatrix(per_block, width)
+    place = T.StructType([T.StructField("_1", T.LongType()), T.StructField("_2", T.LongType())])
+    schema = T.StructType([T.StructField("_1", place), T.StructField("_2", MatrixUDT())])
+
+    def lay_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def block() -> pa.RecordBatch:
+            index, values = (np.concatenate(x) for x in zip(*held))
+            entry = {
+                "type": 1, "numRows": len(index), "numCols": width, "colPtrs": None, "rowIndices": None,
+                "values": values[np.argsort(index)].ravel(order="F"), "isTransposed": False,
+            }
+            at = {"_1": int(index[0]) // per_block, "_2": 0}
+            kinds = [pa.struct([("_1", pa.int64()), ("_2", pa.int64())]), MATRIX]
+            return pa.RecordBatch.from_arrays([pa.array([at], kinds[0]), pa.array([entry], kinds[1])], names=["_1", "_2"])
+
+        for batch in batches:
+            index = batch.column(1).to_numpy()
+            values = batch.column(2).flatten().to_numpy().reshape(-1, width)
+            cuts = np.flatnonzero(np.diff(index // per_block)) + 1
+            for part in zip(np.split(index, cuts), np.split(values, cuts)):
+                if not part[0].size:
+                    continue
+                if held and held[0][0][0] // per_block != part[0][0] // per_block:
+                    yield block()
+                    held = []
+                held.append(part)
+        if held:
+            yield block()
+
+    dealt = rows.select((F.col("index") / per_block).cast("long").alias("block"), "index", "row")
+    laid = dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lay_out, schema)
+    return BlockMatrix(callMLlibFunc("createBlockMatrix", laid, per_block, width, n, width), per_block, width)
 
 
 def scatter(blocks: BlockMatrix) -> np.ndarray:
