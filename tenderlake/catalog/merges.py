@@ -7,12 +7,12 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import compare, merge, search
-from ..session import shared_folder
+from ..operators import alerts, compare, merge
+from ..session import shared_folder, written
 from ..sources import landing, star
 from ..streaming import sync
 from .registry import query
-from .relational import SAVED
+from .relational import ALERTS_SAVED, SAVED, TODAY, saved_of_customers
 
 
 def result_rows(events):
@@ -347,5 +347,18 @@ def _(s, d):
     landed = star.announcements(s, d)
     landed.repartition(4, "procurement_id").write.parquet(f"{folder}/in")
     source = sync.landed_stream(s, f"{folder}/in", landed.schema, files_per_batch=2)
-    sync.sync_alerts(source, lambda b: search.alert_counts(b, SAVED), f"{folder}/out", f"{folder}/log").awaitTermination()
+    saved = written(alerts.saved_searches(s, SAVED))
+    sync.sync_alerts(source, lambda b: alerts.alert_counts(b, saved, TODAY), f"{folder}/out", f"{folder}/log").awaitTermination()
+    return sync.alerts(s, f"{folder}/out")
+
+
+@query("stream_alerts_saved", ALERTS_SAVED)
+def _(s, d):
+    """The saved searches of all customers over announcements that land in micro-batches."""
+    folder = f"{shared_folder(s)}/{uuid.uuid4().hex}"
+    landed = star.announcements(s, d)
+    landed.repartition(4, "procurement_id").write.parquet(f"{folder}/in")
+    source = sync.landed_stream(s, f"{folder}/in", landed.schema, files_per_batch=2)
+    saved = written(saved_of_customers(s, d))
+    sync.sync_alerts(source, lambda b: alerts.alert_counts(b, saved, TODAY), f"{folder}/out", f"{folder}/log").awaitTermination()
     return sync.alerts(s, f"{folder}/out")

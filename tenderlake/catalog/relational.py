@@ -7,7 +7,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import activity, facts, search, views
+from ..operators import activity, alerts, facts, search, views
 from ..operators.facts import Filters, apply_filters
 from ..plans import dashboard
 from ..sources import star
@@ -295,7 +295,67 @@ _ALERTS = f"""SELECT 'open' AS filter_id, count(*) FILTER (publication_date > '1
 
 @query("alerts_new", _ALERTS)
 def _(s, d):
-    return search.alert_counts(_ann(s, d), SAVED)
+    return alerts.alert_counts(_ann(s, d), alerts.saved_searches(s, SAVED), TODAY)
+
+
+def saved_of_customers(s, d):
+    """A saved search per customer, of six kinds: by code, word, buyer, category, status and value, region and date."""
+    k = F.col("c_custkey")
+    kind = k % 6
+    text = lambda when, value: F.when(when, value)
+    none = F.lit(None)
+    return star.table(s, d, "customer").select(
+        F.concat(F.lit("saved-"), k.cast("string")).alias("filter_id"),
+        F.date_format(F.date_add(F.lit(TODAY), -(k % 1500).cast("int")), "yyyy-MM-dd").alias("baseline"),
+        text(kind == 3, F.element_at(F.array(*map(F.lit, ("construction", "it", "supplies", "unknown"))), (k % 4 + 1).cast("int"))).alias("category"),
+        text(kind == 0, F.array(F.concat((k % 90 + 10).cast("string"), F.lit("0000")), (k % 89 + 10).cast("string"))).alias("cpv_prefixes"),
+        none.cast("array<string>").alias("similar_cpv_prefixes"),
+        text(kind == 4, (k % 90 + 10).cast("string")).alias("cpv_code"),
+        text(kind == 1, F.array(F.concat(F.lit(" "), (k * 7).cast("string")), F.lit("mach%1-urg_nt"))).alias("keywords"),
+        text(kind == 2, F.substring("c_name", -5, 5)).alias("buyer"),
+        text(kind == 5, F.element_at(F.array(*map(F.lit, ("Rīga", "Latgale", "Cēsis", "All Latvia"))), (k % 4 + 1).cast("int"))).alias("planning_region"),
+        F.element_at(F.array(*map(F.lit, ("all", "open", "closed", "Pārtraukts", ""))), (k % 5 + 1).cast("int")).alias("status"),
+        text(k % 7 == 0, F.lit("works")).alias("subject_type"),
+        text(kind == 4, (k % 40 * 5000).cast("double")).alias("value_min_eur"),
+        text(kind == 4, F.lit(250000.0)).alias("value_max_eur"),
+        text(k % 11 == 0, F.lit(400)).alias("deadline_days"),
+        text(kind == 5, F.element_at(F.array(*map(F.lit, ("1-URGENT", "2-HIGH", "5-LOW"))), (k % 3 + 1).cast("int"))).alias("procedure_type"),
+        text(kind == 5, F.date_format(F.date_add(F.lit(TODAY), -(k % 2000).cast("int")), "yyyy-MM-dd")).alias("pub_date_from"),
+        text(kind == 5, F.date_format(F.date_add(F.lit(TODAY), 90 - (k % 2000).cast("int")), "yyyy-MM-dd")).alias("pub_date_to"),
+    )
+
+
+_DAY = f"DATE '{TODAY}'"
+_SAVED = f"""s AS (SELECT 'saved-' || c_custkey AS filter_id, c_custkey AS k, c_custkey % 6 AS kind, right(c_name, 5) AS who,
+      strftime({_DAY} - CAST(c_custkey % 1500 AS INTEGER), '%Y-%m-%d') AS baseline,
+      CASE WHEN c_custkey % 6 = 3 THEN ['construction', 'it', 'supplies', 'unknown'][c_custkey % 4 + 1] END AS category,
+      CASE WHEN c_custkey % 6 = 5 THEN ['Rīga', 'Latgale', 'Cēsis', 'All Latvia'][c_custkey % 4 + 1] END AS area,
+      ['all', 'open', 'closed', 'Pārtraukts', 'open'][c_custkey % 5 + 1] AS st,
+      CASE WHEN c_custkey % 6 = 5 THEN ['1-URGENT', '2-HIGH', '5-LOW'][c_custkey % 3 + 1] END AS proc,
+      strftime({_DAY} - CAST(c_custkey % 2000 AS INTEGER), '%Y-%m-%d') AS since,
+      strftime({_DAY} + 90 - CAST(c_custkey % 2000 AS INTEGER), '%Y-%m-%d') AS till FROM customer),
+    hit AS (SELECT filter_id, baseline, publication_date FROM s JOIN ann ON
+      (kind <> 0 OR starts_with(cpv_main, k % 90 + 10 || '0000') OR starts_with(cpv_main, CAST(k % 89 + 10 AS VARCHAR)))
+      AND (kind <> 1 OR title ILIKE '% ' || k * 7 || '%' OR title ILIKE '%mach%1-urg_nt%')
+      AND (kind <> 2 OR contains(buyer, who))
+      AND (category IS NULL OR category = 'unknown' OR left(cpv_main, 2) IN (SELECT unnest(CASE category WHEN 'construction' THEN ['45'] WHEN 'it' THEN ['72', '48'] ELSE ['34', '39', '44'] END)))
+      AND (kind <> 4 OR (starts_with(cpv_main, CAST(k % 90 + 10 AS VARCHAR)) AND estimated_value_eur >= k % 40 * 5000 AND estimated_value_eur <= 250000))
+      AND (kind <> 5 OR ((area = 'All Latvia' OR (area = 'Rīga' AND regexp_matches(lower(region), 'rīga|jūrmala|ādažu|ķekavas|mārupes|olaines|ropažu|salaspils|siguldas|ogres'))
+        OR (area = 'Latgale' AND regexp_matches(lower(region), 'daugavpils|krāslavas|ludzas|preiļu|rēzekne|augšdaugavas')) OR (area = 'Cēsis' AND contains(lower(region), 'cēsis')))
+        AND procedure_type = proc AND publication_date >= since AND publication_date <= till))
+      AND (st = 'all' OR (st = 'open' AND {_OPEN}) OR (st = 'closed' AND {_CLOSED}) OR status = st)
+      AND (k % 7 <> 0 OR subject_type = 'Būvdarbi') AND (k % 11 <> 0 OR deadline BETWEEN {_DAY} AND {_DAY} + 400))
+    SELECT s.filter_id, count(*) FILTER (publication_date > hit.baseline) AS new_count, max(publication_date) AS newest_publication_date
+    FROM s LEFT JOIN hit USING (filter_id) GROUP BY 1"""
+
+
+ALERTS_SAVED = f"WITH {_SAVED}"
+
+
+@query("alerts_saved", ALERTS_SAVED)
+def _(s, d):
+    """A saved search of every customer against all announcements."""
+    return alerts.alert_counts(_ann(s, d), saved_of_customers(s, d), TODAY)
 
 
 # --- activity ----------------------------------------------------------------------

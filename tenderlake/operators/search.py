@@ -1,7 +1,8 @@
-"""Tender search: a filter chain, sort orders, match texts and saved-search alerts."""
+"""Tender search: a filter chain, sort orders and match texts; ``alerts`` has the saved searches."""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import date
 
@@ -18,6 +19,10 @@ RESULT_TEXTS = (
     "procedure_type", "eis_url",
 )
 PAGE = 50
+# A backslash before another letter than a wildcard stands for nothing.
+STRAY_ESCAPE = r"\\([^%_\\]|$)"
+# Region choices that ask for no region.
+NO_REGION = (None, "", "All Latvia", "all")
 
 
 @dataclass(frozen=True)
@@ -50,12 +55,12 @@ class Query:
         return list(dict.fromkeys(wanted))
 
     def region(self) -> str | None:
-        return None if self.planning_region in (None, "", "All Latvia", "all") else self.planning_region
+        return None if self.planning_region in NO_REGION else self.planning_region
 
 
 def _like(column: str, word: str) -> Column:
     """Case-blind containment; ``%`` and ``_`` in the word stay wildcards."""
-    return F.ilike(F.col(column), F.lit(f"%{word}%"))
+    return F.ilike(F.col(column), F.lit(f"%{re.sub(STRAY_ESCAPE, lambda m: m[1], word)}%"))
 
 
 def conditions(q: Query) -> list[Column]:
@@ -145,24 +150,3 @@ def match_count(announcements: DataFrame, q: Query) -> DataFrame:
 def procedure_types(announcements: DataFrame) -> DataFrame:
     named = announcements.where(F.coalesce(F.col("procedure_type") != "", F.lit(False)))
     return named.select("procedure_type").distinct().orderBy("procedure_type")
-
-
-def alert_counts(announcements: DataFrame, saved: dict[str, tuple[Query, str]]) -> DataFrame:
-    """Per saved search the matches published after its baseline, and the newest date.
-
-    All searches are counted in one pass over the announcements.
-    """
-    items = []
-    for name, (q, baseline) in saved.items():
-        hit = F.lit(True)
-        for condition in conditions(q):
-            hit = hit & F.coalesce(condition, F.lit(False))
-        newer = hit & F.coalesce(F.col("publication_date") > baseline, F.lit(False))
-        items.append(
-            F.struct(
-                F.lit(name).alias("filter_id"),
-                F.count_if(newer).alias("new_count"),
-                F.max(F.when(hit, F.col("publication_date"))).alias("newest_publication_date"),
-            )
-        )
-    return announcements.agg(F.array(*items).alias("alerts")).select(F.inline("alerts"))
