@@ -13,11 +13,13 @@ from . import fixed
 from .cleaning import SPACE, none_if_blank, squeeze, strip, unify_quotes
 
 _HANGUL = 0xAC00
+# First character after the Latin letters.
+_FAR = 0x250
 
 
 @lru_cache(maxsize=1)
-def _fold_tables() -> tuple[str, str, str, str]:
-    """How characters of any script fold: single letters (from, to, marks to delete last), longer forms as ``x=form`` entries, and a pattern of the latter.
+def _fold_tables() -> tuple[str, str, str, str, str]:
+    """How characters of any script fold: single letters (from, to, marks to delete last), longer forms as ``x=form`` entries, a pattern of the latter, and a short pattern that all of these fit.
 
     The fold of a text is that of its characters one by one: compatibility
     decomposition only reorders marks, and marks are dropped.
@@ -46,7 +48,8 @@ def _fold_tables() -> tuple[str, str, str, str]:
             ranges.append([code, code])
     pattern = "[\uac00-\ud7a3" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in ranges) + "]"
     # letters without a counterpart are deleted
-    return "".join(source + marks), "".join(target), "\n".join(f"{a}\t{b}" for a, b in longer.items()), pattern
+    near = "[" + "".join(x for x in longer if ord(x) < _FAR) + rf"\x{{{_FAR:X}}}-\x{{10FFFF}}]"
+    return "".join(source + marks), "".join(target), "\n".join(f"{a}\t{b}" for a, b in longer.items()), pattern, near
 
 
 def _syllable(x: Column) -> Column:
@@ -61,15 +64,18 @@ def _syllable(x: Column) -> Column:
 def fold(c: Column) -> Column:
     """Compatibility fold without accents, for text of any script, inside the JVM.
 
-    One table serves all characters whose fold is one letter. Only texts with a
-    ligature, digraph, fraction, syllable or the like are taken apart.
+    One table serves all characters whose fold is one letter. ASCII text stands for
+    itself, and only texts with a ligature, digraph, fraction, syllable or the like
+    are taken apart; a short pattern tells Latin texts from others first.
     """
-    source, target, longer, pattern = _fold_tables()
+    source, target, longer, pattern, near = _fold_tables()
     forms = F.str_to_map(F.lit(longer), F.lit("\n"), F.lit("\t"))
     whole = F.array_join(
         F.transform(F.split(c, ""), lambda x: F.when(x.rlike("[\uac00-\ud7a3]"), _syllable(x)).when(x.rlike(pattern), F.try_element_at(forms, x)).otherwise(x)), ""
     )
-    return F.translate(F.when(c.rlike(pattern), whole).otherwise(c), source, target)
+    ascii_only = F.octet_length(c) == F.length(c)
+    taken_apart = F.when(c.rlike(near) & c.rlike(pattern), whole).otherwise(c)
+    return F.when(ascii_only, c).otherwise(F.translate(taken_apart, source, target))
 
 
 def folded_lower(c: Column) -> Column:
@@ -121,9 +127,17 @@ def display_name(c: Column) -> Column:
 
 def without_noise(c: Column) -> Column:
     """Text before a trailing registration mark or, failing that, an eleven-digit run."""
-    marks = (r"\(?rg\b", r"\(?reģ", r"\d{11}")
-    cuts = "|".join(rf"(.*?)[\s\p{{Z}}]*{m}.*" for m in marks)
-    return strip(F.regexp_replace(c, rf"(?isU)^(?:{cuts})$", "$1$2$3"))
+    text = c
+    marks = [rf"(?iU){m}" for m in (r"\(?rg\b", r"\(?reģ", r"\d{11}")]
+    for mark in reversed(marks[1:]):
+        text = F.when(c.rlike(mark), _before(c, mark)).otherwise(text)
+    noisy = F.when(c.rlike(marks[0]), _before(c, marks[0])).otherwise(text)
+    return strip(F.when(c.rlike(rf"(?iU)rg\b|reģ|\d{{11}}"), noisy).otherwise(c))
+
+
+def _before(c: Column, mark: str) -> Column:
+    """Text before the first place of a mark."""
+    return F.split(c, mark, 2)[0]
 
 
 def match_key(c: Column) -> Column:
