@@ -164,10 +164,11 @@ def _(s, d):
 
 
 def _register(s, d):
-    """A register entry per part number: five numbers in a row share a town, some of them an address."""
+    """A register entry per part number: every third lies in the capital; else five numbers in a row share a town, some of them an address."""
+    k = F.col("p_partkey")
+    town = F.format_string("Pilsēta %d, iela %d, LV-1001", F.floor(k / 5), F.floor(k / 2) % 2)
     return star.table(s, d, "part").select(
-        star.reg_of(F.col("p_partkey")).alias("reg"),
-        F.format_string("Pilsēta %d, iela %d, LV-1001", F.floor(F.col("p_partkey") / 5), F.floor(F.col("p_partkey") / 2) % 2).alias("address"),
+        star.reg_of(k).alias("reg"), F.when(k % 3 == 0, F.format_string("Galvaspilsēta, iela %d, LV-1001", F.floor(k / 12))).otherwise(town).alias("address")
     )
 
 
@@ -185,9 +186,11 @@ def _winning(s, d):
 
 
 _PAIRS = f"""{_FOUND}, won AS (SELECT company_id AS id, count(*) AS wins FROM resolved GROUP BY 1 HAVING count(*) >= 2),
-    member AS (SELECT company.id, {_key("name")} AS key, p_partkey AS pk, 'Pilsēta ' || p_partkey // 5 AS town, 'Owner ' || (p_partkey + 2) // 4 AS owner, company.name,
-        'Pilsēta ' || p_partkey // 5 || ', iela ' || (p_partkey // 2) % 2 || ', LV-1001' AS address, wins
-      FROM company JOIN won USING (id) JOIN part ON company.reg = '4' || lpad(CAST(p_partkey AS VARCHAR), 10, '0')),
+    placed AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'Galvaspilsēta' ELSE 'Pilsēta ' || p_partkey // 5 END AS town,
+        CASE WHEN p_partkey % 3 = 0 THEN p_partkey // 12 ELSE (p_partkey // 2) % 2 END AS street FROM part),
+    member AS (SELECT company.id, {_key("name")} AS key, p_partkey AS pk, town, 'Owner ' || (p_partkey + 2) // 4 AS owner, company.name,
+        town || ', iela ' || street || ', LV-1001' AS address, wins
+      FROM company JOIN won USING (id) JOIN placed ON company.reg = '4' || lpad(CAST(p_partkey AS VARCHAR), 10, '0')),
     sorted_member AS (SELECT *, {_sorted("key")} AS t FROM member WHERE length(key) >= 4),
     near AS (SELECT a.id AS a, b.id AS b, a.t AS x, b.t AS y, a.address = b.address AS same_at, a.owner = b.owner AS own, a.address, a.owner, a.town
       FROM sorted_member a JOIN sorted_member b ON a.id < b.id AND (a.town = b.town OR a.owner = b.owner)
@@ -276,18 +279,31 @@ def _(s, d):
 
 @query(
     "customer_chains",
-    """WITH n AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey // 20000) AS component,
-      count(*) OVER (PARTITION BY c_nationkey, c_mktsegment, c_custkey // 20000) AS n FROM customer) SELECT c_custkey AS id, component FROM n WHERE n > 1""",
+    """WITH n AS (SELECT c_custkey, min(c_custkey) OVER (PARTITION BY c_nationkey, c_mktsegment) AS component,
+      count(*) OVER (PARTITION BY c_nationkey, c_mktsegment) AS n FROM customer) SELECT c_custkey AS id, component FROM n WHERE n > 1""",
 )
 def _(s, d):
-    """Long chains of customers: each is linked to the next of its nation, segment and block of twenty thousand keys."""
+    """Chains of customers: each is linked to the next of its nation and segment.
+
+    Keys are ordered inside blocks; the last of a block is linked to the first of the
+    next block that has any, so no task orders a whole chain.
+    """
     from pyspark.sql import Window
 
-    order = Window.partitionBy("c_nationkey", "c_mktsegment", F.floor(F.col("c_custkey") / 20000)).orderBy("c_custkey")
-    links = star.table(s, d, "customer").select(F.col("c_custkey").alias("a"), F.lead("c_custkey").over(order).alias("b"))
+    block = F.floor(F.col("c_custkey") / CHAIN_BLOCK).alias("block")
+    keys = star.table(s, d, "customer").select("c_nationkey", "c_mktsegment", block, "c_custkey")
+    inside = Window.partitionBy("c_nationkey", "c_mktsegment", "block").orderBy("c_custkey")
+    links = keys.select(F.col("c_custkey").alias("a"), F.lead("c_custkey").over(inside).alias("b"))
+    ends = keys.groupBy("c_nationkey", "c_mktsegment", "block").agg(F.min("c_custkey").alias("first"), F.max("c_custkey").alias("last"))
+    across = Window.partitionBy("c_nationkey", "c_mktsegment").orderBy("block")
+    links = links.unionByName(ends.select(F.col("last").alias("a"), F.lead("first").over(across).alias("b")))
     return groups.components(links.where(F.col("b").isNotNull()))
 
 
+# Customer keys of a block of ``customer_chains``.
+CHAIN_BLOCK = 500
+
+
 @query(
     "group_labels",
     f"""WITH {_EDGES}, {_GROUPS}, kept AS (SELECT component FROM c GROUP BY 1 HAVING count(*) FILTER (k % 11 = 5) = 0),

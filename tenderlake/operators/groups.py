@@ -63,20 +63,54 @@ def evidence(pairs: DataFrame, companies: DataFrame, register: DataFrame) -> Dat
     return shared.join(listed, "a", "left").select("a", "b", F.col("kind").alias("source"), note.alias("note"), "rank", "score")
 
 
+# Keys with more than this share of all rows are heavy; fewer than ``HEAVY`` of them can be.
+HEAVY = 1000
+# Rows up to which any key may stay in one task.
+LIGHT_ROWS = 50_000
+
+
+def heavy_keys(rows: DataFrame, key: str) -> DataFrame | None:
+    """Keys that hold over one in ``HEAVY`` rows, or ``None`` if there are none."""
+    counted = written(rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")))
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    heavy = counted.where(F.col("n") > max(total // HEAVY, LIGHT_ROWS // HEAVY)).select(key)
+    return None if total <= LIGHT_ROWS or heavy.isEmpty() else heavy
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, heavy: DataFrame | None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per ``key``.
+
+    Rows of heavy keys stay where they are and meet a broadcast of fewer than
+    ``HEAVY`` table rows; the others are dealt out by key, none of which holds many.
+    """
+    if heavy is None:
+        return rows.join(table, key)
+    few = F.broadcast(heavy)
+    met = rows.join(F.broadcast(table.join(few, key, "left_semi")), key)
+    return rows.join(few, key, "left_anti").join(table, key).unionByName(met)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``a, b`` edges: ``id, component`` (its smallest id).
 
     Each round takes the least label among neighbours and then the label of
-    that label, so chains shorten by doubling. State is written per round.
+    that label, so chains shorten by doubling. State is written per round. Hubs, as
+    neighbours and as labels, are looked up without an exchange of their rows.
     """
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     both = written(both.distinct())
+    hubs = heavy_keys(both, "dst")
     state = written(both.groupBy(F.col("src").alias("id")).agg(F.least(F.col("id"), F.min("dst")).alias("label")))
+    crowded = state.count() > LIGHT_ROWS
     while True:
-        near = both.join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
+        met = lookup(both, "dst", state.select(F.col("id").alias("dst"), "label"), hubs)
+        near = met.groupBy(F.col("src").alias("id")).agg(F.min("label").alias("near"))
         step = state.join(near, "id").select("id", F.least("label", "near").alias("label"), F.col("label").alias("old"))
+        step = written(step) if crowded else step
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = written(step.join(jump, "label", "left").select("id", F.least("label", "next").alias("label"), "old"))
+        # a label is the id of a row, so each has its next
+        seen = lookup(step, "label", jump, heavy_keys(step, "label") if crowded else None)
+        new = written(seen.select("id", F.least("label", "next").alias("label"), "old"))
         changed = not new.where(F.col("label") != F.col("old")).isEmpty()
         state = new.drop("old")
         if not changed:
