@@ -33,6 +33,8 @@ CACHED_WORDS = 1_000_000
 CACHED_SKIPS = 2
 LOT_CHARS = 2_000_000
 MASK = (1 << 64) - 1
+# Bits of a place in a hash table of joins.
+TABLE_BITS = 20
 # Fixed odd factors of the skip hash.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -81,9 +83,11 @@ class Pieces:
                 left, right = self.symbols.get(piece[:cut]), self.symbols.get(piece[cut:])
                 if left is not None and right is not None:
                     self.joins[left, right] = i
-        codes = np.array([a * self.width + b for a, b in self.joins], dtype=np.int64)
-        order = np.argsort(codes)
-        self.codes, self.joined = codes[order], np.array(list(self.joins.values()), dtype=np.int64)[order]
+        self._spread(np.array([a * self.width + b for a, b in self.joins], dtype=np.int64), np.array(list(self.joins.values()), dtype=np.int64))
+        self.of_char = np.full(sys.maxunicode + 1, -1, dtype=np.int64)
+        for char, symbol in self.symbols.items():
+            if len(char) == 1:
+                self.of_char[ord(char)] = symbol
         # the best piece has the largest rank
         self.rank = np.searchsorted(np.sort(self.score), self.score)
         inside = {c for piece in number if len(piece) > 1 for c in piece}
@@ -91,6 +95,37 @@ class Pieces:
         if any(BLANK in piece.lstrip(BLANK) for piece in number):
             raise ValueError("pieces that go on after a blank are not supported")
 
+    def _spread(self, codes: np.ndarray, joined: np.ndarray) -> None:
+        """Two hash tables of joins by code; what fits neither stays sorted."""
+        self.slots = []
+        for factor in FACTORS[:2]:
+            place = ((codes.astype(np.uint64) * np.uint64(factor)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            keys, values = np.full(1 << TABLE_BITS, -1, dtype=np.int64), np.full(1 << TABLE_BITS, -1, dtype=np.int64)
+            keys[place], values[place] = codes, joined
+            self.slots.append((np.uint64(factor), keys, values))
+            out = keys[place] != codes
+            codes, joined = codes[out], joined[out]
+        order = np.argsort(codes)
+        self.codes, self.joined = codes[order], joined[order]
+
+    def join(self, codes: np.ndarray) -> np.ndarray:
+        """Piece that each code of two neighbours (``left * width + right``) makes, or -1."""
+        hashed = codes.astype(np.uint64)
+        out = np.full(codes.size, -1, dtype=np.int64)
+        for factor, keys, values in self.slots:
+            place = ((hashed * factor) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+            hit = keys[place] == codes
+            out[hit] = values[place[hit]]
+        if self.codes.size:
+            at = np.minimum(np.searchsorted(self.codes, codes), self.codes.size - 1)
+            hit = self.codes[at] == codes
+            out[hit] = self.joined[at[hit]]
+        return out
+
+    def start_all(self, words: list[str]) -> np.ndarray:
+        """``start`` of many words in a row."""
+        return self.of_char[np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)]
+
     def start(self, word: str) -> list[int]:
         """Symbols of the characters of ``word``; one without a piece is -1."""
         get = self.symbols.get
@@ -176,23 +211,24 @@ def _rounds(pieces: Pieces, words: list[str], skip) -> tuple[list[bytes], list[t
     if not words:
         return [], made
     sizes = np.array([len(w) for w in words], dtype=np.int64)
-    symbol = np.array([s for w in words for s in pieces.start(w)], dtype=np.int64)
+    symbol = pieces.start_all(words)
     word = np.repeat(np.arange(len(words)), sizes)
     first = np.cumsum(sizes) - sizes
     start = np.arange(symbol.size) - first[word]
     end = start + 1
     out_symbol, out_word, out_start, out_end = [], [], [], []
     while symbol.size:
-        code = symbol[:-1] * pieces.width + symbol[1:]
-        at = np.searchsorted(pieces.codes, code)
-        at[at == pieces.codes.size] = 0
-        fit = np.flatnonzero((pieces.codes[at] == code) & (word[1:] == word[:-1]) & (symbol[:-1] >= 0) & (symbol[1:] >= 0))
+        fit = np.flatnonzero((word[1:] == word[:-1]) & (symbol[:-1] >= 0) & (symbol[1:] >= 0))
+        piece = pieces.join(symbol[fit] * pieces.width + symbol[fit + 1])
+        fit, piece = fit[piece >= 0], piece[piece >= 0]
         if fit.size and (gone := skip(word[fit], start[fit], start[fit + 1], end[fit + 1])) is not None:
-            fit = fit[~gone]
-        piece = pieces.joined[at[fit]]
+            fit, piece = fit[~gone], piece[~gone]
         priority = pieces.rank[piece] * (LONG_WORD + 1) + (LONG_WORD - start[fit])
         best = np.full(len(words), -1, dtype=np.int64)
-        np.maximum.at(best, word[fit], priority)
+        if fit.size:
+            # candidates of a word stand in a row
+            lead = np.flatnonzero(np.diff(word[fit], prepend=-1))
+            best[word[fit[lead]]] = np.maximum.reduceat(priority, lead)
         chosen = priority == best[word[fit]]
         left, merged = fit[chosen], piece[chosen]
         made.append((word[left], _code(word[left], start[left], start[left + 1], end[left + 1])))
@@ -220,6 +256,13 @@ def _rounds(pieces: Pieces, words: list[str], skip) -> tuple[list[bytes], list[t
     return ids, made
 
 
+class _Known(dict):
+    """Node numbers of words; -1 for a word that has none."""
+
+    def __missing__(self, word: str) -> int:
+        return -1
+
+
 class Segmenter:
     """Encodes texts of one model, seed and rate; remembers what does not depend on the keys, for about ``CACHED_WORDS`` segmentations.
 
@@ -236,7 +279,7 @@ class Segmenter:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.known = _Known({"": 0})
         self.ids: list[bytes] = [self.blank_bytes]
         self.word: list[str] = [""]
         self.barred: list[tuple[int, ...]] = [()]
@@ -292,7 +335,7 @@ class Segmenter:
         fresh = [w for w in set(words).difference(self.known) if len(w) <= LONG_WORD]
         self.known.update(zip(fresh, self._grow(fresh, [()] * len(fresh)).tolist()))
         out: list[bytes] = [b""] * len(words)
-        node = np.fromiter((self.known.get(w, -1) for w in words), dtype=np.int64, count=len(words))
+        node = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         key = np.concatenate([self._key(k, len(each)) for k, each in zip(keys, cut)] or [np.zeros(0, dtype=np.uint64)])
         for i in np.flatnonzero(node < 0).tolist():
             out[i] = agenda(self.pieces, words[i], int(key[i]), self.rate)

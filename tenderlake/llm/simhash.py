@@ -43,6 +43,8 @@ WIDE_RADIUS = 56
 SIMILARITY = 0.8
 BANDS = 14
 BAND_MINIMA = 4
+# Distinct shingles up to which the wide fingerprint says little; such texts meet by band keys alone too.
+SHORT_TEXT = 20
 # Most shingles of a tile, and most 64-bit words of the table in which sets are compared.
 TILE_SHINGLES = 2_000_000
 TABLE_WORDS = 1 << 22
@@ -234,10 +236,17 @@ def shingle_facts(text: str | None) -> tuple[list[int], list[int], np.ndarray]:
 LONGS = T.ArrayType(T.LongType())
 
 
-@F.pandas_udf(T.StructType([T.StructField("fingerprint", LONGS), T.StructField("keys", LONGS)]))
+@F.pandas_udf(T.StructType([T.StructField("fingerprint", LONGS), T.StructField("keys", LONGS), T.StructField("shingles", T.LongType())]))
 def _facts(texts: pd.Series) -> pd.DataFrame:
-    found = [shingle_facts(t)[:2] for t in texts]
-    return pd.DataFrame({"fingerprint": [f for f, _ in found], "keys": [k for _, k in found]})
+    found = [shingle_facts(t) for t in texts]
+    return pd.DataFrame({"fingerprint": [f for f, _, _ in found], "keys": [k for _, k, _ in found], "shingles": [h.size for _, _, h in found]})
+
+
+def _short_points(points: DataFrame) -> DataFrame:
+    """Short texts once more, under keys of their own and one fingerprint, so that no radius parts them."""
+    short = points.where(F.col("facts.shingles") <= SHORT_TEXT)
+    keys = F.transform("facts.keys", lambda k: F.xxhash64(k, F.lit("short")))
+    return short.select(F.col("content").alias("point"), F.array_repeat(F.lit(0).cast("long"), WIDE_WORDS).alias("fingerprint"), keys.alias("keys"))
 
 
 @F.pandas_udf(LONGS)
@@ -332,7 +341,7 @@ def similar_groups(reports: DataFrame) -> DataFrame:
 
     Texts are linked if their sets of five-word shingles have a Jaccard
     similarity of at least 0.8. Wide fingerprints within ``WIDE_RADIUS`` bits that
-    share a band key are candidates. The components of the candidates are only
+    share a band key are candidates; of two short texts the band key is enough. The components of the candidates are only
     where the search goes on: inside each of them texts are linked by their shingle
     sets alone. ``content`` is a 64-bit hash of the text; a null text is empty.
     """
@@ -341,7 +350,8 @@ def similar_groups(reports: DataFrame) -> DataFrame:
     points = written(
         contents.groupBy("content").agg(F.min("procurement_id").alias("first_id"), F.any_value("facts").alias("facts"))
     )
-    near = components(near_links(points.select(F.col("content").alias("point"), "facts.fingerprint", "facts.keys"), WIDE_RADIUS))
+    wide = points.select(F.col("content").alias("point"), "facts.fingerprint", "facts.keys")
+    near = components(near_links(wide.unionByName(_short_points(points)), WIDE_RADIUS))
     loose = written(near.select(F.col("id").alias("of"), "component"))
     # one report speaks for its copies, so a text with many copies is not gathered in one task
     chosen = points.join(loose, F.col("content") == F.col("of")).select("of", "first_id")

@@ -168,3 +168,15 @@ def test_native_hashes_agree(spark):
     """The shingle hash is Spark's own for one text column."""
     row = spark.sql("SELECT xxhash64('a b c') AS h").first()
     assert row["h"] % (1 << 64) == int(simhash.shingle_hashes("a b c", 3)[0])
+
+
+def test_short_texts_are_not_parted_by_the_radius(spark):
+    """Texts of nine and eight words share four of five shingles: similarity 0.8."""
+    rng = random.Random(21)
+    words = [f"{a}{b}" for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "an", "es", "um")]
+    rows = []
+    for i in range(300):
+        text = rng.sample(words, 9)
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[:-1]))]
+    found = {r["first_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(rows, "procurement_id long, report_text string")).collect()}
+    assert sum(found[2 * i + 1] == found[2 * i] for i in range(300)) >= 298
