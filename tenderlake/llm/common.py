@@ -93,6 +93,10 @@ class Chunks:
             ids = [fresh(c) if i is None else i for c, i in zip(chunks, ids)]
         return b"".join(ids)
 
+    def rest(self) -> None:
+        """Let go of the older generation, so that a worker between tasks holds half as much."""
+        self.older = {}
+
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         return map(self.encode, texts)
 

@@ -45,10 +45,10 @@ def token_pieces(reports: DataFrame, tokenizer_path: str, end_id: int, size: int
     model, end = reports.sparkSession.sparkContext.broadcast(tokenizer_text(tokenizer_path)), np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = chunk_encoder(model.value).encode_all
+        chunks = chunk_encoder(model.value)
         for batch in batches:
             out: list[tuple] = []
-            for row, ids in enumerate(encode(batch.column(1).to_pylist())):
+            for row, ids in enumerate(chunks.encode_all(batch.column(1).to_pylist())):
                 ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * size)):
                     part = ids[at : at + 4 * size]
@@ -56,6 +56,7 @@ def token_pieces(reports: DataFrame, tokenizer_path: str, end_id: int, size: int
             rows, *rest = zip(*out) if out else [()] * 5
             columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(rest[0], pa.int32()), *(pa.array(x, pa.int64()) for x in rest[1:])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+        chunks.rest()
 
     return kept.mapInArrow(cut, schema)
 
