@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from ..operators import alerts, compare, merge
 from ..session import shared_folder, written
 from ..sources import landing, star
-from ..streaming import sync
+from ..streaming import sync, tiers
 from .registry import query
 from .relational import ALERTS_SAVED, SAVED, TODAY, saved_of_customers
 
@@ -248,7 +248,7 @@ def _(s, d):
 
 @query("record_compare", f"WITH {_CMP} {_DIFFERENCES}")
 def _(s, d):
-    return compare.compare_long(compare.compare_wide(*_stores(s, d))).select("procurement_id", "status", "field")
+    return compare.compare_long(compare.compare_changed(*_stores(s, d))).select("procurement_id", "status", "field")
 
 
 _ALIKE = [f for f in compare.FIELD_SETS["all"] if f not in ("estimated_value_eur", "has_lots", "procurement_participants_json")]
@@ -267,7 +267,8 @@ _ALIKE = [f for f in compare.FIELD_SETS["all"] if f not in ("estimated_value_eur
     UNION ALL SELECT unnest({[f"field:{f}" for f in _ALIKE]}), 0""",
 )
 def _(s, d):
-    return compare.summary(compare.compare_wide(*_stores(s, d)))
+    stores = _stores(s, d)
+    return compare.summary_of_changed(compare.compare_changed(*stores), *stores)
 
 
 @query(
@@ -284,7 +285,7 @@ def _(s, d):
     f"WITH {_CMP} SELECT procurement_id FROM cmp WHERE overall_status IN ('field_mismatch', 'missing_in_second') ORDER BY 1 LIMIT 50",
 )
 def _(s, d):
-    return compare.differing_ids(compare.compare_wide(*_stores(s, d)))
+    return compare.differing_ids(compare.compare_changed(*_stores(s, d)))
 
 
 # --- streaming ------------------------------------------------------------------------------
@@ -321,6 +322,21 @@ def _(s, d):
     return _streamed(s, d, _buyer_rows, merge.BUYER_KEYS, merge.BUYER_RULES)
 
 
+@query("stream_tiers", _MERGED)
+def _(s, d):
+    """Results that land ten times, each landing followed by a run that merges it and compacts what is due."""
+    folder, events = f"{shared_folder(s)}/{uuid.uuid4().hex}", _events(s, d)
+    last, landings = events.agg(F.max("event_id")).first()[0] or 0, 10
+    out = T.StructType([f for f in result_rows(events).schema.fields if f.name in (*merge.RESULT_KEYS, *merge.RESULT_RULES)])
+    table = tiers.Tiered(f"{folder}/out", out, merge.RESULT_KEYS, merge.RESULT_RULES, fan=3)
+    for part in range(landings):
+        here = F.floor(F.col("event_id") * landings / (last + 1)) == part
+        events.where(here).write.mode("append").parquet(f"{folder}/in")
+        source = result_rows(sync.landed_stream(s, f"{folder}/in", events.schema))
+        tiers.sync_tiered(source, table, f"{folder}/log").awaitTermination()
+    return tiers.current(s, table)
+
+
 @query(
     "stream_merge",
     f"""WITH {_EV} SELECT procurement_id, 'W' || CAST(max(i) AS VARCHAR) AS winner_name, (list(v ORDER BY i DESC))[1] AS contract_value_eur,

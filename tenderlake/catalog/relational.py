@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import activity, alerts, facts, search, views
+from ..operators import activity, alerts, contains, facts, search, views
 from ..operators.facts import Filters, apply_filters
 from ..plans import dashboard
+from ..session import shared_folder
 from ..sources import star
 from .registry import query
 
@@ -454,3 +456,50 @@ def _(s, d):
         F.count_if(activity.short_name_match("end_name", "asia")).alias("end_hits"),
         F.count_if(activity.short_name_match("end_name", "asia", whole_word=True)).alias("word_hits"),
     )
+
+
+# --- containment index ------------------------------------------------------------------
+
+_FIELDS = ("title", "buyer", "region")
+
+
+def _indexed(s, d):
+    landed = star.announcements(s, d)
+    return landed, contains.write_index(landed, "procurement_id", _FIELDS, f"{shared_folder(s)}/{uuid.uuid4().hex}")
+
+
+@query(
+    "contains_words",
+    """WITH words AS (SELECT DISTINCT 'title' AS field, substr(c_mktsegment, 2, 4) || '%' || CAST(o_orderkey % 1000 AS VARCHAR) AS word
+        FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 100 = 0
+      UNION SELECT 'buyer', lower(right(c_name, 3)) FROM customer WHERE c_custkey % 100 = 0
+      UNION SELECT 'region', upper(left(n_name, 2)) FROM nation),
+    texts AS (SELECT procurement_id, 'title' AS field, title AS text FROM ann UNION ALL SELECT procurement_id, 'buyer', buyer FROM ann
+      UNION ALL SELECT procurement_id, 'region', region FROM ann)
+    SELECT field, word, count(*) AS found, min(procurement_id) AS first_id, max(procurement_id) AS last_id
+    FROM words JOIN texts USING (field) WHERE text ILIKE '%' || word || '%' GROUP BY ALL""",
+)
+def _(s, d):
+    """Words of every hundredth order and customer, and of all nations, looked up in all announcements."""
+    ordered = star.table(s, d, "orders").where(F.col("o_orderkey") % 100 == 0).join(star.table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    parts = (
+        ordered.select(F.lit("title").alias("field"), F.concat(F.substring("c_mktsegment", 2, 4), F.lit("%"), (F.col("o_orderkey") % 1000).cast("string")).alias("word")),
+        star.table(s, d, "customer").where(F.col("c_custkey") % 100 == 0).select(F.lit("buyer"), F.lower(F.right(F.col("c_name"), F.lit(3)))),
+        star.table(s, d, "nation").select(F.lit("region"), F.upper(F.left(F.col("n_name"), F.lit(2)))),
+    )
+    words = parts[0].union(parts[1]).union(parts[2]).distinct().withColumn("word_id", F.col("word"))
+    landed, index = _indexed(s, d)
+    found = contains.containing(words, landed, _FIELDS, index)
+    return found.groupBy("field", F.col("word_id").alias("word")).agg(F.count(F.lit(1)).alias("found"), F.min("key").alias("first_id"), F.max("key").alias("last_id"))
+
+
+@query(
+    "search_indexed",
+    """SELECT procurement_id, title, buyer FROM ann WHERE (title ILIKE '%machin%low%' OR title ILIKE '%99%') AND buyer ILIKE '%#0%1%'
+    ORDER BY publication_date DESC NULLS FIRST, procurement_id LIMIT 50""",
+)
+def _(s, d):
+    """A search page whose words meet the index first."""
+    landed, index = _indexed(s, d)
+    q = search.Query(TODAY, status="all", keywords=("machin%low", "99"), buyer="#0%1")
+    return contains.indexed_search(landed, q, index).select("procurement_id", "title", "buyer")

@@ -67,6 +67,32 @@ def _near_pairs(bids: DataFrame) -> DataFrame:
     )
 
 
+def pair_candidates(priced: DataFrame, min_close: int = MIN_CLOSE) -> DataFrame:
+    """Bids of bidders that can be in a pair of at least ``min_close`` close meetings; no pair is formed.
+
+    One bid is close to no more bids of any one bidder than that bidder has in the
+    bid's own band and in those neighbour bands whose nearest price is close. The
+    most that any bidder has there bounds it, and a bidder's bounds are summed.
+    """
+    banded = priced.where(F.col("price") > 0).withColumn("band", F.floor(F.log(F.col("price").cast("double")) / _BAND))
+    own = banded.groupBy("procurement_id", "band", "norm_name").agg(F.count(F.lit(1)).alias("n"), F.min("price").alias("low"), F.max("price").alias("high"))
+    cells = own.groupBy("procurement_id", "band").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # each cell tells itself and both neighbours what it holds
+    told = cells.select(
+        "procurement_id",
+        F.inline(F.array(*[F.struct((F.col("band") + step).alias("band"), F.lit(step).alias("step"), "n", "most", "low", "high") for step in (-1, 0, 1)])),
+    )
+    seen = lambda step, name: F.max(F.when(F.col("step") == step, F.col(name)))
+    around = told.groupBy("procurement_id", "band").agg(
+        F.least(seen(0, "most"), seen(0, "n") - 1).alias("here"),
+        seen(1, "high").alias("below"), seen(1, "most").alias("n_below"), seen(-1, "low").alias("above"), seen(-1, "most").alias("n_above"),
+    ).where(F.col("here").isNotNull())
+    near = lambda other, n: F.when(F.col(other).isNotNull() & _is_close(F.col("price"), F.col(other)), F.col(n)).otherwise(0)
+    bound = banded.join(around, ["procurement_id", "band"]).select("norm_name", (F.col("here") + near("below", "n_below") + near("above", "n_above")).alias("most"))
+    able = bound.groupBy("norm_name").agg(F.sum("most").alias("most")).where(F.col("most") >= min_close).select("norm_name")
+    return priced.join(able, "norm_name", "left_semi").select(*priced.columns)
+
+
 def _counted(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("close"), F.count_if("lowest").alias("lowest"))
 
@@ -97,7 +123,7 @@ def _meetings(pairs: DataFrame, bids: DataFrame) -> DataFrame:
 
 def close_pair_counts(priced: DataFrame, min_close: int = MIN_CLOSE) -> DataFrame:
     """Pairs with at least ``min_close`` close meetings: ``a, b, close, lowest``, the same way for every procurement."""
-    return _counted(_near_pairs(priced)).where(F.col("close") >= min_close)
+    return _counted(_near_pairs(pair_candidates(priced, min_close))).where(F.col("close") >= min_close)
 
 
 def repeated_pairs(priced: DataFrame, k: int | None = 15, min_close: int = MIN_CLOSE) -> DataFrame:

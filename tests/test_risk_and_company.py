@@ -106,6 +106,18 @@ def test_rare_bidder_with_a_repeated_name_is_found(spark):
     assert [(r.a, r.b, r.close) for r in rows] == [("A", "B", 3)]
 
 
+def test_bidders_that_can_be_in_no_pair_form_no_pairs(spark):
+    """One crowded band of bidders met once each, two regulars beside it, and prices that only neighbour bands hold."""
+    crowd = [("p0", i, f"C{i}", Decimal(100)) for i in range(60)]
+    regulars = [(f"q{p}", i, name, Decimal(price)) for p in range(3) for i, (name, price) in enumerate((("A", 100), ("B", 103), ("D", 200)))]
+    odd = [("r", i, "Z", Decimal(x)) for i, x in enumerate((0, -5))] + [("p0", 99, "A", Decimal(100))]
+    bids = pair_frame(spark, crowd + regulars + odd)
+    left = risk.pair_candidates(bids)
+    assert {r.norm_name for r in left.select("norm_name").distinct().collect()} == {"A", "B"}
+    assert risk._near_pairs(bids).count() > 1800 and risk._near_pairs(left).count() == 3
+    assert [(r.a, r.b, r.close) for r in risk.close_pair_counts(bids).collect()] == [("A", "B", 3)]
+
+
 @pytest.fixture(scope="module")
 def alpha(spark):
     ctx = ("Buyer", "Rīga", "design")
