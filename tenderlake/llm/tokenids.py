@@ -13,6 +13,7 @@ from __future__ import annotations
 import sys
 import zlib
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -28,51 +29,61 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BASE = 1 << 24
 BLOCK_IDS = 1_000_000
-ROUNDS = 4
 LEAST_USES = 8
 SLOT_BITS = 18
 
 
-def _pair_round(seq: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Replace frequent pairs once: the new sequence and the round's rules, one (left, right) per row.
+def _pair_round(seq: np.ndarray, live: np.ndarray, base: int, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Replace frequent pairs once: the new sequence, its live places and the round's rules, one (left, right) per row.
 
     Pairs are counted in hash slots. Every pair that is more frequent than those
-    it overlaps is replaced at the same time; a slot serves one pair only.
+    it overlaps is replaced at the same time; a slot serves one pair only, and
+    ``salt`` deals the pairs to other slots. ``live`` are the places, ascending,
+    whose pair may be frequent: a pair in a rare slot is rare and stays so, hence
+    only frequent slots and the surroundings of new symbols are looked at again.
     """
-    left, right, slots = seq[:-1], seq[1:], 1 << SLOT_BITS
-    slot = (left * np.uint32(2654435761) + right * np.uint32(2246822519)) >> np.uint32(32 - SLOT_BITS)
-    near = np.zeros(slot.size + 2, dtype=np.int32)
-    here = near[1:-1]
-    here[:] = np.bincount(slot, minlength=slots).astype(np.int32)[slot]
-    at = np.flatnonzero((here >= LEAST_USES) & (here > near[:-2]) & (here >= near[2:]))
+    slots, everywhere = 1 << SLOT_BITS, live.size == seq.size - 1
+    left, right = (seq[:-1], seq[1:]) if everywhere else (seq[live], seq[live + 1])
+    slot = (left * np.uint32(2654435761 + 2 * salt) + right * np.uint32(2246822519)) >> np.uint32(32 - SLOT_BITS)
+    here = np.bincount(slot, minlength=slots).astype(np.int32)[slot]
+    often = np.flatnonzero(here >= LEAST_USES)
+    kept, here = live[often], here[often]
+    near = np.zeros(seq.size + 1, dtype=np.int32)
+    near[kept + 1] = here
+    best = often[(here > near[kept]) & (here >= near[kept + 2])]
     owner = np.zeros(slots, dtype=np.intp)
-    owner[slot[at]] = at
-    first = owner[slot[at]]
-    at = at[(left[first] == left[at]) & (right[first] == right[at])]
-    uses = np.bincount(slot[at], minlength=slots)
-    at = at[uses[slot[at]] >= LEAST_USES]
-    if at.size == 0:
-        return seq, np.zeros((0, 2), dtype=np.uint32)
+    owner[slot[best]] = best
+    first = owner[slot[best]]
+    best = best[(left[first] == left[best]) & (right[first] == right[best])]
+    uses = np.bincount(slot[best], minlength=slots)
+    best = best[uses[slot[best]] >= LEAST_USES]
+    if best.size == 0:
+        return seq, kept, np.zeros((0, 2), dtype=np.uint32)
     ruled = np.flatnonzero(uses >= LEAST_USES)
     name = np.zeros(slots, dtype=np.uint32)
     name[ruled] = np.arange(base, base + ruled.size, dtype=np.uint32)
     rules = np.stack([left[owner[ruled]], right[owner[ruled]]], axis=1)
-    out = seq.copy()
-    out[at] = name[slot[at]]
-    keep = np.ones(seq.size, dtype=bool)
+    at = live[best]
+    out, keep, again = seq.copy(), np.ones(seq.size, dtype=bool), np.zeros(seq.size, dtype=bool)
+    out[at] = name[slot[best]]
     keep[at + 1] = False
-    return out[keep], rules
+    again[kept] = again[at] = again[np.maximum(at - 1, 0)] = True
+    return out[keep], np.flatnonzero(again[keep][:-1]), rules
 
 
-def compress(ids: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols, rules and the rules' expansion lengths of ``ids`` (unsigned 32-bit, below ``BASE``)."""
-    seq, rules, made = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.uint32)], 0
-    for _ in range(rounds):
-        if seq.size < 2:
-            break
-        seq, new = _pair_round(seq, BASE + made)
-        if not len(new):
+def compress(ids: np.ndarray, rounds: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Symbols, rules and the rules' expansion lengths of ``ids`` (unsigned 32-bit, below ``BASE``).
+
+    Goes on until two rounds in a row, with their pairs dealt to different slots,
+    make no rule; ``rounds`` ends it earlier.
+    """
+    seq, rules, made, idle = ids.astype(np.uint32), [np.zeros((0, 2), dtype=np.uint32)], 0, 0
+    live = np.arange(max(seq.size - 1, 0))
+    for turn in count() if rounds is None else range(rounds):
+        if seq.size < 2 or idle == 2:
             break
+        seq, live, new = _pair_round(seq, live, BASE + made, turn)
+        idle = 0 if len(new) else idle + 1
         rules.append(new)
         made += len(new)
     lengths = np.zeros(0, dtype=np.int64)

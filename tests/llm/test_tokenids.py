@@ -68,3 +68,15 @@ def test_grammar_round_trip():
                 count = int(rng.integers(0, size - first + 1))
                 assert tokenids.decode_range(symbols, rules, lengths, first, count).tolist() == ids[first : first + count].tolist()
     assert tokenids.compress(np.tile(np.arange(4, dtype=np.uint32), 1000), rounds=20)[0].size < 1500
+
+
+def test_grammar_goes_on_until_no_pair_is_frequent():
+    rng = np.random.default_rng(4)
+    phrases = [rng.integers(0, 40_000, 200) for _ in range(5)]
+    ids = np.concatenate([phrases[i] for i in rng.integers(0, 5, 300)]).astype(np.uint32)
+    symbols, rules, lengths = tokenids.compress(ids)
+    assert (tokenids._expand(symbols, rules) == ids).all()
+    assert lengths.max() > 64 and symbols.size < ids.size / 50
+    for salt in range(40, 44):
+        everywhere = np.arange(symbols.size - 1)
+        assert len(tokenids._pair_round(symbols, everywhere, tokenids.BASE + len(rules), salt)[2]) == 0
