@@ -99,26 +99,30 @@ def _lengths_of(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def _expand(symbols: np.ndarray, rules: np.ndarray) -> np.ndarray:
-    """Ids of ``symbols``: rules are opened level by level."""
-    while (long := symbols >= BASE).any():
-        size = long.astype(np.intp) + 1
-        start = np.cumsum(size) - size
-        out = np.repeat(symbols, size)
-        pair = rules[symbols[long] - BASE]
-        out[start[long]], out[start[long] + 1] = pair[:, 0], pair[:, 1]
-        symbols = out
-    return symbols
+def _expand(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Ids of ``symbols``: each is given its place among the ids, and only symbols that still stand for rules are opened on."""
+    size = _lengths_of(symbols, lengths)
+    place = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), dtype=np.uint32)
+    while symbols.size:
+        long = symbols >= BASE
+        done = ~long
+        out[place[done]] = symbols[done]
+        pair, place = rules[symbols[long] - BASE], place[long]
+        left = np.ascontiguousarray(pair[:, 0])
+        symbols, place = np.concatenate([left, pair[:, 1]]), np.concatenate([place, place + _lengths_of(left, lengths)])
+    return out
 
 
 def decode_range(symbols: np.ndarray, rules: np.ndarray, lengths: np.ndarray, first: int, count: int) -> np.ndarray:
     """Ids ``first`` to ``first + count`` of a block; only the symbols that cover them are opened."""
     if count <= 0:
         return np.zeros(0, dtype=np.uint32)
-    ends = np.cumsum(_lengths_of(symbols, lengths.astype(np.int64)))
+    lengths = lengths.astype(np.int64)
+    ends = np.cumsum(_lengths_of(symbols, lengths))
     a, b = np.searchsorted(ends, [first, first + count - 1], side="right")
     skipped = first - (int(ends[a - 1]) if a else 0)
-    return _expand(symbols[a : b + 1], rules)[skipped : skipped + count]
+    return _expand(symbols[a : b + 1], rules, lengths)[skipped : skipped + count]
 
 
 def write_token_file(reports: DataFrame, tokenizer_path: str, end_id: int, path: str) -> None:
