@@ -61,8 +61,8 @@ def test_grammar_round_trip():
         for spread in (1, 3, 40000):
             ids = rng.integers(0, spread, size=size).astype(np.uint32)
             symbols, rules, lengths = tokenids.compress(ids, rounds=20)
-            assert tokenids._expand(symbols, rules).tolist() == ids.tolist()
-            assert [tokenids._expand(r, rules).size for r in rules] == lengths.tolist()
+            assert tokenids._expand(symbols, rules, lengths).tolist() == ids.tolist()
+            assert [tokenids._expand(r, rules, lengths).size for r in rules] == lengths.tolist()
             for _ in range(10):
                 first = int(rng.integers(0, size + 1))
                 count = int(rng.integers(0, size - first + 1))
