@@ -7,7 +7,7 @@ import xxhash
 
 from tenderlake.llm import orderhash, queries
 
-from .helpers import SF, documents, empty_reports, odd_reports
+from .helpers import SF, SF_MORE, documents, empty_reports, odd_reports
 
 MASK = (1 << 64) - 1
 
@@ -80,6 +80,21 @@ def test_odd_rows_and_empty_tables(spark):
     assert orderhash.fingerprint_edits(empty_reports(spark)).count() == 0
 
 
+def test_many_ranges(spark, monkeypatch):
+    """Ranges of a report or two, with repeated and null ids, give the same rows as one range; so do no drawn starts."""
+    rows = [(i // 2 * 7 - 40 if i % 9 else None, " ".join(f"w{(i * j) % 23}" for j in range(i % 11))) for i in range(120)]
+    frame = spark.createDataFrame(rows, "procurement_id long, report_text string")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for starts in (1000, 30, 1):
+        monkeypatch.setattr(orderhash, "STARTS_PER_TASK", starts)
+        same(orderhash.fingerprint_edits(frame).collect(), brute(ordered))
+
+
+def test_plan_does_not_grow(spark):
+    sizes = [len(queries.op4_order_minhash(spark, sf)._jdf.queryExecution().optimizedPlan().toString()) for sf in (SF, SF_MORE)]
+    assert abs(sizes[0] - sizes[1]) < 200
+
+
 def test_order_matters(spark):
     words = [f"w{i}" for i in range(200)]
     texts = [" ".join(words), " ".join(words[100:] + words[:100]), " ".join(words)]
