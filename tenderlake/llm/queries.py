@@ -74,9 +74,10 @@ def op5_simhash_pivots(spark: SparkSession, root: str) -> DataFrame:
 
 
 def op6_url_filter(spark: SparkSession, root: str) -> DataFrame:
+    """Every page against the rules and a list: the sites of ``LISTED`` and the URLs of all pages whose id is divisible by 100."""
     records = table(spark, root, "pages").select(F.col("page_id").alias("procurement_id"), F.col("url").alias("procurement_url"))
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
-    listed = spark.createDataFrame([(u,) for u in LISTED], "procurement_url string")
+    listed = spark.createDataFrame([(u,) for u in LISTED], "procurement_url string").union(records.where("procurement_id % 100 = 0").select("procurement_url"))
     return urls.screen_urls(records, rules, listed).withColumnRenamed("procurement_id", "page_id")
 
 
@@ -135,15 +136,15 @@ _HOST = r"""translate(regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN subst
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"""
 _PATH = r"regexp_extract(CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END, '^[^/?#]*([^?#]*)', 1)"
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
-_LISTED = ", ".join(f"('{u.split('//')[1].rstrip('/')}')" for u in LISTED)
+_LISTED = ", ".join(f"('{u.split('//')[1].rstrip('/')}', '')" for u in LISTED)
 
 ORACLES: dict[str, str] = {
-    "op6_url_filter": f"""WITH rules(rh, rp, rv) AS (VALUES {_RULES}), listed(lh) AS (VALUES {_LISTED}),
-        split AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages),
+    "op6_url_filter": f"""WITH rules(rh, rp, rv) AS (VALUES {_RULES}), split AS (SELECT page_id, coalesce({_HOST}, '') AS host, coalesce({_PATH}, '') AS path FROM pages),
+        listed(lh, lp) AS (VALUES {_LISTED} UNION SELECT regexp_replace(host, '^www\\.', ''), rtrim(path, '/') FROM split WHERE page_id % 100 = 0 AND host <> ''),
         urls AS (SELECT DISTINCT host, path FROM split),
         best AS (SELECT host, path, arg_max(rh || rp, (length(rh || rp), length(rh))) AS rule, arg_max(rv, (length(rh || rp), length(rh))) AS rv
             FROM urls JOIN rules ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY host, path),
-        bad AS (SELECT DISTINCT host, path FROM urls JOIN listed ON host = lh OR ends_with(host, '.' || lh))
+        bad AS (SELECT DISTINCT host, path FROM urls JOIN listed ON (host = lh OR ends_with(host, '.' || lh)) AND (rtrim(path, '/') = lp OR starts_with(path, lp || '/')))
         SELECT s.page_id, s.host, s.path, b.rule, coalesce(b.rv, CASE WHEN bad.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
         FROM split s LEFT JOIN best b USING (host, path) LEFT JOIN bad USING (host, path)""",
 }

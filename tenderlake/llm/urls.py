@@ -7,8 +7,6 @@ segments. Everything is DataFrame operations.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,16 +48,24 @@ def _mask(hashed: Column) -> Column:
     return bits[0].bitwiseOR(bits[1]).bitwiseOR(bits[2]).bitwiseOR(bits[3])
 
 
-def blocked_filter(entries: DataFrame, words: int) -> DataFrame:
-    """One row with ``filter``: ``words`` blocks of 64 bits; all bits of an entry lie in one block."""
+def _block(hashed: Column, words: int) -> Column:
+    return F.pmod(hashed, F.lit(words))
+
+
+def _blocks(entries: DataFrame, words: int) -> DataFrame:
+    """``id, mask`` of the filter's blocks in which a bit is set; all bits of an entry lie in one block."""
     hashed = _hash(F.col("kind"), F.col("host"), F.col("path"))
-    blocks = entries.select(F.pmod(hashed, F.lit(words)).alias("id"), _mask(hashed).alias("mask")).groupBy("id").agg(F.bit_or("mask").alias("mask"))
-    dense = entries.sparkSession.range(words).join(blocks, "id", "left")
+    return entries.select(_block(hashed, words).alias("id"), _mask(hashed).alias("mask")).groupBy("id").agg(F.bit_or("mask").alias("mask"))
+
+
+def blocked_filter(entries: DataFrame, words: int) -> DataFrame:
+    """One row with ``filter``: the masks of all ``words`` blocks of 64 bits."""
+    dense = entries.sparkSession.range(words).join(_blocks(entries, words), "id", "left")
     listed = F.array_sort(F.collect_list(F.struct("id", F.coalesce("mask", F.lit(0).cast("long")).alias("mask"))))
     return dense.agg(F.transform(listed, lambda x: x["mask"]).alias("filter"))
 
 
-def screen_urls(records: DataFrame, rules: DataFrame, listed: DataFrame) -> DataFrame:
+def screen_urls(records: DataFrame, rules: DataFrame, listed: DataFrame, most_words: int = MOST_WORDS) -> DataFrame:
     """``procurement_id, host, path, rule, verdict`` of every record, one row per input row.
 
     ``records`` has ``procurement_id`` and ``procurement_url``; ``rules`` has ``host``,
@@ -69,28 +75,26 @@ def screen_urls(records: DataFrame, rules: DataFrame, listed: DataFrame) -> Data
     the one with the longer host, then block before allow. Without a rule a
     listed URL, or one below it, is blocked and any other allowed.
 
-    Each URL asks for its host's suffixes with the starts of its path. Asked keys
-    pass the Bloom filter, which travels as one value of at most ``MOST_WORDS``
-    64-bit words: a longer list only lets more false hits through. What passes is
-    made distinct and joined exactly with the entries, so a hot URL is
-    one row there. Null parts of rules never fit.
+    Each URL asks once for every shape that entries have (labels of the host,
+    characters or segments of the path) and that it is long enough for. Asked keys
+    pass the Bloom filter: up to ``most_words`` 64-bit words travel as one value, a
+    larger filter stays a table of blocks that the distinct asked hashes are
+    joined with. What passes is made distinct and joined exactly with the entries,
+    so a hot URL is one row there. Null parts of rules never fit.
     """
     ruled = rules.where(F.col("host").isNotNull() & F.col("path").isNotNull()).select(
         F.lit("rule").alias("kind"), F.lower("host").alias("host"), "path", "verdict"
     )
     entries = ruled.unionByName(canonical_entries(listed).select(F.lit("list").alias("kind"), "host", "path", F.lit("block").alias("verdict"))).distinct()
-    lengths = [r["n"] for r in ruled.select(F.length("path").alias("n")).distinct().collect()]
     words = LEAST_WORDS
     wanted = entries.count() // 4
-    while words < min(wanted, MOST_WORDS):
+    while words < wanted:
         words *= 2
-    bloom = blocked_filter(entries, words).scalar()
 
     split = records.select("procurement_id", url_host(F.col("procurement_url")).alias("host"), url_path(F.col("procurement_url")).alias("path"))
     urls = split.where(F.col("host") != "").select(F.col("host").alias("url_host"), F.col("path").alias("url_path"))
-    keys = urls.select("url_host", "url_path", F.explode(_asked(F.col("url_host"), F.col("url_path"), lengths)).alias("k")).select("url_host", "url_path", "k.kind", "k.host", "k.path")
-    asked = keys.where(_passes(bloom, words)).distinct()
-    exact = asked.join(entries, ["kind", "host", "path"])
+    asked = _asked(urls, entries).withColumn("hash", _hash(F.col("kind"), F.col("host"), F.col("path")))
+    exact = _possible(asked, entries, words, words <= most_words).drop("hash").distinct().join(entries, ["kind", "host", "path"])
     is_rule = F.col("kind") == "rule"
     rank = F.struct(F.length("host") + F.length("path"), F.length("host"), F.col("verdict") == "block")
     best = exact.groupBy(F.col("url_host").alias("host"), F.col("url_path").alias("path")).agg(
@@ -101,21 +105,37 @@ def screen_urls(records: DataFrame, rules: DataFrame, listed: DataFrame) -> Data
     return split.join(best, ["host", "path"], "left").select("procurement_id", "host", "path", F.col("best.rule").alias("rule"), verdict.alias("verdict"))
 
 
-def _asked(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Keys of a URL: every suffix of its host with the starts of its path that entries can have."""
-    labels = F.split(host, r"\.")
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
-    starts = F.filter(F.array(*(F.when(F.length(path) >= n, F.substring(path, 1, n)) for n in lengths)).cast("array<string>"), lambda s: s.isNotNull())
-    segments = F.split(F.regexp_replace(path, "/+$", ""), "/")
-    above = F.transform(F.sequence(F.lit(1), F.size(segments)), lambda i: F.concat_ws("/", F.slice(segments, F.lit(1), i)))
-
-    def keys(kind: str, paths: Column) -> Column:
-        return F.flatten(F.transform(hosts, lambda h: F.transform(paths, lambda p: F.struct(F.lit(kind).alias("kind"), h.alias("host"), p.alias("path")))))
+def _parts(text: Column, mark: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit(""))) + 1
 
-    return F.concat(keys("rule", starts), keys("list", above))
 
+def _asked(urls: DataFrame, entries: DataFrame) -> DataFrame:
+    """``url_host, url_path, kind, host, path``: the keys of a URL in the shapes of the entries.
 
-def _passes(bloom: Column, words: int) -> Column:
-    hashed = _hash(F.col("kind"), F.col("host"), F.col("path"))
-    mask = _mask(hashed)
-    return F.get(bloom, F.pmod(hashed, F.lit(words)).cast("int")).bitwiseAND(mask) == mask
+    The different shapes are one scalar value: few, as they count labels and
+    characters or segments, not entries.
+    """
+    size = F.when(F.col("kind") == "rule", F.length("path")).otherwise(_parts(F.col("path"), "/"))
+    shape = F.struct("kind", _parts(F.col("host"), ".").alias("labels"), size.alias("size"))
+    shapes = entries.agg(F.collect_set(shape).alias("shapes")).scalar()
+    trimmed = F.regexp_replace("url_path", "/+$", "")
+    rule = F.col("kind") == "rule"
+    longest = F.when(rule, F.length("url_path")).otherwise(_parts(trimmed, "/"))
+    shaped = urls.select("url_host", "url_path", F.explode(shapes).alias("shape")).select("url_host", "url_path", "shape.*")
+    fits = shaped.where((F.col("labels") <= _parts(F.col("url_host"), ".")) & (F.col("size") <= longest))
+    start = F.when(rule, F.substring("url_path", F.lit(1), F.col("size"))).otherwise(F.call_function("substring_index", trimmed, F.lit("/"), F.col("size")))
+    end = F.call_function("substring_index", F.col("url_host"), F.lit("."), -F.col("labels"))
+    return fits.select("url_host", "url_path", "kind", end.alias("host"), start.alias("path"))
+
+
+def _possible(asked: DataFrame, entries: DataFrame, words: int, small: bool) -> DataFrame:
+    """Rows of ``asked`` whose ``hash`` passes the blocked Bloom filter of the entries."""
+    if small:
+        return asked.where(_passes(F.get(blocked_filter(entries, words).scalar(), _block(F.col("hash"), words).cast("int"))))
+    hashes = asked.select("hash").distinct().withColumn("id", _block(F.col("hash"), words))
+    return asked.join(hashes.join(_blocks(entries, words), "id").where(_passes(F.col("mask"))).select("hash"), "hash", "left_semi")
+
+
+def _passes(block: Column) -> Column:
+    mask = _mask(F.col("hash"))
+    return block.bitwiseAND(mask) == mask
