@@ -56,8 +56,8 @@ def op2_toxicity_chain(spark: SparkSession, root: str) -> DataFrame:
 
 
 def chain_of(spark: SparkSession, documents: DataFrame, root: str) -> toxicity.ChainModel:
-    """Chain trained on the given labels of ``documents``."""
-    labels = table(spark, root, "labels").select("doc_id", *CATEGORIES).dropna().dropDuplicates(["doc_id"])
+    """Chain trained on the given labels of ``documents``; of several labels of one document each category's largest counts."""
+    labels = table(spark, root, "labels").select("doc_id", *CATEGORIES).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in CATEGORIES))
     return toxicity.train_chain(as_reports(documents.join(labels.select("doc_id", *(F.col(c).alias(f"_{c}") for c in CATEGORIES)), "doc_id"), **{c: f"_{c}" for c in CATEGORIES}), CATEGORIES)
 
 

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,7 +97,8 @@ def train_chain(reports: DataFrame, categories: tuple[str, ...], training_rows:
     chosen by a hash of the id. The ``FEATURES`` words and word beginnings whose
     presence tells most about the categories are the features. Each model also sees the probabilities
     of the earlier categories; while training these are out of fold, so a later
-    model learns how far an earlier one can be trusted. The models of all folds
+    model learns how far an earlier one can be trusted. A fold's model takes its
+    words, too, from the other folds' rows only. The models of all folds
     are fitted side by side, each from the bounded sample. Without rows the chain
     gives 0 for everything.
     """
@@ -109,12 +110,12 @@ def train_chain(reports: DataFrame, categories: tuple[str, ...], training_rows:
     sample = labelled.where(F.pmod(F.xxhash64("procurement_id"), F.lit(1_000_000)) < share * 1_000_000)
     fold = F.pmod(F.xxhash64("procurement_id", F.lit("fold")), F.lit(FOLDS)).cast("int")
     lists = written(sample.select(F.monotonically_increasing_id().alias("at"), fold.alias("fold"), _word_sets(F.col("report_text")).alias("words"), *(F.col(c).cast("double").alias(c) for c in categories)))
-    model = _choose_words(lists, categories)
-    number = {w: i for i, w in enumerate(model)}
+    chosen = _choose_words(lists, categories)
+    numbers = [{w: i for i, w in enumerate(words)} for words in chosen]
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
     def known(words: pd.Series) -> pd.Series:
-        return words.map(lambda ws: [number[w] for w in ws if w in number])
+        return words.map(lambda ws: [[number[w] for w in ws if w in number] for number in numbers])
 
     rows = written(lists.withColumn("words", known(F.col("words"))))
     weights: list[np.ndarray] = []
@@ -126,21 +127,41 @@ def train_chain(reports: DataFrame, categories: tuple[str, ...], training_rows:
         if i + 1 < len(categories):
             held = fitted.where(F.col("fold") < FOLDS).select(F.explode(F.arrays_zip("at", "p")).alias("x")).select("x.at", F.col("x.p").alias(f"p{i}"))
             rows = written(rows.join(held, "at"))
-    return ChainModel(tuple(categories), tuple(model), tuple(weights))
+    return ChainModel(tuple(categories), tuple(chosen[FOLDS]), tuple(weights))
 
 
-def _choose_words(lists: DataFrame, categories: tuple[str, ...]) -> list[str]:
-    """Words by how far their documents' share of any category lies from the overall share, in standard errors."""
-    sums = lists.agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in categories)).first()
-    seen = lists.select(F.explode("words").alias("word"), *categories).groupBy("word").agg(F.count(F.lit(1)).alias("n"), *(F.avg(c).alias(c) for c in categories))
-    far = [F.abs(F.col(c) - sums[c]) * F.sqrt("n") / max((sums[c] * (1 - sums[c])) ** 0.5, 1e-3) for c in categories]
-    ranked = seen.where(F.col("n") >= 5).select("word", (F.greatest(*far) if len(far) > 1 else far[0]).alias("far"))
-    return [r["word"] for r in ranked.orderBy(F.desc("far"), "word").limit(FEATURES).collect()]
+def _models() -> Column:
+    """A row for each fold's model; model ``FOLDS`` is the one of all rows."""
+    return F.explode(F.sequence(F.lit(0), F.lit(FOLDS))).alias("model")
+
+
+def _choose_words(lists: DataFrame, categories: tuple[str, ...]) -> list[list[str]]:
+    """Per model the words by how far their documents' share of any category lies from the overall share, in standard errors.
+
+    A fold's model counts the rows of the other folds only. Equally far words go in ascending order.
+    """
+    sums = [F.sum("n").alias("n"), *(F.sum(c).alias(c) for c in categories)]
+    folds = lists.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in categories))
+    words = lists.select("fold", F.explode("words").alias("word"), *categories).groupBy("fold", "word").agg(F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(c) for c in categories))
+    others = F.col("fold") != F.col("model")
+    overall = folds.select("*", _models()).where(others).groupBy("model").agg(*sums)
+    seen = words.select("*", _models()).where(others).groupBy("model", "word").agg(*sums).where("n >= 5")
+    shares = seen.join(overall.select("model", *((F.col(c) / F.col("n")).alias(f"all_{c}") for c in categories)), "model")
+    far = [
+        F.abs(F.col(c) / F.col("n") - F.col(f"all_{c}")) * F.sqrt("n") / F.greatest(F.sqrt(F.col(f"all_{c}") * (1 - F.col(f"all_{c}"))), F.lit(1e-3))
+        for c in categories
+    ]
+    ranked = shares.select("model", "word", F.greatest(*far, F.lit(0.0)).alias("far"))
+    best = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy(F.desc("far"), "word"))).where(F.col("rank") <= FEATURES)
+    chosen: list[list[str]] = [[] for _ in range(FOLDS + 1)]
+    for r in best.orderBy("model", "rank").collect():
+        chosen[r["model"]].append(r["word"])
+    return chosen
 
 
 def _fit_folds(rows: DataFrame, category: str, earlier: list[str]) -> DataFrame:
     """One row per fold model: its weights, and the probabilities of the rows it has not seen. Fold ``FOLDS`` has seen all."""
-    dealt = rows.withColumn("model", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).select("model", "at", "fold", "words", F.col(category).alias("target"), *earlier)
+    dealt = rows.select("*", _models()).select("model", "at", "fold", F.get("words", F.col("model")).alias("words"), F.col(category).alias("target"), *earlier)
 
     def fit(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("at")
