@@ -31,44 +31,63 @@ def _letters() -> np.ndarray:
     return kept["table"]
 
 
-def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str]]]:
-    """Row numbers and texts in lots of about ``PIECE_CHARS``; a longer text comes in several pieces."""
-    rows, parts, held = [], [], 0
+def _tail(text: str) -> str:
+    """The last letters and blanks, as many as the longest n-gram reaches back, with runs of anything else as one blank."""
+    out = ""
+    for c in reversed(text):
+        c = c if c.isalpha() else " "
+        if c != " " or out[:1] != " ":
+            out = c + out
+        if len(out) == max(ORDERS) - 1:
+            break
+    return out
+
+
+def _pieces(texts: list[str | None]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """Row numbers, lower-cased texts with a blank at both ends, and carried characters, in lots of about ``PIECE_CHARS``.
+
+    A longer text comes in several pieces. Each begins with the tail of the one
+    before, so that no n-gram is lost; those inside the carried tail are counted already.
+    """
+    rows, parts, carried, held = [], [], [], 0
     for row, text in enumerate(texts):
-        for at in range(0, len(text or ""), PIECE_CHARS):
-            part = text[at : at + PIECE_CHARS]
+        tail, lowered = "", f" {text.lower()} " if text else ""
+        for at in range(0, len(lowered), PIECE_CHARS):
+            part = tail + lowered[at : at + PIECE_CHARS]
             rows.append(row)
             parts.append(part)
+            carried.append(len(tail))
             held += len(part)
+            tail = _tail(part) if at + PIECE_CHARS < len(lowered) else ""
             if held >= PIECE_CHARS:
-                yield rows, parts
-                rows, parts, held = [], [], 0
+                yield rows, parts, carried
+                rows, parts, carried, held = [], [], [], 0
     if rows:
-        yield rows, parts
-
+        yield rows, parts, carried
 
-def _features(parts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Piece number and hashed feature of every n-gram, order by order.
 
-    Texts are lower-cased; a run of anything but letters counts as one blank,
-    as do both ends.
-    """
-    coded = [np.frombuffer(f" {p.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for p in parts]
+def _features(parts: list[str], carried: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Piece number and hashed feature of every n-gram, order by order; a run of anything but letters counts as one blank."""
+    coded = [np.frombuffer(p.encode("utf-32-le", "surrogatepass"), dtype=np.uint32) for p in parts]
     piece = np.repeat(np.arange(len(parts), dtype=np.int32), [c.size for c in coded])
     code = np.concatenate(coded)
     code = np.where(_letters()[code], code, np.uint32(32))
     keep = np.ones(code.size, dtype=bool)
     keep[1:] = (code[1:] != 32) | (code[:-1] != 32) | (piece[1:] != piece[:-1])
     code, piece = code[keep], piece[keep]
+    starts = np.searchsorted(piece, np.arange(len(parts)))
     hashed = np.zeros(code.size, dtype=np.uint32)
     for order in range(1, max(ORDERS) + 1):
         if code.size < order:
             return
         hashed = (hashed[: code.size - order + 1] ^ code[order - 1 :]) * np.uint32(2654435761)
         if order in ORDERS:
-            whole = piece[order - 1 :] == piece[: code.size - order + 1]
+            fresh = piece[order - 1 :] == piece[: code.size - order + 1]
+            for i, n in enumerate(carried):
+                if n >= order:
+                    fresh[starts[i] : starts[i] + n - order + 1] = False
             feature = (hashed >> np.uint32(17)).astype(np.int32) + ORDERS.index(order) * BUCKETS
-            yield piece[: code.size - order + 1][whole], feature[whole]
+            yield piece[: code.size - order + 1][fresh], feature[fresh]
 
 
 @dataclass(frozen=True)
@@ -106,9 +125,9 @@ def train_languages(reports: DataFrame, training_rows: int = 50_000) -> Language
         total = np.zeros(len(names) * width, dtype=np.int64)
         for batch in batches:
             language = np.array([number[x] for x in batch.column(0).to_pylist()], dtype=np.int64)
-            for rows, parts in _pieces(batch.column(1).to_pylist()):
+            for rows, parts, carried in _pieces(batch.column(1).to_pylist()):
                 row = language[np.array(rows, dtype=np.intp)]
-                for piece, feature in _features(parts):
+                for piece, feature in _features(parts, carried):
                     total += np.bincount(row[piece] * width + feature, minlength=total.size)
         at = np.flatnonzero(total)
         for start in range(0, at.size, 50_000):
@@ -143,10 +162,10 @@ def predict_languages(reports: DataFrame, model: LanguageModel) -> DataFrame:
             n = batch.num_rows
             total = np.tile(known.prior, (n, 1))
             lettered = np.zeros(n, dtype=bool)
-            for rows, parts in _pieces(batch.column(1).to_pylist()):
+            for rows, parts, carried in _pieces(batch.column(1).to_pylist()):
                 row = np.array(rows, dtype=np.intp)
                 lettered[[r for r, p in zip(rows, parts) if any(map(str.isalpha, p))]] = True
-                for piece, feature in _features(parts):
+                for piece, feature in _features(parts, carried):
                     for i, logs in enumerate(known.log_probability):
                         sums = np.bincount(piece, weights=logs[feature], minlength=len(parts))
                         np.add.at(total[:, i], row, sums)
