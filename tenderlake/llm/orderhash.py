@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 TUPLES = 32
 PIECE = 16
 RANK_BITS = 35
@@ -78,7 +80,8 @@ def _ranges(kept: DataFrame, tasks: int) -> tuple[DataFrame, Column, Column, Col
     whole = kept.agg(F.count(key).alias("n"), F.min(key).alias("first"), F.bool_or(key.isNull()).alias("nulls")).first()
     share = min(1.0, min(STARTS_PER_TASK * tasks, MOST_STARTS) / max(whole["n"], 1))
     drawn = kept.where((F.pmod(F.xxhash64(key, F.lit("range")), F.lit(DRAWS)) < int(share * DRAWS)) & (key > F.lit(whole["first"])))
-    starts = drawn.agg(F.sort_array(F.collect_set(key)).alias("starts")).scalar()
+    # read back from a table, the value is a plain scan in both places that read the texts, so their exchange is made once
+    starts = written(drawn.agg(F.sort_array(F.collect_set(key)).alias("starts"))).scalar()
     dealt = kept.withColumn("own", F.lit(0))
     for step in range(MOST_STARTS.bit_length(), -1, -1):
         passed = F.coalesce(F.get(starts, F.col("own") + ((1 << step) - 1)) <= key, F.lit(False))
