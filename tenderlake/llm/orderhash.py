@@ -13,15 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
-
 TUPLES = 32
 PIECE = 16
 RANK_BITS = 35
 PLACE_BITS = 28
 # Characters of a task's reports: their k-mers are sorted in memory.
 TASK_CHARS = 4_000_000
-STARTS_PER_TASK = 8
+STARTS_PER_TASK = 4
 MOST_STARTS = 1 << 17
 DRAWS = 1 << 40
 
@@ -67,28 +65,37 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(most == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / most)
 
 
-def _ranges(kept: DataFrame, tasks: int) -> tuple[DataFrame, Column, Column, Column]:
-    """``kept`` with ``own``, the number of its range of ids; whether a row's id starts a range, whether it is the first id; the last range.
+def _starts(reports: DataFrame, tasks: int) -> tuple[list, bool]:
+    """First ids of ranges of ids in ascending order, and whether there are null ids.
 
-    Ranges start at ids drawn by a hash, some ``STARTS_PER_TASK`` a task and about
-    ``MOST_STARTS`` at most: from there on ranges grow with the data and tasks
-    spill. The sorted starts reach the tasks as one scalar value, at most a few
-    MB, and a row finds its range by binary search, so the plan is the same for any input.
-    A null id lies in the first range.
+    Ranges start at the least id and at ids drawn by a hash, some
+    ``STARTS_PER_TASK`` a task and about ``MOST_STARTS`` at most: from there on
+    ranges grow with the data and tasks spill. So what the driver and the plan
+    hold is bounded, and nothing else is sampled.
     """
     key = F.col("procurement_id")
-    whole = kept.agg(F.count(key).alias("n"), F.min(key).alias("first"), F.bool_or(key.isNull()).alias("nulls")).first()
+    whole = reports.agg(F.count(key).alias("n"), F.min(key).alias("first"), F.bool_or(key.isNull()).alias("nulls")).first()
     share = min(1.0, min(STARTS_PER_TASK * tasks, MOST_STARTS) / max(whole["n"], 1))
-    drawn = kept.where((F.pmod(F.xxhash64(key, F.lit("range")), F.lit(DRAWS)) < int(share * DRAWS)) & (key > F.lit(whole["first"])))
-    # read back from a table, the value is a plain scan in both places that read the texts, so their exchange is made once
-    starts = written(drawn.agg(F.sort_array(F.collect_set(key)).alias("starts"))).scalar()
-    dealt = kept.withColumn("own", F.lit(0))
-    for step in range(MOST_STARTS.bit_length(), -1, -1):
-        passed = F.coalesce(F.get(starts, F.col("own") + ((1 << step) - 1)) <= key, F.lit(False))
-        dealt = dealt.withColumn("own", F.col("own") + F.when(passed, 1 << step).otherwise(0))
-    begins = F.coalesce(F.get(starts, F.col("own") - 1) == key, F.lit(False))
-    opens = key.isNull() if whole["nulls"] else F.coalesce(key == F.lit(whole["first"]), F.lit(False))
-    return dealt, begins, opens, F.size(starts)
+    drawn = reports.where(key.isNotNull() & (F.pmod(F.xxhash64(key, F.lit("range")), F.lit(DRAWS)) < int(share * DRAWS))).select(key).distinct()
+    starts = {r[0] for r in drawn.collect()}
+    return sorted(starts | {whole["first"]} if whole["n"] else starts), bool(whole["nulls"])
+
+
+def _group_of(key: Column, starts: list) -> Column:
+    """How many of the sorted ``starts`` but the first are at most ``key``, by binary search; 0 for null."""
+    if len(starts) < 2:
+        return F.lit(0)
+    bounds, step = F.array(*(F.lit(s) for s in starts[1:])), 1
+    while step * 2 < len(starts):
+        step *= 2
+    steps = []
+    while step:
+        steps.append(F.lit(step))
+        step //= 2
+    n = len(starts) - 1
+    return F.aggregate(
+        F.array(*steps), F.lit(0), lambda low, s: F.when((low + s <= n) & (F.get(bounds, low + s - 1) <= key), low + s).otherwise(low)
+    )
 
 
 def fingerprint_edits(reports: DataFrame) -> DataFrame:
@@ -109,11 +116,15 @@ def fingerprint_edits(reports: DataFrame) -> DataFrame:
     kept = reports.select("procurement_id", F.coalesce("report_text", F.lit("")).alias("text"))
     chars = kept.agg(F.sum(F.length("text"))).first()[0] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // TASK_CHARS))
-    ranged, begins, opens, last = _ranges(kept, tasks)
-    own = F.col("own")
+    starts, nulls = _starts(kept, tasks)
+    own = F.coalesce(_group_of(F.col("procurement_id"), starts), F.lit(0)).cast("int")
+    last = F.lit(max(0, len(starts) - 1))
+    key = F.col("procurement_id")
+    opens = key.isNull() if nulls else key == F.lit(starts[0]) if starts else F.lit(False)
+    begins = key.isin(starts[1:]) if len(starts) > 1 else F.lit(False)
     targets = [(own, 0, F.lit(True)), (own - 1, 1, begins), (last, 1, opens)]
-    sent = F.explode(F.array(*(F.struct(g.alias("group"), F.lit(a).alias("ahead"), on.alias("goes")) for g, a, on in targets)))
-    dealt = ranged.select("procurement_id", "text", sent.alias("to")).where("to.goes").select("to.group", "to.ahead", "procurement_id", "text").repartition(tasks, "group")
+    sent = F.explode(F.array(*(F.struct(g.alias("group"), F.lit(a).alias("ahead"), F.coalesce(on, F.lit(False)).alias("goes")) for g, a, on in targets)))
+    dealt = kept.select("procurement_id", "text", sent.alias("to")).where("to.goes").select("to.group", "to.ahead", "procurement_id", "text").repartition(tasks, "group")
     order = Window.partitionBy("group").orderBy("ahead", F.col("procurement_id").asc_nulls_first(), "text")
     placed = dealt.select("*", F.row_number().over(order).cast("int").alias("row"), F.lead("text").over(order).alias("next_text"), F.lag("ahead", 1, 0).over(order).alias("ahead_before"))
     placed = placed.where("ahead = 0 OR ahead_before = 0")
